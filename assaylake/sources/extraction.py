@@ -36,9 +36,12 @@ def read_text_reports(spark: SparkSession, directory: str) -> tuple[DataFrame, D
     return supported, listed.where(~suffix.isin(*fixed.REPORT_SUFFIXES))
 
 
-def _whole_document(content: Column) -> Column:
-    """The text as one JSON value; NULL if it is broken or something follows the value."""
-    framed = F.try_parse_json(F.concat(F.lit("["), content, F.lit(f', "{_END}"]')))
+def _framed(content: Column) -> Column:
+    """The text and an end mark as a JSON list, so that nothing may follow the document."""
+    return F.try_parse_json(F.concat(F.lit("["), content, F.lit(f', "{_END}"]')))
+
+
+def _whole_document(framed: Column) -> Column:
     ends_here = F.try_variant_get(framed, "$[1]", "string") == _END
     return F.when(ends_here, F.try_variant_get(framed, "$[0]", "variant"))
 
@@ -138,7 +141,8 @@ def check_extractions(files: DataFrame, now: Column | None = None) -> DataFrame:
     now = F.localtimestamp() if now is None else now
     doc, meta, rows = F.col("_doc"), F.col("_meta"), F.col("_rows")
     parsed = (
-        files.withColumn("_doc", _whole_document(F.col("content")))
+        files.withColumn("_framed", _framed(F.col("content")))
+        .withColumn("_doc", _whole_document(F.col("_framed")))
         .withColumn("_meta", _field(doc, "metadata"))
         .withColumn("_rows", F.try_variant_get(doc, "$.biomarkers", "array<variant>"))
     )
@@ -176,7 +180,7 @@ def check_extractions(files: DataFrame, now: Column | None = None) -> DataFrame:
         ).alias("metadata"),
         F.transform(rows, measurement).alias("measurements"),
     )
-    return typed.select(
+    checked = F.struct(
         "path",
         "source_file",
         "errors",
@@ -189,6 +193,9 @@ def check_extractions(files: DataFrame, now: Column | None = None) -> DataFrame:
         F.coalesce(F.size("measurements"), F.lit(0)).alias("measurement_count"),
         "measurements",
     )
+    # A generator of one row: a filter on the errors stays above it. Pushed below, it would
+    # parse the file once per field it looks at.
+    return typed.select(F.inline(F.array(checked)))
 
 
 def good_files(checked: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ parts as (
       || case when k = 7 then '' else ', "unit": "cents"' end
       || ', "reference_range_low": "10", "reference_range_high": null}}' as first_row,
     '{{"report_date": "2024-02-01", "provider": "Lab x", "biomarker_name": "user", "value": "'
-      || cast(user_id as string) || '", "notes": "second \\"row\\""}}' as second_row,
+      || cast(user_id as string) || '", "notes": "second \\\\"row\\\\""}}' as second_row,
     '{{"report_type": "blood_panel", "tags": ["' || event_type || '", '
       || case when k = 11 then '5' else '"all"' end || ']'
       || case when k = 8 then ', "provider": "Head office", "report_date": "2024-03-01"' else ''
@@ -93,7 +93,7 @@ from resolved
 
 MEASUREMENTS = f"""
 with {_KEPT},
-both as (
+two_rows as (
   select chosen.*, n from chosen, (select 0 as n union all select 1) where k <> 9
 )
 select sha256(source_file || chr(10) || cast(n as varchar)) as id, source_file,
@@ -108,7 +108,7 @@ select sha256(source_file || chr(10) || cast(n as varchar)) as id, source_file,
        cast(null as varchar) as reference_range_high_raw,
        cast(null as varchar) as loinc_code,
        case n when 1 then 'second "row"' end as notes
-from both
+from two_rows
 """
 
 REJECTED = """
