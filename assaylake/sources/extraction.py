@@ -4,6 +4,8 @@ A file is taken whole or rejected whole. Validation works on the JSON's own type
 ``variant``, because ``from_json`` would quietly turn a number into text.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,31 @@ _TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2}
 _OFFSET = r"[T ].*(Z|[+-]\d{2}:?\d{2})$"
 _OPTIONAL_TEXTS = ("reference_range_low", "reference_range_high", "loinc_code", "notes")
 
+# The document with every leaf as text; whether the leaves were text is checked apart.
+_AS_TEXT = """struct<
+  biomarkers: array<struct<report_date: string, provider: string, biomarker_name: string,
+    value: string, unit: string, reference_range_low: string, reference_range_high: string,
+    loinc_code: string, notes: string>>,
+  document_summary: string,
+  metadata: struct<report_type: string, report_date: string, provider: string,
+    tags: array<string>, baseline_candidates: array<string>>,
+  source_file: string, extracted_at: string, extraction_method: string>"""
+
+# Types of a document without surprises, as ``schema_of_variant`` writes them: names in
+# alphabetical order, list elements merged.
+_LIST_TYPE = "ARRAY<(STRING|VOID)>"
+_ROW_TYPE = (
+    "OBJECT<((biomarker_name|loinc_code|notes|provider|reference_range_high|reference_range_low"
+    "|report_date|unit|value): (STRING|VOID)(, |(?=>)))+>"
+)
+_PLAIN_TYPES = (
+    f"^OBJECT<biomarkers: ARRAY<(VOID|{_ROW_TYPE})>, document_summary: STRING"
+    "(, extracted_at: STRING)?(, extraction_method: STRING)?"
+    f", metadata: OBJECT<(baseline_candidates: {_LIST_TYPE}, )?(provider: (STRING|VOID), )?"
+    f"(report_date: (STRING|VOID), )?report_type: STRING(, tags: {_LIST_TYPE})?>"
+    "(, source_file: STRING)?>$"
+)
+
 
 def read_extraction_files(spark: SparkSession, directory: str) -> DataFrame:
     """``(path, content)`` of every ``*.json`` file in a directory."""
@@ -87,6 +114,12 @@ def _measurement_errors(e: Column) -> dict[str, Column]:
     return errors
 
 
+def _incomplete(e: Column) -> Column:
+    """A row to examine: something required is null or absent."""
+    required = ("provider", "biomarker_name", "value")
+    return reduce(Column.__or__, [e[name].isNull() for name in required], e.isNull())
+
+
 def _list_is_bad(node: Column, name: str) -> Column:
     items = _text_list(node, name)
     all_text = F.forall(items, lambda i: F.schema_of_variant(i) == "STRING")
@@ -139,63 +172,76 @@ def check_extractions(files: DataFrame, now: Column | None = None) -> DataFrame:
     """
     given = "given_source" in files.columns
     now = F.localtimestamp() if now is None else now
-    doc, meta, rows = F.col("_doc"), F.col("_meta"), F.col("_rows")
-    parsed = (
-        files.withColumn("_framed", _framed(F.col("content")))
-        .withColumn("_doc", _whole_document(F.col("_framed")))
-        .withColumn("_meta", _field(doc, "metadata"))
-        .withColumn("_rows", F.try_variant_get(doc, "$.biomarkers", "array<variant>"))
-    )
+    doc, typed, rows = F.col("_doc"), F.col("_typed"), F.col("measurements")
+    meta = typed["metadata"]
 
     def measurement(e: Column) -> Column:
         return F.struct(
-            _date(_text(e, "report_date")).alias("report_date"),
-            _text(e, "provider").alias("provider"),
-            _text(e, "biomarker_name").alias("biomarker_name"),
-            F.coalesce(_text(e, "value"), F.lit("")).alias("value"),
-            F.coalesce(_text(e, "unit"), F.lit("")).alias("unit"),
-            *[_text(e, name).alias(name) for name in _OPTIONAL_TEXTS],
+            _date(e["report_date"]).alias("report_date"),
+            e["provider"].alias("provider"),
+            e["biomarker_name"].alias("biomarker_name"),
+            F.coalesce(e["value"], F.lit("")).alias("value"),
+            F.coalesce(e["unit"], F.lit("")).alias("unit"),
+            *[e[name].alias(name) for name in _OPTIONAL_TEXTS],
         )
 
     def texts(name: str) -> Column:
-        items = F.transform(_text_list(meta, name), lambda i: F.try_variant_get(i, "$", "string"))
-        return F.coalesce(items, F.array().cast("array<string>")).alias(name)
+        return F.coalesce(meta[name], F.array().cast("array<string>")).alias(name)
 
-    method = F.coalesce(_text(doc, "extraction_method"), F.lit(fixed.DEFAULT_METHOD))
-    method = F.col("given_method") if given else method
-    first = F.try_element_at(F.col("measurements"), F.lit(1))
-    typed = parsed.select(
+    parsed = (
+        files.withColumn("_framed", _framed(F.col("content")))
+        .withColumn("_doc", _whole_document(F.col("_framed")))
+        .withColumn("_typed", F.try_variant_get(doc, "$", _AS_TEXT))
+        .withColumn("measurements", F.transform(typed["biomarkers"], measurement))
+        .withColumn("_time", _instant(typed["extracted_at"]))
+        .withColumn("_day", _date(meta["report_date"]))
+    )
+    # Most documents are plain and need one look at their types; the others are examined field
+    # by field.
+    plain = (
+        F.schema_of_variant(doc).rlike(_PLAIN_TYPES)
+        & (F.col("given_source").isNotNull() if given else typed["source_file"].isNotNull())
+        & (typed["extracted_at"].isNull() | F.col("_time").isNotNull())
+        & (meta["report_date"].isNull() | F.col("_day").isNotNull())
+        & ~F.exists(typed["biomarkers"], _incomplete)
+        & ~F.exists(rows, lambda m: m["report_date"].isNull())
+        & ~F.exists(texts("tags"), F.isnull)
+        & ~F.exists(texts("baseline_candidates"), F.isnull)
+    )
+    if given:
+        plain = plain & typed["source_file"].isNull() & typed["extraction_method"].isNull()
+    errors = F.when(plain, F.array().cast("array<string>")).otherwise(
+        _document_errors(
+            doc,
+            _field(doc, "metadata"),
+            F.try_variant_get(doc, "$.biomarkers", "array<variant>"),
+            given,
+        )
+    )
+    method = F.coalesce(typed["extraction_method"], F.lit(fixed.DEFAULT_METHOD))
+    first = F.try_element_at(rows, F.lit(1))
+    checked = F.struct(
         "path",
-        (F.col("given_source") if given else _text(doc, "source_file")).alias("source_file"),
-        _document_errors(doc, meta, rows, given).alias("errors"),
-        F.coalesce(_instant(_text(doc, "extracted_at")), now).alias("extracted_at"),
-        method.alias("extraction_method"),
-        _text(doc, "document_summary").alias("document_summary"),
+        (F.col("given_source") if given else typed["source_file"]).alias("source_file"),
+        errors.alias("errors"),
+        F.coalesce("_time", now).alias("extracted_at"),
+        (F.col("given_method") if given else method).alias("extraction_method"),
+        typed["document_summary"].alias("document_summary"),
         F.struct(
-            _text(meta, "report_type").alias("report_type"),
-            _date(_text(meta, "report_date")).alias("report_date"),
-            _text(meta, "provider").alias("provider"),
+            meta["report_type"].alias("report_type"),
+            F.col("_day").alias("report_date"),
+            meta["provider"].alias("provider"),
             texts("tags"),
             texts("baseline_candidates"),
         ).alias("metadata"),
-        F.transform(rows, measurement).alias("measurements"),
-    )
-    checked = F.struct(
-        "path",
-        "source_file",
-        "errors",
-        "extracted_at",
-        "extraction_method",
-        "document_summary",
-        "metadata",
         first["report_date"].alias("first_report_date"),
         first["provider"].alias("first_provider"),
-        F.coalesce(F.size("measurements"), F.lit(0)).alias("measurement_count"),
+        F.coalesce(F.size(rows), F.lit(0)).alias("measurement_count"),
         "measurements",
     )
     # A generator of one row: a filter on the errors stays above it. Pushed below, it would
     # parse the file once per field it looks at.
-    return typed.select(F.inline(F.array(checked)))
+    return parsed.select(F.inline(F.array(checked)))
 
 
 def good_files(checked: DataFrame) -> DataFrame:
