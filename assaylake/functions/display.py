@@ -9,27 +9,33 @@ from assaylake import fixed_values as fixed
 def two_places(value: Column) -> Column:
     """Value with two decimals, rounded from the exact binary value with ties to even.
 
-    ``round`` works on the shortest decimal text, so 2.675 (stored slightly below) would go up.
-    Only such texts, with 5 as their last digit in the third place, need a second look: the
-    rounding error of ``value * 1000`` says on which side of the tie the stored value lies.
+    Formatting rounds the shortest decimal text, so 2.675 (stored slightly below) would go up.
+    Only values next to a tie, ``n.nn5``, need a second look: splitting the value in two halves
+    gives its exact distance from the tie. Holds up to 1e12, beyond which a double has no
+    third decimal to speak of.
     """
+    tie = F.rint(value * F.lit(1000.0))
+    near_tie = (
+        (F.abs(value) < F.lit(1e12))
+        & (tie % F.lit(10.0)).isin(5.0, -5.0)
+        & (F.abs(value * F.lit(1000.0) - tie) < F.lit(1e-3))
+    )
     big = value * F.lit(134217729.0)
     head = big - (big - value)
-    tail = value - head
-    scaled = value * F.lit(1000.0)
-    error = (head * F.lit(1000.0) - scaled) + tail * F.lit(1000.0)
-    looks_tied = (F.abs(scaled) < F.lit(1e15)) & (scaled % F.lit(10.0)).isin(5.0, -5.0)
-    toward_zero = (scaled - F.signum(scaled) * F.lit(5.0)) / F.lit(1000.0)
-    away = (scaled + F.signum(scaled) * F.lit(5.0)) / F.lit(1000.0)
-    side = error * F.signum(scaled)
-    even = (F.abs(scaled) - F.lit(5.0)) / F.lit(10.0) % F.lit(2.0) == 0
-    settled = F.when((side < 0) | ((side == 0) & even), toward_zero).otherwise(away)
-    shown = F.format_string("%.2f", F.when(looks_tied, settled).otherwise(value))
+    distance = (head * F.lit(1000.0) - tie) + (value - head) * F.lit(1000.0)
+    sign = F.signum(tie)
+    lower, upper = tie - sign * F.lit(5.0), tie + sign * F.lit(5.0)
+    lower_is_even = (lower / F.lit(10.0)) % F.lit(2.0) == 0
+    inward = (distance * sign < 0) | ((distance == 0) & lower_is_even)
+    settled = F.when(inward, lower).otherwise(upper) / F.lit(1000.0)
+    # A negative value keeps its sign even when it rounds to zero.
+    minus = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    shown = F.when(near_tie, F.concat(minus, F.format_string("%.2f", F.abs(settled))))
     return (
         F.when(F.isnan(value), F.lit("nan"))
         .when(value == float("inf"), F.lit("inf"))
         .when(value == float("-inf"), F.lit("-inf"))
-        .when(value.isNotNull(), shown)
+        .when(value.isNotNull(), F.coalesce(shown, F.format_string("%.2f", value)))
     )
 
 
