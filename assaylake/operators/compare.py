@@ -12,28 +12,6 @@ REPORT_KEYS = ("biomarker_key", "report_date")
 FULL_GRAIN = ("biomarker_key", "report_date", "provider")
 
 
-def _of_sources_keys(left: DataFrame, right: DataFrame, keys, source_file: str):
-    """Both sides cut down to the keys that the source has on either side.
-
-    The source filter itself must follow the outer join, or matches would turn into one-sided
-    rows; rows of other keys, however, can never pass it.
-    """
-    touched = (
-        left.where(F.col("source_file") == source_file)
-        .select(*keys)
-        .unionByName(right.where(F.col("source_file") == source_file).select(*keys))
-        .distinct()
-        .alias("t")
-    )
-
-    def cut(side: DataFrame) -> DataFrame:
-        s = side.alias("s")
-        same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-        return s.join(touched, same, "left_semi")
-
-    return cut(left), cut(right)
-
-
 def pair_facts(
     left: DataFrame,
     right: DataFrame,
@@ -46,12 +24,10 @@ def pair_facts(
     left one meets every right one. ``FULL_GRAIN`` matches rows one to one.
     """
     needed = [*keys, "value_si", "unit_si", "source_file"]
-    left, right = left.select(needed), right.select(needed)
-    if source_file is not None:
-        left, right = _of_sources_keys(left, right, keys, source_file)
-    p, d = left.alias("p"), right.alias("d")
+    p, d = left.select(needed).alias("p"), right.select(needed).alias("d")
     joined = p.join(d, [F.col(f"p.{k}") == F.col(f"d.{k}") for k in keys], "full")
     if source_file is not None:
+        # Either side may hold the source. Ahead of the join this would make matches one-sided.
         joined = joined.where(
             (F.col("p.source_file") == source_file) | (F.col("d.source_file") == source_file)
         )

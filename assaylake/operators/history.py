@@ -26,11 +26,13 @@ def range_snapshot(staged: DataFrame, part: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def newest_range(snapshot: DataFrame, part: Sequence[str] = ()) -> DataFrame:
+def newest_range(staged: DataFrame, part: Sequence[str] = ()) -> DataFrame:
     """The range last seen per key: the one-row-per-key batch that a merge needs."""
-    seen = F.col("last_seen_date")
-    return snapshot.groupBy(*part, *KEY).agg(
-        *[F.max_by(b, seen).alias(b) for b in BOUNDS], F.max(seen).alias("last_seen_date")
+    day = F.col("report_date")
+    return (
+        _with_a_bound(staged)
+        .groupBy(*part, *KEY)
+        .agg(*[F.max_by(b, day).alias(b) for b in BOUNDS], F.max(day).alias("last_seen_date"))
     )
 
 

@@ -129,5 +129,5 @@ def load_status(raw: DataFrame, docs: DataFrame) -> DataFrame:
         F.count("biomarker_name_raw").alias("unique_biomarkers"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("measurements"),
     )
-    one = F.lit(1).alias("one")
-    return reports.select(one, "*").join(totals.select(one, "*"), "one").drop("one")
+    both = reports.unionByName(totals, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

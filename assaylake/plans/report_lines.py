@@ -283,6 +283,21 @@ def findings_lines(facts: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def profile_lines(
+    facts: DataFrame, documents: DataFrame, generated: Column, **profile: DataFrame | None
+) -> DataFrame:
+    """The four profile reports. Facts and documents are read several times; pass written
+    tables rather than the plans that compute them."""
+    return _union(
+        [
+            snapshot_lines(facts, generated),
+            timeline_lines(documents, generated),
+            history_lines(documents, generated, **profile),
+            index_lines(documents, facts, generated),
+        ]
+    )
+
+
 def in_order(lines: DataFrame) -> DataFrame:
     return lines.orderBy("report", *ORDER)
 

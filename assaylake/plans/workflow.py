@@ -61,7 +61,7 @@ def update_range_history(
 ) -> None:
     """Merge the newest ranges into the history; the merged copy is written before the swap."""
     run_ts = F.localtimestamp() if run_ts is None else run_ts
-    batch = history.newest_range(history.range_snapshot(staged))
+    batch = history.newest_range(staged)
     before = read_range_history(spark, root)
     if before is None:
         merged = history.open_history(batch, run_ts)
@@ -83,13 +83,8 @@ def render(
     """Write the four reports of the environment as text."""
     day = F.current_date() if generated is None else generated
     facts, documents = read_mart(spark, root, FACTS), read_mart(spark, root, DOCUMENTS)
-    lines = (
-        report_lines.snapshot_lines(facts, day)
-        .unionByName(report_lines.timeline_lines(documents, day))
-        .unionByName(
-            report_lines.history_lines(documents, day, conditions, variants, patterns)
-        )
-        .unionByName(report_lines.index_lines(documents, facts, day))
+    lines = report_lines.profile_lines(
+        facts, documents, day, conditions=conditions, variants=variants, patterns=patterns
     )
     report_lines.write_reports(lines, f"{root}/reports")
 

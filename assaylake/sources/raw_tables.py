@@ -44,7 +44,13 @@ def read_raw(spark: SparkSession, root: str, table: str) -> DataFrame:
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
+
+
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, and known to the optimizer as such, so that joins with it vanish."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return spark.range(1).where(F.lit(False)).select(*columns)
 
 
 def _write_batch(df: DataFrame, root: str, table: str, batch: str) -> None:
@@ -78,9 +84,9 @@ def load_checked(checked: DataFrame, root: str, batch: str) -> DataFrame:
     )
 
 
-def without_sources(table: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows of other sources than the listed ones."""
-    return table.join(sources.select("source_file"), "source_file", "left_anti")
+def without_sources(table: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """Rows of other sources than the listed ones; the list reaches the scan as a filter."""
+    return table.where(~F.col("source_file").isin(*sources))
 
 
 def delete_sources(spark: SparkSession, root: str, sources: Sequence[str]) -> int:
@@ -90,21 +96,17 @@ def delete_sources(spark: SparkSession, root: str, sources: Sequence[str]) -> in
     Measurements go before documents: a source half deleted still counts as loaded and can be
     deleted again.
     """
-    listed = spark.createDataFrame([(s,) for s in sources], "source_file string")
-    deleted = (
-        read_raw(spark, root, "lab_results").join(listed, "source_file", "left_semi").count()
-    )
-    for table in ("lab_results", "documents"):
+    deleted = 0
+    for table, schema in (("lab_results", TABLES["lab_results"]), ("documents", TABLES["documents"])):
         rows = read_raw(spark, root, table)
-        held = rows.join(listed, "source_file", "left_semi").select(BATCH).distinct()
-        # One row per batch that ever held one of the listed sources.
-        for batch in [r[BATCH] for r in held.toLocalIterator()]:
-            kept = without_sources(rows.where(F.col(BATCH) == batch).drop(BATCH), listed)
+        # One row per batch that holds a listed source: each source was loaded by one batch.
+        held = rows.where(F.col("source_file").isin(*sources)).groupBy(BATCH).count().collect()
+        for batch, hits in held:
+            kept = without_sources(rows.where(F.col(BATCH) == batch).drop(BATCH), sources)
             copy = f"{root}/rewrite/{table}/{batch}"
-            kept.select(TABLES[table].names).write.mode("overwrite").parquet(copy)
-            _write_batch(
-                spark.read.schema(TABLES[table]).parquet(copy), root, table, batch
-            )
+            kept.write.mode("overwrite").parquet(copy)
+            _write_batch(spark.read.schema(schema).parquet(copy), root, table, batch)
+            deleted += hits if table == "lab_results" else 0
     return deleted
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylake import schemas
 from assaylake.functions.text import first_fenced_block
 from assaylake.functions.values import (
     censored_value,
@@ -158,14 +159,13 @@ def _facts_on_date(lab: Lab) -> DataFrame:
 
 
 def _scd2(lab: Lab) -> DataFrame:
-    def newest(staged: DataFrame) -> DataFrame:
-        return history.newest_range(history.range_snapshot(staged))
-
     half = F.to_date(F.lit("2024-01-15"))
     staged = lab.staged
-    first = history.open_history(newest(staged.where(F.col("report_date") < half)), _run(RUN_1))
-    second = newest(staged.where(F.col("report_date") >= half))
-    return history.merge_range_history(first, second, _run(RUN_2))
+    first = history.newest_range(staged.where(F.col("report_date") < half))
+    second = history.newest_range(staged.where(F.col("report_date") >= half))
+    return history.merge_range_history(
+        history.open_history(first, _run(RUN_1)), second, _run(RUN_2)
+    )
 
 
 def _dq_unique(lab: Lab) -> DataFrame:
@@ -248,15 +248,19 @@ def _conditions(lab: Lab) -> DataFrame:
     )
 
 
+def _written(lab: Lab, **tables: DataFrame) -> list[DataFrame]:
+    """Tables written once to the shared folder and read from there, as several reports do."""
+    root = shared_folder(lab.spark)
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{name}")
+    return [lab.spark.read.parquet(f"{root}/{name}") for name in tables]
+
+
 def _all_lines(lab: Lab) -> DataFrame:
-    day, facts, documents = _generated(), lab.facts, lab.documents
-    lines = (
-        report_lines.snapshot_lines(facts, day)
-        .unionByName(report_lines.timeline_lines(documents, day))
-        .unionByName(report_lines.history_lines(documents, day, **lab.profile))
-        .unionByName(report_lines.index_lines(documents, facts, day))
+    facts, documents = _written(lab, facts=lab.facts, documents=lab.documents)
+    return report_lines.in_order(
+        report_lines.profile_lines(facts, documents, _generated(), **lab.profile)
     )
-    return report_lines.in_order(lines)
 
 
 def _new_good(lab: Lab) -> DataFrame:
@@ -265,7 +269,7 @@ def _new_good(lab: Lab) -> DataFrame:
 
 
 def _no_documents(lab: Lab) -> DataFrame:
-    return lab.spark.createDataFrame([], "source_file string")
+    return raw_tables.empty(lab.spark, schemas.DOCUMENTS)
 
 
 def _quarantine(lab: Lab) -> DataFrame:
@@ -298,9 +302,7 @@ def _incremental_ingest(lab: Lab) -> DataFrame:
 
 
 def _delete_source(lab: Lab) -> DataFrame:
-    sources = lab.spark.createDataFrame([("doc_7",), ("doc_8",)], "source_file string")
-    raw = lab.raw
-    return raw_tables.without_sources(raw, sources).select(raw.columns)
+    return raw_tables.without_sources(lab.raw, ["doc_7", "doc_8"])
 
 
 def _export_names(lab: Lab) -> DataFrame:
