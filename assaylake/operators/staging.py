@@ -54,3 +54,16 @@ def stage_measurements(raw: DataFrame, part: Sequence[str] = ()) -> DataFrame:
         "loinc_code",
         "notes",
     )
+
+
+def newest_two(staged: DataFrame, part: Sequence[str] = ()) -> DataFrame:
+    """The two newest staged rows per measurement name: all that a snapshot needs.
+
+    Taken ahead of the join with a reference dimension too large to broadcast, it keeps a hot
+    name from gathering in one task of that join.
+    """
+    newest_first = Window.partitionBy(*part, "biomarker_name").orderBy(
+        F.desc_nulls_last("report_date"), F.desc("lab_result_id")
+    )
+    ranked = staged.withColumn("place", F.row_number().over(newest_first))
+    return ranked.where(F.col("place") <= 2).drop("place")

@@ -33,7 +33,9 @@ def latest_and_previous(facts: DataFrame, part: Sequence[str] = ()) -> DataFrame
     """Newest fact per key next to the value and date of the one before, in one window.
 
     Ranks up to 2 are kept before the shuffle, so a key sends two rows per map task however
-    many it has; both ranks then fold into one row on the same partitioning.
+    many it has; both ranks then fold into one row on the same partitioning. That holds for
+    written facts and broadcast dimensions. Where a dimension too large to broadcast is yet to
+    be joined, start from ``newest_two`` of the staged rows.
     """
     keys = [*part, "biomarker_key"]
     newest_first = Window.partitionBy(*keys).orderBy(

@@ -1,0 +1,108 @@
+import pytest
+from pyspark.sql import functions as F
+
+from assaylake.operators.marts import (
+    document_dimension,
+    measurement_facts,
+    to_conventional_units,
+)
+from assaylake.operators.staging import stage_measurements
+
+
+def test_staging_keeps_the_last_extraction(raw_rows):
+    raw = raw_rows(
+        {"id": "a", "value_raw": "1"},
+        {"id": "b", "value_raw": "2", "extracted_at": "2025-02-01 00:00:00"},
+        {"id": "c", "value_raw": "3", "biomarker_name_raw": "  Glucose "},
+        {"id": "d", "value_raw": "4", "provider": "LabCorp"},
+        {"id": "e", "value_raw": None},
+        {"id": "f", "biomarker_name_raw": None},
+    )
+    rows = {r.lab_result_id: r for r in stage_measurements(raw).collect()}
+    assert sorted(rows) == ["b", "d"]
+    assert rows["b"].biomarker_name == "Glucose"
+    assert rows["b"].value_numeric == 2.0
+
+
+def test_staging_ties_go_to_the_greater_id(raw_rows):
+    raw = raw_rows({"id": "a"}, {"id": "c"}, {"id": "b"})
+    assert [r.lab_result_id for r in stage_measurements(raw).collect()] == ["c"]
+
+
+def test_staging_per_subject(raw_rows):
+    raw = raw_rows({"id": "a"}, {"id": "b"}).withColumn("subject", F.col("id"))
+    assert stage_measurements(raw, ("subject",)).count() == 2
+
+
+def test_a_name_filter_reaches_the_scan(raw_rows, tmp_path, spark):
+    raw_rows({"id": "a"}).write.parquet(str(tmp_path / "raw"))
+    staged = stage_measurements(spark.read.parquet(str(tmp_path / "raw")))
+    plan = staged.where("provider = 'Quest'").select("provider", "biomarker_name")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(provider,Quest)" in text
+    assert "notes" not in text.split("ReadSchema")[1]
+    assert text.count("WindowGroupLimit") == 2
+
+
+FACTS = [
+    # day, name, value, low, high, factor, best low, best high -> SI value, reference, optimal
+    ("2025-06-01", "Glucose (Fasting)", "102", "65", "99", 0.0555, 3.9, 5.0, 5.661, False, False),
+    ("2025-06-01", "Vitamin D (25-OH)", "28", "30", "100", 2.496, 100.0, 150.0, 69.888, False, False),
+    ("2025-11-15", "LDL Cholesterol", "145", None, "100", 0.0259, 1.0, 2.6, 3.7555, False, False),
+    ("2025-11-15", "HDL Cholesterol", "55", "40", None, 0.0259, 1.3, 2.5, 1.4245, True, True),
+    ("2025-11-15", "CRP (hs)", "<0.1", None, "3.0", 1.0, 0.0, 1.0, 0.05, True, True),
+]
+
+
+def test_facts(raw_rows, meta_rows):
+    raw = raw_rows(
+        *[
+            {
+                "report_date": day,
+                "biomarker_name_raw": name,
+                "value_raw": value,
+                "reference_range_low_raw": low,
+                "reference_range_high_raw": high,
+            }
+            for day, name, value, low, high, *_ in FACTS
+        ]
+    )
+    meta = meta_rows(
+        *[(n, "c", "mg/dL", "si", f, "cat", bl, bh) for _, n, _, _, _, f, bl, bh, *_ in FACTS]
+    )
+    rows = {r.biomarker_key: r for r in measurement_facts(stage_measurements(raw), meta).collect()}
+    for _, name, _, _, _, _, _, _, si, reference, optimal in FACTS:
+        assert rows[name].value_si == pytest.approx(si, abs=1e-9)
+        assert rows[name].is_within_ref_range is reference
+        assert rows[name].is_within_optimal_range is optimal
+        assert rows[name].unit_si == "si"
+        assert rows[name].loinc_code == "c"
+
+
+def test_unknown_names_stay_without_category(raw_rows, meta_rows):
+    raw = raw_rows({"value_raw": "7", "loinc_code": "own"})
+    row = measurement_facts(stage_measurements(raw), meta_rows()).first()
+    assert (row.value_si, row.unit_si, row.category, row.loinc_code) == (7.0, "mg/dL", None, "own")
+    assert row.is_within_optimal_range is None
+
+
+def test_back_to_conventional_units(raw_rows, meta_rows):
+    meta = meta_rows(("Glucose", None, "mg/dL", "mmol/L", 0.0555, "m", None, None))
+    facts = measurement_facts(stage_measurements(raw_rows({"value_raw": "102"})), meta)
+    row = to_conventional_units(facts, meta).first()
+    assert row.value_conventional == pytest.approx(102.0, abs=1e-9)
+    assert row.unit_conventional == "mg/dL"
+
+
+def test_superseded_documents_count_zero(raw_rows, document_rows):
+    raw = raw_rows(
+        {"id": "a", "source_file": "old.pdf"},
+        {"id": "b", "source_file": "new.pdf", "extracted_at": "2025-03-01 00:00:00"},
+    )
+    docs = document_rows({"source_file": "old.pdf"}, {"source_file": "new.pdf"})
+    docs = docs.select(
+        F.col("source_file").alias("id"), "*", F.lit(None).alias("extracted_at"),
+        F.lit("api").alias("extraction_method"),
+    )
+    counts = document_dimension(docs, stage_measurements(raw)).collect()
+    assert {r.source_file: r.biomarker_count for r in counts} == {"old.pdf": 0, "new.pdf": 1}

@@ -1,0 +1,112 @@
+"""A third of all rows under one key, with joins forced off broadcast."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from assaylake.operators.marts import measurement_facts
+from assaylake.operators.staging import newest_two, stage_measurements
+from assaylake.plans.questions import latest_per_key
+from assaylake.plans.reports import current_snapshot
+from assaylake.sources.extraction import new_documents
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def skewed_staging(spark, rows=60_000):
+    """A third of the rows are ``hot``; every row survives deduplication."""
+    n = F.col("id")
+    raw = spark.range(0, rows, 1, 8).select(
+        n.cast("string").alias("id"),
+        F.lit("s").alias("source_file"),
+        F.lit("2025-01-01").cast("timestamp_ntz").alias("extracted_at"),
+        F.lit("api").alias("extraction_method"),
+        F.date_add(F.lit("1900-01-01").cast("date"), (n % 30_000).cast("int")).alias("report_date"),
+        F.concat(F.lit("lab"), (n / 30_000).cast("int").cast("string")).alias("provider"),
+        F.when(n % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), n % 500)).alias(
+            "biomarker_name_raw"
+        ),
+        n.cast("string").alias("value_raw"),
+        F.lit("u").alias("unit_raw"),
+        F.lit("1").alias("reference_range_low_raw"),
+        F.lit(None).cast("string").alias("reference_range_high_raw"),
+        F.lit(None).cast("string").alias("loinc_code"),
+        F.lit(None).cast("string").alias("notes"),
+    )
+    return stage_measurements(raw)
+
+
+def skewed_meta(spark):
+    n = F.col("id")
+    return spark.range(0, 501).select(
+        F.when(n == 500, "hot").otherwise(F.concat(F.lit("k"), n)).alias("biomarker_key"),
+        F.lit(None).cast("string").alias("loinc_code"),
+        F.lit("u").alias("conventional_unit"),
+        F.lit("si").alias("si_unit"),
+        F.lit(2.0).alias("conversion_factor"),
+        F.lit("c").alias("category"),
+        F.lit(0.0).alias("optimal_range_low_si"),
+        F.lit(1e9).alias("optimal_range_high_si"),
+    )
+
+
+def test_hot_name_is_split_in_the_dimension_join(spark, no_broadcast):
+    facts = measurement_facts(skewed_staging(spark), skewed_meta(spark))
+    rows = facts.agg(
+        F.count("*"), F.count_if(F.col("value_si") == F.col("value_original") * 2)
+    )
+    assert tuple(rows.first()) == (60_000, 60_000)
+    plain = facts.select("lab_result_id", "value_si", "category")
+    plain.collect()
+    assert "skew=true" in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_name_in_snapshot_and_latest(spark, no_broadcast):
+    facts = measurement_facts(skewed_staging(spark), skewed_meta(spark)).drop("category")
+    facts = facts.withColumn("category", F.lit("c"))
+    snapshot = current_snapshot(facts)
+    hot = snapshot.where("biomarker_key = 'hot'").first()
+    assert hot.value_original == 59_997.0
+    latest = latest_per_key(facts).where("biomarker_key = 'hot'").collect()
+    assert len(latest) == 2
+
+
+def test_hot_name_shrinks_before_a_join_that_cannot_split_it(spark, no_broadcast):
+    """Two rows per name reach the dimension; the snapshot stays the same."""
+    staged, meta = skewed_staging(spark), skewed_meta(spark)
+    lean = current_snapshot(measurement_facts(newest_two(staged), meta))
+    full = current_snapshot(measurement_facts(staged, meta))
+    assert sorted(lean.collect(), key=str) == sorted(full.collect(), key=str)
+    plan = lean._jdf.queryExecution().executedPlan().toString()
+    join, limit = plan.index("SortMergeJoin"), plan.rindex("WindowGroupLimit [biomarker_name")
+    assert join < limit
+
+
+def test_hot_source_sends_one_file_per_task(spark):
+    """All files but ten share one source; the first by path wins."""
+    n = F.col("id")
+    files = spark.range(0, 20_000, 1, 8).select(
+        F.lpad(n.cast("string"), 8, "0").alias("path"),
+        F.when(n < 10, n.cast("string")).otherwise("shared").alias("source_file"),
+    )
+    known = spark.createDataFrame([("3",)], "source_file string")
+    fresh = new_documents(files, known)
+    rows = {r.source_file: r.path for r in fresh.collect()}
+    assert rows["shared"] == "00000010"
+    assert len(rows) == 10 and "3" not in rows
+    assert "WindowGroupLimit" in fresh._jdf.queryExecution().executedPlan().toString()
