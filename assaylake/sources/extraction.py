@@ -220,7 +220,7 @@ def check_extractions(files: DataFrame, now: Column | None = None) -> DataFrame:
     )
     method = F.coalesce(typed["extraction_method"], F.lit(fixed.DEFAULT_METHOD))
     first = F.try_element_at(rows, F.lit(1))
-    checked = F.struct(
+    checked = parsed.select(
         "path",
         (F.col("given_source") if given else typed["source_file"]).alias("source_file"),
         errors.alias("errors"),
@@ -241,7 +241,7 @@ def check_extractions(files: DataFrame, now: Column | None = None) -> DataFrame:
     )
     # A generator of one row: a filter on the errors stays above it. Pushed below, it would
     # parse the file once per field it looks at.
-    return parsed.select(F.inline(F.array(checked)))
+    return checked.select(F.inline(F.array(F.struct("*"))))
 
 
 def good_files(checked: DataFrame) -> DataFrame:

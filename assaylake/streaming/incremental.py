@@ -1,5 +1,7 @@
 """Incremental loading of a growing directory (ST1)."""
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,15 +27,20 @@ def start_load(
 ) -> StreamingQuery:
     """Load what is new in a stream of files, then stop.
 
-    A micro-batch is one load batch named after its number: replayed after a failure it
-    overwrites itself, and sources loaded by other batches are skipped.
+    A micro-batch is one load batch, named after the query's id in the checkpoint and its number.
+    Replayed after a failure it overwrites itself; a query that starts over with another
+    checkpoint has another id and overwrites nothing. Sources loaded by other batches are
+    skipped.
     """
+    spark, name = files.sparkSession, f"load-{uuid4()}"
 
     def load(batch: DataFrame, number: int) -> None:
-        load_files(batch, root, f"stream-{number:012d}", now)
+        query_id = next(q.id for q in spark.streams.active if q.name == name)
+        load_files(batch, root, f"stream-{query_id}-{number:09d}", now)
 
     return (
-        files.writeStream.foreachBatch(load)
+        files.writeStream.queryName(name)
+        .foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -256,6 +256,13 @@ def _written(lab: Lab, **tables: DataFrame) -> list[DataFrame]:
     return [lab.spark.read.parquet(f"{root}/{name}") for name in tables]
 
 
+def _declared_checks(lab: Lab) -> DataFrame:
+    staged, facts, documents = _written(
+        lab, staged=lab.staged, facts=lab.facts, documents=lab.documents
+    )
+    return quality.declared_checks(lab.raw, lab.docs, staged, facts, documents, lab.meta)
+
+
 def _all_lines(lab: Lab) -> DataFrame:
     facts, documents = _written(lab, facts=lab.facts, documents=lab.documents)
     return report_lines.in_order(
@@ -360,9 +367,7 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
     ),
     "dq_not_null": _dq_not_null,
     "dq_relationships": _dq_relationships,
-    "dq_declared_checks": lambda lab: quality.declared_checks(
-        lab.raw, lab.docs, lab.staged, lab.facts, lab.documents, lab.meta
-    ),
+    "dq_declared_checks": _declared_checks,
     "dq_constraints": lambda lab: quality.constraint_checks(lab.raw, lab.docs),
     "dq_unit_mismatch": _unit_mismatch,
     "redact_text": _redact_text,
