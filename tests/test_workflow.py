@@ -6,8 +6,11 @@ from conftest import extraction, measurement
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from assaylake.operators.staging import stage_measurements
 from assaylake.plans import workflow
+from assaylake.plans.questions import newest_out_of_range
 from assaylake.sources import raw_tables
+from assaylake.sources.extraction import read_extraction_files
 from assaylake.streaming.incremental import file_stream, start_incremental_load, start_load
 
 
@@ -20,10 +23,37 @@ def meta(meta_rows):
     )
 
 
+def load(spark, in_dir, root, batch):
+    return raw_tables.load_files(read_extraction_files(spark, str(in_dir)), root, batch)
+
+
 def stamp(text):
     return F.lit(text).cast("timestamp_ntz")
 
 
+def check_adhoc_sql(spark, root):
+    workflow.register_tables(spark, root)
+    newest = spark.sql("""
+        select biomarker_key from main.fct_biomarkers
+        where report_date = (select max(report_date) from main.fct_biomarkers)
+          and is_within_ref_range = false
+    """)
+    assert [r.biomarker_key for r in newest.collect()] == ["TNF-alpha"]
+    per_source = spark.sql("select source_file, count(*) n from raw.lab_results group by 1")
+    assert {r.source_file: r.n for r in per_source.collect()} == {
+        "labcorp.pdf": 5, "quest.pdf": 6, "genes.pdf": 2,
+    }
+    assert spark.sql("select * from snapshots.snap_reference_ranges").count() > 0
+
+
+def check_scalar_subquery(spark, root):
+    """The newest date is found by a subquery, and few columns are read."""
+    rows = newest_out_of_range(workflow.read_mart(spark, root, workflow.FACTS))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "value_si" in x)
+    assert "IsNotNull(report_date)" in scan and "value_raw" not in scan
+
+
 def test_load_transform_report_compare(spark, in_dir, tmp_path, meta):
     root = str(tmp_path / "lake")
     stats = workflow.run(spark, str(in_dir), root, "b1", meta, stamp("2026-02-01 00:00:00"))
@@ -46,13 +76,17 @@ def test_load_transform_report_compare(spark, in_dir, tmp_path, meta):
     assert crp in lines
     assert "| Glucose (Fasting) | 5.27 mmol/L | 95.0 mg/dL | 2025-11-15 | Normal | v |" in lines
 
+    check_adhoc_sql(spark, root)
+    check_scalar_subquery(spark, root)
+
     # A second environment where one value changes and one report is missing.
     (in_dir / "2.json").unlink()
     changed = extraction("labcorp.pdf", [
         measurement("Glucose (Fasting)", "103", "LabCorp", "2025-06-01", unit="mg/dL")])
     (in_dir / "0.json").write_text(json.dumps(changed))
     env = raw_tables.environment_root(root, "trial")
-    workflow.run(spark, str(in_dir), env, "b1", meta)
+    load(spark, in_dir, env, "b1")
+    workflow.transform(spark, env, meta)
     diff = workflow.compare(spark, root, "trial").collect()
     status = {}
     for r in diff:
@@ -64,52 +98,22 @@ def test_load_transform_report_compare(spark, in_dir, tmp_path, meta):
         workflow.compare(spark, root, "missing")
 
 
-def test_ranges_gain_a_version_when_a_bound_changes(spark, in_dir, tmp_path, meta):
+def test_ranges_gain_a_version_when_a_bound_changes(spark, in_dir, tmp_path, raw_rows):
     root = str(tmp_path / "lake")
-    workflow.run(spark, str(in_dir), root, "b1", meta, stamp("2026-02-01 00:00:00"))
-    before = workflow.read_range_history(spark, root).count()
-    workflow.run(spark, str(in_dir), root, "b2", meta, stamp("2026-02-02 00:00:00"))
-    assert workflow.read_range_history(spark, root).count() == before
-    new = extraction("next.pdf", [
-        measurement("Glucose (Fasting)", "90", "LabCorp", "2026-03-01", reference_range_low="70",
-                    reference_range_high="99")])
-    (in_dir / "3.json").write_text(json.dumps(new))
-    workflow.run(spark, str(in_dir), root, "b3", meta, stamp("2026-03-02 00:00:00"))
-    versions = workflow.read_range_history(spark, root).where(
-        "provider = 'LabCorp' and biomarker_name = 'Glucose (Fasting)'"
-    )
-    assert sorted((r.reference_range_low, str(r.valid_to)) for r in versions.collect()) == [
-        (65.0, "2026-03-02 00:00:00"), (70.0, "None"),
-    ]
-
 
-def test_adhoc_sql(spark, in_dir, tmp_path, meta):
-    root = str(tmp_path / "lake")
-    workflow.run(spark, str(in_dir), root, "b1", meta)
-    workflow.register_tables(spark, root)
-    newest = spark.sql("""
-        select biomarker_key from main.fct_biomarkers
-        where report_date = (select max(report_date) from main.fct_biomarkers)
-          and is_within_ref_range = false
-    """)
-    assert [r.biomarker_key for r in newest.collect()] == ["TNF-alpha"]
-    per_source = spark.sql("select source_file, count(*) n from raw.lab_results group by 1")
-    assert {r.source_file: r.n for r in per_source.collect()} == {
-        "labcorp.pdf": 5, "quest.pdf": 6, "genes.pdf": 2,
-    }
-    assert spark.sql("select * from snapshots.snap_reference_ranges").count() > 0
-
-
-def test_scalar_subquery_reaches_the_scan(spark, in_dir, tmp_path, meta):
-    from assaylake.plans.questions import newest_out_of_range
-
-    root = str(tmp_path / "lake")
-    workflow.run(spark, str(in_dir), root, "b1", meta)
-    rows = newest_out_of_range(workflow.read_mart(spark, root, workflow.FACTS))
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    scan = next(x for x in plan.splitlines() if "FileScan" in x and "value_si" in x)
-    assert "scalar-subquery" in scan or "ScalarSubquery" in scan or "subquery" in scan
-    assert "IsNotNull(report_date)" in scan and "value_raw" not in scan
+    def update(low, day):
+        staged = stage_measurements(
+            raw_rows({"reference_range_low_raw": low, "report_date": day, "provider": "LabCorp"})
+        )
+        workflow.update_range_history(spark, root, staged, stamp(day))
+        return sorted(
+            (r.reference_range_low, str(r.valid_to)[:10])
+            for r in workflow.read_range_history(spark, root).collect()
+        )
+
+    assert update("65", "2026-02-01") == [(65.0, "None")]
+    assert update("65", "2026-02-02") == [(65.0, "None")]
+    assert update("70", "2026-03-02") == [(65.0, "2026-03-02"), (70.0, "None")]
 
 
 def batches(query):
