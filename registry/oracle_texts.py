@@ -129,6 +129,17 @@ env as (
   from fct
 )"""
 
+# The second environment of the large facts: some values doubled, some providers moved.
+_ENV_LARGE = """
+env as (
+  select * replace (
+    case when cast(substr(provider, 5) as bigint) % 7 = 0 then provider || 'b' else provider end
+      as provider,
+    case when cast(substr(provider, 5) as bigint) % 3 = 0 then value_si * 2 else value_si end
+      as value_si)
+  from fct
+)"""
+
 _PAIRS = """
 pairs as (
   select coalesce(p.biomarker_key, d.biomarker_key) as biomarker,
@@ -515,6 +526,7 @@ def texts() -> dict[str, str]:
               document_summary, baseline_candidates
             from docs left join counts using (source_file)""",
         "current_snapshot": f"{FACTS}, {_SNAPSHOT} select * from snapshot",
+        "current_snapshot_at_scale": f"{LARGE}, {_SNAPSHOT} select * from snapshot",
         "current_snapshot_per_subject": f"""with {RAW_SUBJECT}, {META}, subject_stg as (
               select *, trim(biomarker_name_raw) as biomarker_key from lab_results
               qualify row_number() over (partition by subject, report_date, biomarker_name_raw,
@@ -565,6 +577,8 @@ def texts() -> dict[str, str]:
         "compare_first_rows": f"""{FACTS}, {_ENV}, {_PAIRS}
             select * exclude (prod_source, env_source) from pairs where status <> 'SAME'
             order by report_date nulls last, biomarker nulls last, provider nulls last limit 100""",
+        "compare_at_scale": f"""{LARGE}, {_ENV_LARGE}, {_PAIRS}
+            select * exclude (prod_source, env_source) from pairs where status <> 'SAME'""",
         "compare_summary": f"""{FACTS}, {_ENV}, {_PAIRS}
             select 'prod rows' as measure, count(*) as rows from fct
             union all select 'env rows', count(*) from env
@@ -601,6 +615,11 @@ def texts() -> dict[str, str]:
         ),
         "dq_relationships": f"{BOTH} "
         + _check("relationships", "fct_biomarkers", "biomarker_key", "warn", _ORPHANS),
+        "dq_relationships_at_scale": f"{LARGE} "
+        + _check(
+            "relationships", "stg_lab_results", "biomarker_name", "error",
+            "select count(*) from stg where biomarker_name not in (select biomarker_key from meta)",
+        ),
         "dq_declared_checks": f"{BOTH} {_declared()}",
         "dq_constraints": f"with {RAW}, {DOCS} {_constraints()}",
         "dq_unit_mismatch": f"""{FACTS} select lab_result_id, biomarker_key, unit_original,

@@ -21,7 +21,7 @@ from assaylake.operators.marts import (
     measurement_facts,
     to_conventional_units,
 )
-from assaylake.operators.staging import newest_extraction, stage_measurements
+from assaylake.operators.staging import newest_extraction, newest_two, stage_measurements
 from assaylake.plans import questions, report_lines, reports
 from assaylake.sources import exports, extraction, raw_tables
 from assaylake.streaming.incremental import start_load
@@ -71,6 +71,10 @@ class Lab:
     def staged_large(self) -> DataFrame:
         return stage_measurements(self.view(views.LAB_RESULTS_LARGE))
 
+    @property
+    def facts_large(self) -> DataFrame:
+        return measurement_facts(self.staged_large, self.view(views.META_LARGE))
+
     @property
     def env_facts(self) -> DataFrame:
         """Facts of the second environment: keys renamed, values missing or shifted."""
@@ -152,6 +156,29 @@ def _snapshot_per_subject(lab: Lab) -> DataFrame:
     )
 
 
+def _snapshot_at_scale(lab: Lab) -> DataFrame:
+    """The dimension grows with the data here, so rows are cut to two per name before it."""
+    facts = measurement_facts(newest_two(lab.staged_large), lab.view(views.META_LARGE))
+    return reports.current_snapshot(facts)
+
+
+def _compare_at_scale(lab: Lab) -> DataFrame:
+    """Line items of a third of the suppliers differ, others moved to another provider."""
+    facts = lab.facts_large
+    supplier = F.regexp_extract("provider", r"(\d+)", 1).cast("long")
+    moved = F.when(supplier % 7 == 0, F.concat("provider", F.lit("b"))).otherwise(F.col("provider"))
+    shifted = F.when(supplier % 3 == 0, F.col("value_si") * 2).otherwise(F.col("value_si"))
+    other = facts.withColumns({"provider": moved, "value_si": shifted})
+    return compare_facts(facts, other, FULL_GRAIN)
+
+
+def _relationships_at_scale(lab: Lab) -> DataFrame:
+    meta = lab.view(views.META_LARGE)
+    return quality.check_relationship(
+        lab.staged_large, "biomarker_name", meta, "biomarker_key", "stg_lab_results"
+    )
+
+
 def _facts_on_date(lab: Lab) -> DataFrame:
     """Ad-hoc SQL over a registered view."""
     lab.facts.createOrReplaceTempView("fct_biomarkers")
@@ -325,9 +352,7 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
         "id", "report_date", "provider", "biomarker_name"
     ),
     "measurement_facts": lambda lab: lab.facts,
-    "facts_at_scale": lambda lab: measurement_facts(
-        lab.staged_large, lab.view(views.META_LARGE)
-    ),
+    "facts_at_scale": lambda lab: lab.facts_large,
     "reference_range_flag": lambda lab: _count_by(lab.facts, "is_within_ref_range"),
     "optimal_range_flag": lambda lab: _count_by(
         lab.facts, "biomarker_key", "is_within_optimal_range"
@@ -338,6 +363,7 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
         lab.view(views.DOCUMENTS_LARGE), lab.staged_large
     ),
     "current_snapshot": lambda lab: reports.current_snapshot(lab.facts),
+    "current_snapshot_at_scale": _snapshot_at_scale,
     "current_snapshot_per_subject": _snapshot_per_subject,
     "timeline": lambda lab: reports.timeline(lab.documents),
     "report_index": lambda lab: reports.report_index(lab.documents, lab.facts),
@@ -357,6 +383,7 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
     "compare_first_rows": lambda lab: compare_facts(
         lab.facts, lab.env_facts, FULL_GRAIN, limit=100
     ),
+    "compare_at_scale": _compare_at_scale,
     "compare_summary": lambda lab: compare_summary(lab.facts, lab.env_facts, FULL_GRAIN),
     "reference_range_snapshot": lambda lab: history.range_snapshot(lab.staged),
     "reference_range_history": lambda lab: history.rebuild_range_history(lab.staged),
@@ -367,6 +394,7 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
     ),
     "dq_not_null": _dq_not_null,
     "dq_relationships": _dq_relationships,
+    "dq_relationships_at_scale": _relationships_at_scale,
     "dq_declared_checks": _declared_checks,
     "dq_constraints": lambda lab: quality.constraint_checks(lab.raw, lab.docs),
     "dq_unit_mismatch": _unit_mismatch,
