@@ -8,7 +8,7 @@ from assaylake import fixed_values as fixed
 
 def strip_space(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(fixed.WHITE_SPACE))
 
 
 def first_fenced_block(text: Column) -> Column:

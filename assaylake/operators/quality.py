@@ -29,15 +29,21 @@ def _result(check: str, table: str, column, severity: str, failures: Column) ->
 def check_unique(
     df: DataFrame, columns: Sequence[str], table: str, severity: str = ERROR
 ) -> DataFrame:
-    """Number of values that occur more than once, per column; NULLs do not count."""
-    results = []
-    for c in columns:
-        occurrences = df.where(F.col(c).isNotNull()).groupBy(c).count()
-        repeated = occurrences.agg(F.count_if(F.col("count") > 1).alias("n"))
-        results.append(
-            repeated.select(F.inline(F.array(_result("unique", table, c, severity, F.col("n")))))
-        )
-    return reduce(DataFrame.unionByName, results)
+    """Number of values that occur more than once, per column; NULLs do not count.
+
+    All columns share one scan and one shuffle of ``(column, value)`` pairs.
+    """
+    pairs = [
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
+    ]
+    values = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    occurrences = values.groupBy("column", "value").count()
+    repeated = F.col("count") > 1
+    counted = occurrences.agg(
+        *[F.count_if(repeated & (F.col("column") == c)).alias(c) for c in columns]
+    )
+    rows = [_result("unique", table, c, severity, F.col(c)) for c in columns]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def check_not_null(

@@ -37,8 +37,8 @@ class Lab:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def view(self, text: str) -> DataFrame:
-        return views.in_spark(self.spark, self.sf_dir, text)
+    def view(self, text: str, **spread_by: str) -> DataFrame:
+        return views.in_spark(self.spark, self.sf_dir, text, spread_by)
 
     def table(self, name: str) -> DataFrame:
         return views.table(self.spark, self.sf_dir, name)
@@ -69,7 +69,7 @@ class Lab:
 
     @property
     def staged_large(self) -> DataFrame:
-        return stage_measurements(self.view(views.LAB_RESULTS_LARGE))
+        return stage_measurements(self.view(views.LAB_RESULTS_LARGE, lineitem="l_orderkey"))
 
     @property
     def facts_large(self) -> DataFrame:
@@ -88,7 +88,8 @@ class Lab:
 
     @property
     def checked_files(self) -> DataFrame:
-        return extraction.check_extractions(self.view(extraction_files.FILES), _now())
+        files = self.view(extraction_files.FILES, events="event_id")
+        return extraction.check_extractions(files, _now())
 
     @property
     def profile(self) -> dict[str, DataFrame]:
@@ -228,9 +229,9 @@ def _unit_mismatch(lab: Lab) -> DataFrame:
     )
 
 
-def _redacted(lab: Lab) -> DataFrame:
-    texts = lab.table("documents").select("doc_id", "lang", "text")
-    return redaction.redact(texts, "text", REDACTED)
+def _redacted(lab: Lab, texts: DataFrame | None = None) -> DataFrame:
+    texts = lab.table("documents") if texts is None else texts
+    return redaction.redact(texts.select("doc_id", "lang", "text"), "text", REDACTED)
 
 
 def _redact_text(lab: Lab) -> DataFrame:
@@ -255,7 +256,7 @@ def _responses(lab: Lab) -> DataFrame:
         )
     )
     answer = F.concat(F.lit("As asked:\n```json\n"), body, F.lit("\n```\nDone."))
-    return _redacted(lab).select(
+    return _redacted(lab, views.spread(lab.table("documents"), "doc_id")).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"),
         answer.alias("response"),
         F.col("redacted_strings").alias("mapping"),

@@ -158,10 +158,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_spark(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """A view text over the tables of a directory."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table with fewer splits than the cluster has cores, as here a file with one row group,
+    spread over the cores; larger tables are left as they are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def in_spark(
+    spark: SparkSession, sf_dir: str, text: str, spread_by: dict[str, str] | None = None
+) -> DataFrame:
+    """A view text over the tables of a directory; ``spread_by`` names those with much work per
+    row, with a column to spread them by."""
     names = [n for n in _TABLES if "{" + n + "}" in text]
     tables = {n: table(spark, sf_dir, n) for n in names}
+    for name, key in (spread_by or {}).items():
+        tables[name] = spread(tables[name], key)
     return spark.sql(text.replace("{ntz}", "_ntz"), **tables)
 
 
