@@ -5,12 +5,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import quality_rules
+from assaylake.llm import exact_dedup, quality_rules
 from assaylake.llm.common import ROW, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -24,13 +28,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
 }
 
 
+_SQL = {
+    "op1_exact_dedup": """
+        select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+               doc_id is not distinct from max(doc_id) over same
+                 and row_number() over (same order by doc_id desc nulls last) = 1 as kept,
+               sha256(coalesce(text, '')) as text_sha256
+        from documents window same as (partition by coalesce(text, ''))
+    """,
+}
+
+
 def registered() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_texts() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
