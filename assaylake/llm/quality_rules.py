@@ -17,10 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import ROW, SPACES, WORD, boxed, text_of, words_of
+from assaylake.llm.common import ROW, WORD, text_of, words_of
+from assaylake.sources.shared import shared_folder, stored
 
 STATS = "_stats"
 WINDOW = 3
+#: Repeated hashes that are looked up for each window of a text.
+LOOKED_UP = 32
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 THRESHOLD = 0.5
 ROUNDS = 50
@@ -81,15 +84,12 @@ RULES = (
 )
 
 
-def _windows(words: Column) -> Column:
-    """The three-word windows with their positions, sorted: equal windows stand side by side."""
-    last = F.size(words) - WINDOW
+def _windows(words: Column, begins: Column) -> Column:
+    """The three-word windows at some positions, sorted: equal windows stand side by side."""
     window = lambda i: F.struct(
         F.concat_ws(" ", *[F.get(words, i + k) for k in range(WINDOW)]).alias("t"), i.alias("i")
     )
-    return F.when(
-        last >= 0, F.sort_array(F.transform(F.sequence(F.lit(0), last), window))
-    ).otherwise(F.array())
+    return F.sort_array(F.transform(begins, window))
 
 
 def _repeated(windows: Column) -> Column:
@@ -113,18 +113,49 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _repeat_words(words: Column) -> Column:
+    """Words in three-word windows that the text has twice or more.
+
+    Hashes of the windows tell which can be repeated, mostly none or a few; those alone are
+    compared as texts. Where many hashes repeat, looking each up would be slower than comparing
+    all windows, so all are compared.
+    """
+    begins = F.sequence(F.lit(0), F.size(words) - WINDOW)
+    hashes = F.transform(
+        begins, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
+    )
+
+    def among(candidates: Column) -> Column:
+        return _bound(_windows(words, candidates), lambda w: _covered(_repeated(w)))
+
+    def of(hashes: Column) -> Column:
+        twice = _bound(
+            F.sort_array(hashes),
+            lambda s: F.array_distinct(F.filter(s, lambda h, i: h == F.get(s, i + 1))),
+        )
+        few = lambda t: F.filter(begins, lambda i: F.array_contains(t, F.get(hashes, i)))
+        candidates = _bound(
+            twice, lambda t: F.when(F.size(t) <= LOOKED_UP, few(t)).otherwise(begins)
+        )
+        return F.when(
+            F.size(F.array_distinct(hashes)) < F.size(hashes), among(candidates)
+        ).otherwise(F.lit(0).cast("long"))
+
+    return F.when(F.size(words) > WINDOW, _bound(hashes, of)).otherwise(F.lit(0).cast("long"))
+
+
 def _statistics(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
 
     def of(words: Column, lines: Column) -> Column:
         stats = {
             "n_words": F.size(words),
-            "word_chars": F.length(F.regexp_replace(text, SPACES, "")),
+            "word_chars": F.length(F.array_join(words, "")),
             "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")),
             "n_capitals": F.regexp_count(text, F.lit("[A-Z]")),
             "n_lines": F.size(lines),
             "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-            "n_repeat_words": _bound(_windows(words), lambda w: _covered(_repeated(w))),
+            "n_repeat_words": _repeat_words(words),
             "n_distinct": F.size(F.array_distinct(words)),
             "n_stop_words": F.size(F.array_intersect(words, F.array(*map(F.lit, STOP_WORDS)))),
         }
@@ -221,21 +252,27 @@ def pattern_counts(judged: DataFrame, rules: Sequence[Rule] = RULES) -> list:
 
 def judge(
     docs: DataFrame,
+    carried: Sequence[str],
     column: str = "text",
     rules: Sequence[Rule] = RULES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Whole rows (``_row``), their statistics, ``base_failed``, ``posterior`` and ``kept``."""
-    judged = with_statistics(boxed(docs), text_of(f"{ROW}.{column}"))
+    """The carried columns (``_row``), the statistics, ``base_failed``, ``posterior`` and ``kept``.
+
+    Texts are read once: the statistics are a written table, from which the rules are fitted and
+    then applied.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]).alias(ROW)
+    counted = with_statistics(docs.select(row, text_of(column).alias("_text")), F.col("_text"))
+    folder = shared_folder(docs.sparkSession, "quality")
+    judged = stored(counted.drop("_text"), folder, "statistics")
     fitted = fit(pattern_counts(judged, rules), len(rules))
-    votes = [F.col(f"_votes.{r.name}") for r in rules]
-    return (
-        judged.withColumn("_votes", F.struct(*[r.vote(stat).alias(r.name) for r in rules]))
-        .withColumns({"base_failed": base_failed(), "posterior": fitted.posterior(votes)})
-        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-    )
+    votes = [r.vote(stat) for r in rules]
+    return judged.withColumns(
+        {"base_failed": base_failed(), "posterior": fitted.posterior(votes)}
+    ).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def keep_good(docs: DataFrame, column: str = "text") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judge(docs, column).where("kept").select(f"{ROW}.*")
+    return judge(docs, docs.columns, column).where("kept").select(f"{ROW}.*")
