@@ -2,12 +2,16 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import exact_dedup, quality_rules, simhash, source_mix
+from assaylake.llm import bpe, exact_dedup, quality_rules, simhash, source_mix
 from assaylake.llm.common import ROW, table
 
+RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -23,8 +27,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), RANK_FILE, PATTERN)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select(
         f"{ROW}.doc_id",
@@ -39,6 +47,7 @@ _QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mix": op2_source_mix,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
 }
 
@@ -55,7 +64,9 @@ _SQL = {
 
 
 def registered() -> dict[str, Query]:
-    return dict(_QUERIES)
+    import corpus_pipeline  # at the top of the repository; it imports the operators
+
+    return _QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_texts() -> dict[str, str]:
