@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, exact_dedup, quality_rules, sharding, simhash, source_mix
+from assaylake.llm import bpe, chat, exact_dedup, quality_rules, sharding, simhash, source_mix
 from assaylake.llm.common import ROW, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -47,6 +47,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal(table(spark, sf_dir, "conversations"))
+
+
 _QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mix": op2_source_mix,
@@ -54,6 +58,7 @@ _QUERIES: dict[str, Query] = {
     "op4_sharding": op4_sharding,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op8_chat_format": op8_chat_format,
 }
 
 
@@ -65,6 +70,31 @@ _SQL = {
                sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))
     """,
+    # conversations as lists of turns; one goes if a longer one begins with its list
+    "op8_chat_format": """
+        with turns as (
+          select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+          from conversations),
+        logged as (
+          select conv_id, list(role order by turn, role, text) as roles,
+                 list(text order by turn, role, text) as texts
+          from turns group by conv_id),
+        each as (
+          select roles, texts, min(conv_id) as conv_id, count(*) as n_logged
+          from logged group by roles, texts),
+        prefixes as (
+          select distinct roles[1:n] as roles, texts[1:n] as texts
+          from (select roles, texts, unnest(range(1, len(roles))) as n from each)),
+        kept as (
+          select conv_id, n_logged from each e
+          where not exists (
+            select 1 from prefixes p where p.roles = e.roles and p.texts = e.texts))
+        select conv_id, cast(count(*) as int) as n_turns, max(n_logged) as n_logged,
+               string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10)
+                 || replace(text, '<|', '< |') || '<|im_end|>' || chr(10),
+                 '' order by turn, role, text) as text
+        from kept join turns using (conv_id) group by conv_id
+    """,
 }
 
 
