@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, chat, exact_dedup, quality_rules, sharding, simhash, source_mix
+from assaylake.llm import bpe, chat, exact_dedup, html_text, quality_rules, sharding, simhash, source_mix
 from assaylake.llm.common import ROW, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -47,6 +47,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.maximal(table(spark, sf_dir, "conversations"))
 
@@ -58,6 +62,7 @@ _QUERIES: dict[str, Query] = {
     "op4_sharding": op4_sharding,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_text": op7_html_text,
     "op8_chat_format": op8_chat_format,
 }
 
