@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, chat, exact_dedup, html_text, quality_rules, sharding, simhash, source_mix, toxicity
+from assaylake.llm import bpe, chat, exact_dedup, html_text, passage_quality, quality_rules, sharding, simhash, source_mix, toxicity
 from assaylake.llm.common import ROW, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,6 +55,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.maximal(table(spark, sf_dir, "conversations"))
 
 
+def op9_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_quality.score(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "labels"),
+        lambda doc_id: toxicity.held_out(doc_id, 3, 1),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(
         table(spark, sf_dir, "documents"),
@@ -72,6 +80,7 @@ _QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_html_text": op7_html_text,
     "op8_chat_format": op8_chat_format,
+    "op9_passage_quality": op9_passage_quality,
     "op10_toxicity": op10_toxicity,
 }
 
