@@ -33,16 +33,14 @@ DIFF_LEFT_ONLY = "PROD ONLY"
 DIFF_RIGHT_ONLY = "ENV ONLY"
 DIFF_CHANGED = "CHANGED"
 DIFF_SAME = "SAME"
-DIFF_SHOWN_ROWS = 100
 
 # Order in which condition groups are listed; other states follow.
 CONDITION_ORDER = ("active", "monitoring", "confirmed", "resolved")
 CONDITION_UNKNOWN = "unknown"
 
-# Placeholder of the n-th redacted string, fence marker, text suffixes.
-PLACEHOLDER = ("[REDACTED_", "]")
+# Placeholder of the n-th redacted string, fence marker, suffixes of text reports.
+PLACEHOLDER = "[REDACTED_{}]"
 FENCE = "```"
-REPORT_SUFFIXES = ("md", "pdf", "txt")
 TEXT_SUFFIXES = ("md", "txt")
 
 # The characters that count as white space when text is stripped.
@@ -53,7 +51,6 @@ WHITE_SPACE = (
 
 # Defaults of an extraction document.
 DEFAULT_METHOD = "api"
-MANUAL_METHOD = "manual"
 UNKNOWN_PART = "unknown"
 UNCATEGORIZED = "uncategorized"
 FINDINGS_ROOT = "docs/findings"

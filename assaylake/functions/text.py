@@ -26,7 +26,7 @@ def _after(text: Column, mark: str) -> Column:
 
 
 def placeholder(number: int) -> str:
-    return fixed.PLACEHOLDER[0] + str(number) + fixed.PLACEHOLDER[1]
+    return fixed.PLACEHOLDER.format(number)
 
 
 def restore_text(text: Column, found: Column) -> Column:

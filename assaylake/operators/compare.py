@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from assaylake import fixed_values as fixed
 
-REPORT_KEYS = ("biomarker_key", "report_date")
 # One row per side after deduplication, so nothing fans out and no key can be hot.
 FULL_GRAIN = ("biomarker_key", "report_date", "provider")
 
@@ -15,13 +14,12 @@ FULL_GRAIN = ("biomarker_key", "report_date", "provider")
 def pair_facts(
     left: DataFrame,
     right: DataFrame,
-    keys: Sequence[str] = REPORT_KEYS,
+    keys: Sequence[str] = FULL_GRAIN,
     source_file: str | None = None,
 ) -> DataFrame:
     """Full outer join of two fact tables with a status per row, equal rows included.
 
-    The default keys leave the provider out: where several providers report on one day, every
-    left one meets every right one. ``FULL_GRAIN`` matches rows one to one.
+    Keys must name one fact on each side, as the default does.
     """
     needed = [*keys, "value_si", "unit_si", "source_file"]
     p, d = left.select(needed).alias("p"), right.select(needed).alias("d")
@@ -52,28 +50,40 @@ def pair_facts(
 def compare_facts(
     left: DataFrame,
     right: DataFrame,
-    keys: Sequence[str] = REPORT_KEYS,
+    keys: Sequence[str] = FULL_GRAIN,
     source_file: str | None = None,
-    limit: int | None = None,
 ) -> DataFrame:
-    """Changed and one-sided rows by date and key; ``limit`` shows only the first ones."""
+    """Changed and one-sided rows by date and key."""
     differing = pair_facts(left, right, keys, source_file).where(
         F.col("status") != fixed.DIFF_SAME
     )
     names = ["biomarker" if k == "biomarker_key" else k for k in keys]
     order = sorted(names, key=lambda n: (n != "report_date", n != "biomarker"))
-    ordered = differing.orderBy(*[F.asc_nulls_last(n) for n in order])
-    return ordered if limit is None else ordered.limit(limit)
+    return differing.orderBy(*[F.asc_nulls_last(n) for n in order])
 
 
 def compare_summary(
-    left: DataFrame, right: DataFrame, keys: Sequence[str] = REPORT_KEYS
+    left: DataFrame, right: DataFrame, keys: Sequence[str] = FULL_GRAIN
 ) -> DataFrame:
-    """Rows on either side and rows per status, as ``(measure, rows)``."""
-    counted = F.count(F.lit(1)).alias("rows")
-    sides = [
-        side.agg(counted).select(F.lit(name).alias("measure"), "rows")
-        for name, side in (("prod rows", left), ("env rows", right))
+    """Rows on either side and rows per status, as ``(measure, rows)``, from one comparison.
+
+    As rows match one to one, a side's rows are all but those of the other side only.
+    """
+    status = F.col("status")
+    states = (
+        fixed.DIFF_LEFT_ONLY, fixed.DIFF_RIGHT_ONLY, fixed.DIFF_CHANGED, fixed.DIFF_SAME
+    )
+    measures = {
+        "prod rows": status != fixed.DIFF_RIGHT_ONLY,
+        "env rows": status != fixed.DIFF_LEFT_ONLY,
+        **{s: status == s for s in states},
+    }
+    counted = pair_facts(left, right, keys).agg(
+        *[F.count_if(holds).alias(name) for name, holds in measures.items()]
+    )
+    rows = [
+        F.struct(F.lit(name).alias("measure"), F.col(f"`{name}`").alias("rows"))
+        for name in measures
     ]
-    per_status = pair_facts(left, right, keys).groupBy(F.col("status").alias("measure"))
-    return sides[0].unionByName(sides[1]).unionByName(per_status.agg(counted))
+    listed = counted.select(F.inline(F.array(*rows)))
+    return listed.where((F.col("rows") > 0) | ~F.col("measure").isin(*states))

@@ -1,4 +1,8 @@
-"""Standard questions over facts and documents (CP9, CP12)."""
+"""Standard questions over facts and documents (CP9, CP12).
+
+Sort keys end in the row's id: the order is total, and a date that many rows share is sorted by
+several tasks.
+"""
 
 from collections.abc import Sequence
 
@@ -16,6 +20,7 @@ def latest_per_key(facts: DataFrame, part: Sequence[str] = ()) -> DataFrame:
     newest = facts.groupBy(*keys).agg(F.max("report_date").alias("report_date"))
     return (
         facts.join(newest, [*keys, "report_date"], "left_semi")
+        .orderBy(F.asc_nulls_last("category"), "biomarker_key", "lab_result_id")
         .select(
             *part,
             "biomarker_key",
@@ -26,13 +31,13 @@ def latest_per_key(facts: DataFrame, part: Sequence[str] = ()) -> DataFrame:
             "is_within_ref_range",
             "is_within_optimal_range",
         )
-        .orderBy(F.asc_nulls_last("category"), "biomarker_key")
     )
 
 
 def key_trend(facts: DataFrame, key: str) -> DataFrame:
     return (
         facts.where(F.col("biomarker_key") == key)
+        .orderBy(F.asc_nulls_last("report_date"), "lab_result_id")
         .select(
             "report_date",
             "value_si",
@@ -41,7 +46,6 @@ def key_trend(facts: DataFrame, key: str) -> DataFrame:
             "is_within_ref_range",
             "is_within_optimal_range",
         )
-        .orderBy(F.asc_nulls_last("report_date"))
     )
 
 
@@ -50,6 +54,7 @@ def newest_out_of_range(facts: DataFrame) -> DataFrame:
     newest = facts.select(F.max("report_date")).scalar()
     return (
         facts.where((F.col("report_date") == newest) & ~F.col("is_within_ref_range"))
+        .orderBy("biomarker_key", "lab_result_id")
         .select(
             "biomarker_key",
             "value_si",
@@ -57,13 +62,13 @@ def newest_out_of_range(facts: DataFrame) -> DataFrame:
             "reference_range_low_si",
             "reference_range_high_si",
         )
-        .orderBy("biomarker_key")
     )
 
 
 def outside_optimal(facts: DataFrame) -> DataFrame:
     return (
         facts.where(~F.col("is_within_optimal_range"))
+        .orderBy(F.desc_nulls_last("report_date"), "biomarker_key", "lab_result_id")
         .select(
             "biomarker_key",
             "value_si",
@@ -72,14 +77,13 @@ def outside_optimal(facts: DataFrame) -> DataFrame:
             "optimal_range_high_si",
             "report_date",
         )
-        .orderBy(F.desc_nulls_last("report_date"), "biomarker_key")
     )
 
 
 def report_inventory(documents: DataFrame) -> DataFrame:
-    return documents.select(
+    return documents.orderBy(F.desc_nulls_last("report_date"), "source_file").select(
         "report_date", "provider", "report_type", "biomarker_count", "tags"
-    ).orderBy(F.desc_nulls_last("report_date"))
+    )
 
 
 def category_summary(facts: DataFrame) -> DataFrame:
@@ -99,21 +103,22 @@ def count_per_source(raw: DataFrame) -> DataFrame:
 
 def recent_facts(facts: DataFrame) -> DataFrame:
     """All facts, newest first, in the short form used for quick looks."""
-    return facts.select(
+    newest_first = [F.desc_nulls_last("report_date"), "biomarker_key", "lab_result_id"]
+    return facts.orderBy(*newest_first).select(
         "biomarker_key",
         "value_si",
         "unit_si",
         "report_date",
         "is_within_ref_range",
         "is_within_optimal_range",
-    ).orderBy(F.desc_nulls_last("report_date"), "biomarker_key")
+    )
 
 
 def document_context(documents: DataFrame) -> DataFrame:
     """Narratives and candidates of all documents, oldest first."""
     return documents.select(
         "source_file", "report_date", "report_type", "document_summary", "baseline_candidates"
-    ).orderBy(F.asc_nulls_last("report_date"))
+    ).orderBy(F.asc_nulls_last("report_date"), "source_file")
 
 
 def load_status(raw: DataFrame, docs: DataFrame) -> DataFrame:

@@ -29,10 +29,7 @@ INDEX_TITLE = "# Report Index"
 INDEX_HEAD = "| Date | Type | Provider | Biomarkers | Out of Range | Tags | Findings |"
 INDEX_RULE = "|------|------|----------|------------|--------------|------|----------|"
 TOTAL = "Total reports: "
-NO_PROFILE = (
-    "No baseline profile found. Copy `profile/templates/baseline.template.yml` "
-    "to `profile/baseline.yml` and fill in your data."
-)
+NO_PROFILE = "There is no profile. Pass conditions, variants or patterns to fill this report."
 FINDINGS_HEAD = "Recent biomarker results:"
 CONTEXT_HEAD = "Document summaries and baseline candidates:"
 CANDIDATES_HEAD = "Baseline candidates:"
@@ -89,7 +86,7 @@ def _one_row(df: DataFrame) -> DataFrame:
 
 def _any_row(df: DataFrame) -> DataFrame:
     """One row if ``df`` has rows, else none."""
-    return _one_row(df).where("total > 0")
+    return df.select(F.lit(1).alias("any")).limit(1)
 
 
 def _single(df: DataFrame) -> DataFrame:
@@ -103,7 +100,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def snapshot_lines(facts: DataFrame, generated: Column) -> DataFrame:
     name = "current_snapshot"
-    rows = reports.current_snapshot(facts)
+    rows = reports.snapshot_rows(facts)
     cell = F.when(F.col("value_original").isNull(), F.lit("-")).otherwise(
         strip_space(
             _text(number_text(F.col("value_original")), " ", F.coalesce("unit_original", F.lit("")))
@@ -120,8 +117,7 @@ def snapshot_lines(facts: DataFrame, generated: Column) -> DataFrame:
         F.lit(""), _text("## ", category_heading(F.col("category"))), F.lit(""),
         F.lit(SNAPSHOT_HEAD), F.lit(SNAPSHOT_RULE),
     ]
-    latest = reports.latest_and_previous(facts)
-    categories = latest.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    categories = rows.select("category").distinct()
     category = F.col("category")
     return _union(
         [
@@ -151,7 +147,7 @@ def timeline_lines(documents: DataFrame, generated: Column) -> DataFrame:
 
 def index_lines(documents: DataFrame, facts: DataFrame, generated: Column) -> DataFrame:
     name = "report_index"
-    rows = reports.report_index(documents, facts)
+    rows = reports.index_rows(documents, facts)
     head = [
         *_dated_head(INDEX_TITLE, generated), _text(TOTAL, _shown(F.col("total"))), F.lit(""),
         F.lit(INDEX_HEAD), F.lit(INDEX_RULE),
@@ -163,10 +159,9 @@ def index_lines(documents: DataFrame, facts: DataFrame, generated: Column) -> Da
         F.col("link"), " |",
     )
     # The total counts merged lines, which need no facts.
-    shown = ["report_date", "provider", "report_type", "biomarker_count", "tags", "markdown_path"]
     return _union(
         [
-            _lines(_one_row(documents.select(shown).distinct()), name, 0, head),
+            _lines(_one_row(documents.select(*reports.INDEXED).distinct()), name, 0, head),
             _lines(rows, name, 1, [line], _newest_first(F.col("report_date")), item=line),
         ]
     )
@@ -246,7 +241,7 @@ def findings_lines(facts: DataFrame, documents: DataFrame) -> DataFrame:
         F.coalesce("unit_si", F.lit("")), " (", _shown(F.col("provider")), ") - ",
         F.col("range_label"),
     )
-    rows = reports.findings(facts)
+    rows = reports.finding_rows(facts)
     told = reports.documents_with_context(documents)
     rank = _newest_first(F.col("report_date"))
     opening = [
@@ -263,9 +258,7 @@ def findings_lines(facts: DataFrame, documents: DataFrame) -> DataFrame:
         "source_file", "report_date", F.posexplode("candidates").alias("n", "candidate")
     )
     candidate = _text("  - ", _shown(F.col("candidate")))
-    empty = (
-        _one_row(facts).unionByName(_one_row(told)).agg(F.sum("total").alias("total"))
-    ).where("total = 0")
+    empty = _one_row(_any_row(facts).unionByName(_any_row(told))).where("total = 0")
     return _union(
         [
             _lines(_any_row(facts), name, 0, [F.lit(FINDINGS_HEAD)]),

@@ -50,8 +50,8 @@ def latest_and_previous(facts: DataFrame, part: Sequence[str] = ()) -> DataFrame
     )
 
 
-def current_snapshot(facts: DataFrame, part: Sequence[str] = ()) -> DataFrame:
-    """Latest value per key with status and trend, by category and key."""
+def snapshot_rows(facts: DataFrame, part: Sequence[str] = ()) -> DataFrame:
+    """Latest value per key with status and trend, in no order."""
     rows = latest_and_previous(facts, part)
     status = status_label(
         F.col("is_below_detection_limit"),
@@ -59,7 +59,12 @@ def current_snapshot(facts: DataFrame, part: Sequence[str] = ()) -> DataFrame:
         F.col("is_within_ref_range"),
     )
     trend = trend_label(F.col("value_si"), F.col("prev_value_si"))
-    return rows.select("*", status.alias("status"), trend.alias("trend")).orderBy(
+    return rows.select("*", status.alias("status"), trend.alias("trend"))
+
+
+def current_snapshot(facts: DataFrame, part: Sequence[str] = ()) -> DataFrame:
+    """Latest value per key with status and trend, by category and key."""
+    return snapshot_rows(facts, part).orderBy(
         *part, F.asc_nulls_last("category"), "biomarker_key"
     )
 
@@ -71,50 +76,58 @@ def timeline(documents: DataFrame) -> DataFrame:
     ).orderBy(F.desc_nulls_last("report_date"), "source_file")
 
 
-def report_index(documents: DataFrame, facts: DataFrame) -> DataFrame:
-    """Reports with their out-of-range counts and links, newest first.
+INDEXED = ("report_date", "provider", "report_type", "biomarker_count", "tags", "markdown_path")
+
+
+def index_rows(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """Reports with their out-of-range counts and links, in no order.
 
     Documents equal in all six shown attributes merge into one line. Facts are counted per
     source before the join, which then meets each source once.
     """
-    shown = ["report_date", "provider", "report_type", "biomarker_count", "tags", "markdown_path"]
     out = (
         facts.where(~F.col("is_within_ref_range"))
         .groupBy("source_file")
         .agg(F.count(F.lit(1)).alias("out_of_range"))
     )
     counted = (
-        documents.select(*shown, "source_file")
+        documents.select(*INDEXED, "source_file")
         .join(out, "source_file", "left")
-        .groupBy(*shown)
+        .groupBy(*INDEXED)
         .agg(F.coalesce(F.sum("out_of_range"), F.lit(0)).alias("out_of_range_count"))
     )
     link = F.coalesce(link_from_profile_docs(F.col("markdown_path")), F.lit(""))
-    return counted.withColumn("link", link).orderBy(
-        F.desc_nulls_last("report_date"), F.asc_nulls_last("markdown_path")
-    )
+    return counted.withColumn("link", link)
+
+
+def report_index(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """Reports with their out-of-range counts and links, newest first."""
+    rest = [F.asc_nulls_last(c) for c in INDEXED[::-1] if c != "report_date"]
+    return index_rows(documents, facts).orderBy(F.desc_nulls_last("report_date"), *rest)
 
 
 def conditions_by_priority(conditions: DataFrame) -> DataFrame:
     """Conditions with the sort key ``(rank, position)`` of the history report.
 
-    ``position`` is the input order. States outside the fixed list follow it, by their first
-    appearance, which is aggregated per state instead of ranked inside one.
+    ``position`` is the input order. Listed states take their rank from the list. Others follow,
+    by their first appearance; only these are joined with it.
     """
     named = conditions.withColumn(
         "status", F.coalesce("status", F.lit(fixed.CONDITION_UNKNOWN))
     )
-    first = named.groupBy("status").agg(F.min("position").alias("first_seen"))
-    return (
-        named.join(first, "status")
-        .withColumn("rank", condition_rank(F.col("status"), F.col("first_seen")))
-        .withColumn("origin", source_and_date(F.col("source_report"), F.col("discovered_date")))
-        .drop("first_seen")
-    )
-
-
-def findings(facts: DataFrame) -> DataFrame:
-    """Facts with their range wording, newest first."""
+    listed = F.col("status").isin(*fixed.CONDITION_ORDER)
+    others = named.where(~listed)
+    first = others.groupBy("status").agg(F.min("position").alias("first_seen"))
+    both = named.where(listed).withColumn("first_seen", F.lit(None).cast("long"))
+    both = both.unionByName(others.join(first, "status"))
+    origin = source_and_date(F.col("source_report"), F.col("discovered_date"))
+    return both.withColumns(
+        {"rank": condition_rank(F.col("status"), F.col("first_seen")), "origin": origin}
+    ).drop("first_seen")
+
+
+def finding_rows(facts: DataFrame) -> DataFrame:
+    """Facts with their range wording, in no order."""
     return facts.select(
         "report_date",
         "biomarker_key",
@@ -124,7 +137,14 @@ def findings(facts: DataFrame) -> DataFrame:
         "unit_si",
         "provider",
         finding_label(F.col("is_within_ref_range")).alias("range_label"),
-    ).orderBy(F.desc_nulls_last("report_date"), "biomarker_key", "lab_result_id")
+    )
+
+
+def findings(facts: DataFrame) -> DataFrame:
+    """Facts with their range wording, newest first."""
+    return finding_rows(facts).orderBy(
+        F.desc_nulls_last("report_date"), "biomarker_key", "lab_result_id"
+    )
 
 
 def documents_with_context(documents: DataFrame) -> DataFrame:

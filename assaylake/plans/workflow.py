@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.operators import history, marts
-from assaylake.operators.compare import FULL_GRAIN, compare_facts
+from assaylake.operators.compare import compare_facts
 from assaylake.operators.staging import stage_measurements
 from assaylake.plans import report_lines
 from assaylake.sources import extraction, raw_tables
@@ -111,13 +111,11 @@ def compare(
     root: str,
     env: str,
     source_file: str | None = None,
-    keys=FULL_GRAIN,
-    limit: int | None = None,
 ) -> DataFrame:
     """Differences between production and a named environment; raises if either is missing."""
     prod = read_mart(spark, raw_tables.environment_root(root), FACTS)
     other = read_mart(spark, raw_tables.environment_root(root, env), FACTS)
-    return compare_facts(prod, other, keys, source_file, limit)
+    return compare_facts(prod, other, source_file=source_file)
 
 
 def register_tables(spark: SparkSession, root: str) -> None:

@@ -3,66 +3,91 @@
 from pyspark.sql import types as T
 
 
-def _fields(kind, names):
-    return [T.StructField(n, kind) for n in names.split()]
+TEXTS = T.ArrayType(T.StringType())
 
-
-MEASUREMENT = T.StructType(
-    _fields(T.DateType(), "report_date")
-    + _fields(T.StringType(), "provider biomarker_name value unit reference_range_low")
-    + _fields(T.StringType(), "reference_range_high loinc_code notes")
+MEASUREMENT = (
+    T.StructType()
+    .add("report_date", "date")
+    .add("provider", "string")
+    .add("biomarker_name", "string")
+    .add("value", "string")
+    .add("unit", "string")
+    .add("reference_range_low", "string")
+    .add("reference_range_high", "string")
+    .add("loinc_code", "string")
+    .add("notes", "string")
 )
 
-METADATA = T.StructType(
-    _fields(T.StringType(), "report_type")
-    + _fields(T.DateType(), "report_date")
-    + _fields(T.StringType(), "provider")
-    + _fields(T.ArrayType(T.StringType()), "tags baseline_candidates")
+METADATA = (
+    T.StructType()
+    .add("report_type", "string")
+    .add("report_date", "date")
+    .add("provider", "string")
+    .add("tags", TEXTS)
+    .add("baseline_candidates", TEXTS)
 )
 
 # One validated (or rejected) extraction file.
-CHECKED_FILE = T.StructType(
-    _fields(T.StringType(), "path source_file")
-    + _fields(T.ArrayType(T.StringType()), "errors")
-    + _fields(T.TimestampNTZType(), "extracted_at")
-    + _fields(T.StringType(), "extraction_method document_summary")
-    + [
-        T.StructField("metadata", METADATA),
-        T.StructField("first_report_date", T.DateType()),
-        T.StructField("first_provider", T.StringType()),
-        T.StructField("measurement_count", T.IntegerType()),
-        T.StructField("measurements", T.ArrayType(MEASUREMENT)),
-    ]
+CHECKED_FILE = (
+    T.StructType()
+    .add("path", "string")
+    .add("source_file", "string")
+    .add("errors", TEXTS)
+    .add("extracted_at", "timestamp_ntz")
+    .add("extraction_method", "string")
+    .add("document_summary", "string")
+    .add("metadata", METADATA)
+    .add("first_report_date", "date")
+    .add("first_provider", "string")
+    .add("measurement_count", "integer")
+    .add("measurements", T.ArrayType(MEASUREMENT))
 )
 
-LAB_RESULTS = T.StructType(
-    _fields(T.StringType(), "id source_file")
-    + _fields(T.TimestampNTZType(), "extracted_at")
-    + _fields(T.StringType(), "extraction_method")
-    + _fields(T.DateType(), "report_date")
-    + _fields(T.StringType(), "provider biomarker_name_raw value_raw unit_raw")
-    + _fields(T.StringType(), "reference_range_low_raw reference_range_high_raw")
-    + _fields(T.StringType(), "loinc_code notes")
+LAB_RESULTS = (
+    T.StructType()
+    .add("id", "string")
+    .add("source_file", "string")
+    .add("extracted_at", "timestamp_ntz")
+    .add("extraction_method", "string")
+    .add("report_date", "date")
+    .add("provider", "string")
+    .add("biomarker_name_raw", "string")
+    .add("value_raw", "string")
+    .add("unit_raw", "string")
+    .add("reference_range_low_raw", "string")
+    .add("reference_range_high_raw", "string")
+    .add("loinc_code", "string")
+    .add("notes", "string")
 )
 
-DOCUMENTS = T.StructType(
-    _fields(T.StringType(), "id source_file")
-    + _fields(T.DateType(), "report_date")
-    + _fields(T.StringType(), "provider report_type tags markdown_path")
-    + _fields(T.IntegerType(), "biomarker_count")
-    + _fields(T.TimestampNTZType(), "extracted_at")
-    + _fields(T.StringType(), "extraction_method document_summary baseline_candidates")
+DOCUMENTS = (
+    T.StructType()
+    .add("id", "string")
+    .add("source_file", "string")
+    .add("report_date", "date")
+    .add("provider", "string")
+    .add("report_type", "string")
+    .add("tags", "string")
+    .add("markdown_path", "string")
+    .add("biomarker_count", "integer")
+    .add("extracted_at", "timestamp_ntz")
+    .add("extraction_method", "string")
+    .add("document_summary", "string")
+    .add("baseline_candidates", "string")
 )
 
-REJECTED = T.StructType(
-    _fields(T.StringType(), "path") + _fields(T.ArrayType(T.StringType()), "errors")
-)
+REJECTED = T.StructType().add("path", "string").add("errors", TEXTS)
 
-REFERENCE_DIMENSION = T.StructType(
-    _fields(T.StringType(), "biomarker_key loinc_code conventional_unit si_unit")
-    + _fields(T.DoubleType(), "conversion_factor")
-    + _fields(T.StringType(), "category")
-    + _fields(T.DoubleType(), "optimal_range_low_si optimal_range_high_si")
+REFERENCE_DIMENSION = (
+    T.StructType()
+    .add("biomarker_key", "string")
+    .add("loinc_code", "string")
+    .add("conventional_unit", "string")
+    .add("si_unit", "string")
+    .add("conversion_factor", "double")
+    .add("category", "string")
+    .add("optimal_range_low_si", "double")
+    .add("optimal_range_high_si", "double")
 )
 
 # Columns that must not be NULL, and columns that must be unique, in the raw tables.

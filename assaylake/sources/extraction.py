@@ -53,14 +53,17 @@ def read_extraction_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_text_reports(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """Plain-text reports as ``(path, content)`` and, apart, paths of other kinds of file."""
+    """Plain-text reports as ``(path, content)`` and, apart, the paths of all other files.
+
+    The suffix is part of the file listing, so no other file is opened as text.
+    """
+    any_case = ["".join(f"[{c}{c.upper()}]" for c in suffix) for suffix in fixed.TEXT_SUFFIXES]
+    texts = spark.read.text(
+        directory, wholetext=True, pathGlobFilter="*.{" + ",".join(any_case) + "}"
+    ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     listed = spark.read.format("binaryFile").load(directory).select("path")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    texts = spark.read.text(directory, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
-    )
-    supported = texts.where(suffix.isin(*fixed.TEXT_SUFFIXES))
-    return supported, listed.where(~suffix.isin(*fixed.REPORT_SUFFIXES))
+    return texts, listed.where(~suffix.isin(*fixed.TEXT_SUFFIXES))
 
 
 def _framed(content: Column) -> Column:

@@ -574,9 +574,6 @@ def texts() -> dict[str, str]:
         "compare_filtered": f"""{FACTS}, {_ENV}, {_PAIRS}
             select * exclude (prod_source, env_source) from pairs where status <> 'SAME'
               and (prod_source = '{SOURCE}' or env_source = '{SOURCE}')""",
-        "compare_first_rows": f"""{FACTS}, {_ENV}, {_PAIRS}
-            select * exclude (prod_source, env_source) from pairs where status <> 'SAME'
-            order by report_date nulls last, biomarker nulls last, provider nulls last limit 100""",
         "compare_at_scale": f"""{LARGE}, {_ENV_LARGE}, {_PAIRS}
             select * exclude (prod_source, env_source) from pairs where status <> 'SAME'""",
         "compare_summary": f"""{FACTS}, {_ENV}, {_PAIRS}

@@ -1,6 +1,5 @@
 """Registered queries: every operator over whole tables of a directory."""
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,7 @@ from assaylake.functions.values import (
     plain_number,
 )
 from assaylake.operators import history, quality, redaction
-from assaylake.operators.compare import FULL_GRAIN, compare_facts, compare_summary
+from assaylake.operators.compare import compare_facts, compare_summary
 from assaylake.operators.marts import (
     document_dimension,
     measurement_facts,
@@ -24,6 +23,7 @@ from assaylake.operators.marts import (
 from assaylake.operators.staging import newest_extraction, newest_two, stage_measurements
 from assaylake.plans import questions, report_lines, reports
 from assaylake.sources import exports, extraction, raw_tables
+from assaylake.sources.shared import shared_folder
 from assaylake.streaming.incremental import start_load
 from registry import extraction_files, views
 from registry.oracle_texts import GENERATED, REDACTED, RUN_1, RUN_2, SOURCE
@@ -37,8 +37,8 @@ class Lab:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def view(self, text: str, **spread_by: str) -> DataFrame:
-        return views.in_spark(self.spark, self.sf_dir, text, spread_by)
+    def view(self, text: str) -> DataFrame:
+        return views.in_spark(self.spark, self.sf_dir, text)
 
     def table(self, name: str) -> DataFrame:
         return views.table(self.spark, self.sf_dir, name)
@@ -69,7 +69,7 @@ class Lab:
 
     @property
     def staged_large(self) -> DataFrame:
-        return stage_measurements(self.view(views.LAB_RESULTS_LARGE, lineitem="l_orderkey"))
+        return stage_measurements(self.view(views.LAB_RESULTS_LARGE))
 
     @property
     def facts_large(self) -> DataFrame:
@@ -88,7 +88,7 @@ class Lab:
 
     @property
     def checked_files(self) -> DataFrame:
-        files = self.view(extraction_files.FILES, events="event_id")
+        files = self.view(extraction_files.FILES)
         return extraction.check_extractions(files, _now())
 
     @property
@@ -112,18 +112,6 @@ def _generated() -> Column:
     return F.lit(GENERATED).cast("date")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's checkpoint directory; in local mode without one, a
-    temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        run = spark.sql("select uuid()").first()[0]
-        return f"{folder.rstrip('/')}/assaylake-{run}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return tempfile.mkdtemp(prefix="assaylake-")
-
-
 def _censored_parse(lab: Lab) -> DataFrame:
     raw = F.col("value_raw")
     return lab.raw.select(
@@ -170,7 +158,7 @@ def _compare_at_scale(lab: Lab) -> DataFrame:
     moved = F.when(supplier % 7 == 0, F.concat("provider", F.lit("b"))).otherwise(F.col("provider"))
     shifted = F.when(supplier % 3 == 0, F.col("value_si") * 2).otherwise(F.col("value_si"))
     other = facts.withColumns({"provider": moved, "value_si": shifted})
-    return compare_facts(facts, other, FULL_GRAIN)
+    return compare_facts(facts, other)
 
 
 def _relationships_at_scale(lab: Lab) -> DataFrame:
@@ -256,7 +244,7 @@ def _responses(lab: Lab) -> DataFrame:
         )
     )
     answer = F.concat(F.lit("As asked:\n```json\n"), body, F.lit("\n```\nDone."))
-    return _redacted(lab, views.spread(lab.table("documents"), "doc_id")).select(
+    return _redacted(lab, lab.table("documents")).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"),
         answer.alias("response"),
         F.col("redacted_strings").alias("mapping"),
@@ -278,7 +266,7 @@ def _conditions(lab: Lab) -> DataFrame:
 
 def _written(lab: Lab, **tables: DataFrame) -> list[DataFrame]:
     """Tables written once to the shared folder and read from there, as several reports do."""
-    root = shared_folder(lab.spark)
+    root = shared_folder(lab.spark, "registry")
     for name, df in tables.items():
         df.write.parquet(f"{root}/{name}")
     return [lab.spark.read.parquet(f"{root}/{name}") for name in tables]
@@ -325,7 +313,7 @@ def _ingest_idempotent(lab: Lab) -> DataFrame:
 
 def _incremental_ingest(lab: Lab) -> DataFrame:
     """The event table read as a file stream, its documents loaded batch by batch."""
-    root = shared_folder(lab.spark)
+    root = shared_folder(lab.spark, "registry")
     stream = (
         lab.spark.readStream.schema(lab.table("events").schema)
         .option("pathGlobFilter", "events.parquet")
@@ -379,13 +367,10 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
     "recent_facts": lambda lab: questions.recent_facts(lab.facts),
     "document_context": lambda lab: questions.document_context(lab.documents),
     "load_status": lambda lab: questions.load_status(lab.raw, lab.docs),
-    "compare_environments": lambda lab: compare_facts(lab.facts, lab.env_facts, FULL_GRAIN),
-    "compare_filtered": lambda lab: compare_facts(lab.facts, lab.env_facts, FULL_GRAIN, SOURCE),
-    "compare_first_rows": lambda lab: compare_facts(
-        lab.facts, lab.env_facts, FULL_GRAIN, limit=100
-    ),
+    "compare_environments": lambda lab: compare_facts(lab.facts, lab.env_facts),
+    "compare_filtered": lambda lab: compare_facts(lab.facts, lab.env_facts, source_file=SOURCE),
     "compare_at_scale": _compare_at_scale,
-    "compare_summary": lambda lab: compare_summary(lab.facts, lab.env_facts, FULL_GRAIN),
+    "compare_summary": lambda lab: compare_summary(lab.facts, lab.env_facts),
     "reference_range_snapshot": lambda lab: history.range_snapshot(lab.staged),
     "reference_range_history": lambda lab: history.rebuild_range_history(lab.staged),
     "scd2_merge": _scd2,

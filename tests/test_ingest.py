@@ -235,9 +235,9 @@ def test_older_files_without_late_columns(spark, in_dir, tmp_path):
 
 def test_responses(spark):
     """Redacted text goes out, the fenced answer comes back and is restored."""
-    note = spark.createDataFrame([("n.txt", "Visit by Max Muster")], "source_file string, t string")
-    sent = redact(note, "t", ["Max Muster"]).first()
-    assert sent.t == "Visit by [REDACTED_1]"
+    note = spark.createDataFrame([("n.txt", "seen by Ilse Quarz")], "source_file string, t string")
+    sent = redact(note, "t", ["Ilse Quarz"]).first()
+    assert sent.t == "seen by [REDACTED_1]"
     body = {k: GOOD[k] for k in ("biomarkers", "metadata")} | {"document_summary": sent.t}
     rows = [
         ("n.txt", f"Here:\n```json\n{json.dumps(body)}\n```\nDone.", sent.redacted_strings),
@@ -249,7 +249,7 @@ def test_responses(spark):
     )
     found = {r.source_file: r for r in check_responses(responses, "manual").collect()}
     assert found["n.txt"].errors == []
-    assert found["n.txt"].document_summary == "Visit by Max Muster"
+    assert found["n.txt"].document_summary == "seen by Ilse Quarz"
     assert found["n.txt"].extraction_method == "manual"
     assert found["named.txt"].errors == ["source_file"]
     assert found["prose.txt"].errors == ["not a JSON document"]
@@ -262,7 +262,7 @@ def test_text_reports(spark, tmp_path):
     assert sorted(r.content for r in texts.collect()) == [
         "text of a.md\nsecond line", "text of b.TXT\nsecond line",
     ]
-    assert sorted(r.path.rsplit("/", 1)[1] for r in unsupported.collect()) == ["d.docx", "e"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in unsupported.collect()) == ["c.pdf", "d.docx", "e"]
 
 
 def test_export(spark, in_dir, tmp_path):

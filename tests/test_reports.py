@@ -59,13 +59,13 @@ def test_snapshot_ties_and_subjects(fact_rows):
 
 
 DOCUMENTS = [
-    {"source_file": "a.pdf", "report_date": "2025-01-01", "provider": "Quest",
-     "report_type": "blood_panel", "biomarker_count": 6, "tags": "fasting",
-     "markdown_path": "docs/findings/2025/a.md", "document_summary": "Routine panel.\nFine."},
-    {"source_file": "b.pdf", "report_date": "2025-06-01", "provider": "Labcorp",
-     "report_type": "blood_panel", "biomarker_count": 2, "markdown_path": "docs/findings/2025/b.md",
+    {"source_file": "s1.pdf", "report_date": "2024-11-03", "provider": "Nordlab",
+     "report_type": "urine", "biomarker_count": 4, "tags": "morning",
+     "markdown_path": "docs/findings/2024/s1.md", "document_summary": "Two lines,\nof which one."},
+    {"source_file": "s2.pdf", "report_date": "2025-02-14", "provider": "Sudlab",
+     "report_type": "imaging", "biomarker_count": 9, "markdown_path": "docs/findings/2025/s2.md",
      "baseline_candidates": '["one", "two"]'},
-    {"source_file": "c.pdf", "report_type": "other", "biomarker_count": 0, "tags": "",
+    {"source_file": "s3.pdf", "report_type": "letter", "biomarker_count": 0, "tags": "",
      "baseline_candidates": "no list"},
 ]
 
@@ -73,31 +73,32 @@ DOCUMENTS = [
 def test_timeline(document_rows, day):
     assert text(report_lines.timeline_lines(document_rows(*DOCUMENTS), day)) == [
         "# Report Timeline", "*Generated: 2025-07-01*", "", "Total reports: 3", "",
-        "- **2025-06-01** - blood_panel (Labcorp, 2 biomarkers)",
-        "- **2025-01-01** - blood_panel (Quest, 6 biomarkers) [fasting]",
-        "- **None** - other (None, 0 biomarkers)",
+        "- **2025-02-14** - imaging (Sudlab, 9 biomarkers)",
+        "- **2024-11-03** - urine (Nordlab, 4 biomarkers) [morning]",
+        "- **None** - letter (None, 0 biomarkers)",
     ]
 
 
 def test_index(document_rows, fact_rows, day):
     facts = fact_rows(
-        {"biomarker_key": "Glucose", "is_within_ref_range": True, "source_file": "b.pdf"},
-        {"biomarker_key": "LDL", "is_within_ref_range": False, "source_file": "b.pdf"},
-        {"biomarker_key": "TSH", "is_within_ref_range": None, "source_file": "a.pdf"},
+        {"biomarker_key": "iron", "is_within_ref_range": False, "source_file": "s2.pdf"},
+        {"biomarker_key": "zinc", "is_within_ref_range": False, "source_file": "s2.pdf"},
+        {"biomarker_key": "salt", "is_within_ref_range": True, "source_file": "s1.pdf"},
+        {"biomarker_key": "lead", "is_within_ref_range": None, "source_file": "s3.pdf"},
     )
     assert text(report_lines.index_lines(document_rows(*DOCUMENTS), facts, day)) == [
         "# Report Index", "*Generated: 2025-07-01*", "", "Total reports: 3", "",
         report_lines.INDEX_HEAD, report_lines.INDEX_RULE,
-        "| 2025-06-01 | blood_panel | Labcorp | 2 | 1 |  | [b](../findings/2025/b.md) |",
-        "| 2025-01-01 | blood_panel | Quest | 6 | 0 | fasting | [a](../findings/2025/a.md) |",
-        "| None | other | None | 0 | 0 |  |  |",
+        "| 2025-02-14 | imaging | Sudlab | 9 | 2 |  | [s2](../findings/2025/s2.md) |",
+        "| 2024-11-03 | urine | Nordlab | 4 | 0 | morning | [s1](../findings/2024/s1.md) |",
+        "| None | letter | None | 0 | 0 |  |  |",
     ]
 
 
 def test_equal_documents_merge_in_the_index(document_rows, fact_rows, day):
     twins = document_rows(DOCUMENTS[0], {**DOCUMENTS[0], "source_file": "twin.pdf"})
     facts = fact_rows(
-        {"biomarker_key": "x", "is_within_ref_range": False, "source_file": "a.pdf"},
+        {"biomarker_key": "x", "is_within_ref_range": False, "source_file": "s1.pdf"},
         {"biomarker_key": "x", "is_within_ref_range": False, "source_file": "twin.pdf"},
     )
     assert [r.out_of_range_count for r in reports.report_index(twins, facts).collect()] == [2]
@@ -145,7 +146,7 @@ def test_history(spark, document_rows, day):
         "- **APOE**", "  - Implication: -", "  - Relevance: lipids", "  - Source: g.pdf",
         "", "## Chronic Patterns", "", "- Low D (last confirmed: unknown)",
         "", "## Report Sources", "",
-        "- 2025-01-01: blood_panel (Quest)", "- 2025-06-01: blood_panel (Labcorp)",
+        "- 2024-11-03: urine (Nordlab)", "- 2025-02-14: imaging (Sudlab)",
     ]
 
 
@@ -166,10 +167,10 @@ def test_findings(document_rows, fact_rows):
     ]
     context = [
         "", "Document summaries and baseline candidates:",
-        "", "--- 2025-06-01 | blood_panel (Labcorp) ---",
+        "", "--- 2025-02-14 | imaging (Sudlab) ---",
         "Baseline candidates:", "  - one", "  - two",
-        "", "--- 2025-01-01 | blood_panel (Quest) ---", "Routine panel.\nFine.",
-        "", "--- None | other (None) ---",
+        "", "--- 2024-11-03 | urine (Nordlab) ---", "Two lines,\nof which one.",
+        "", "--- None | letter (None) ---",
     ]
     docs = document_rows(*DOCUMENTS)
     assert text(report_lines.findings_lines(facts, docs)) == results + context

@@ -156,10 +156,29 @@ NUMBERS = [
 def test_number_texts(one, number):
     given = {"v": (number, "double")}
     assert one(display.number_text(F.col("v")), **given) == repr(number)
-    if not abs(number) >= 1e12 or math.isinf(number):
+    if abs(number) < 1e38 or not math.isfinite(number):
         assert one(display.two_places(F.col("v")), **given) == "%.2f" % number
 
 
+def test_two_places_and_shortest_text_of_large_and_small_numbers(spark):
+    numbers = [
+        1e12 + 0.125, -1e12 - 0.125, 2.0**40 + 0.125, 2.0**45 + 0.125, 2.0**45 + 0.375,
+        2.0**48 + 0.125, 2.0**52 + 0.5, 2.0**53 - 1, 2.0**53, 2.0**54 + 4, 1e22, 1e23, 2e23,
+        -8.41e21, 9.99e37, 0.995, 0.996, 1.995, 2.675, -0.004, -0.0, 0.0, 99.995, 1e16 + 2,
+    ]
+    numbers += [m * 2.0**e for m in (1.0, 1.1, 1.9999) for e in range(0, 126, 5)]
+    rows = spark.createDataFrame([(v,) for v in numbers], "v double").select(
+        "v", display.two_places(F.col("v")).alias("two"), display.number_text(F.col("v")).alias("n")
+    )
+    for row in rows.collect():
+        assert row.two == "%.2f" % row.v
+        assert row.n == repr(row.v)
+    tiny = spark.createDataFrame([(5e-324,), (1.5e-7,), (2.5e-310,)], "v double")
+    assert [r[0] for r in tiny.select(display.number_text(F.col("v"))).collect()] == [
+        "5e-324", "1.5e-07", "2.5e-310",
+    ]
+
+
 def test_two_places_of_every_half_cent(spark):
     """All n.nn5 up to 100, exactly as the C library rounds the stored value."""
     df = spark.range(0, 20000).select((F.col("id") * 5 / 1000.0 - 50).alias("v"))

@@ -93,7 +93,6 @@ def test_load_transform_report_compare(spark, in_dir, tmp_path, meta):
         status[r.status] = status.get(r.status, 0) + 1
     assert status == {"CHANGED": 1, "PROD ONLY": 6}
     assert len(workflow.compare(spark, root, "trial", "genes.pdf").collect()) == 2
-    assert len(workflow.compare(spark, root, "trial", limit=3).collect()) == 3
     with pytest.raises(AnalysisException):
         workflow.compare(spark, root, "missing")
 
