@@ -3,6 +3,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaylake.operators import history, marts
 from assaylake.operators.compare import compare_facts
@@ -12,6 +13,7 @@ from assaylake.sources import extraction, raw_tables
 
 STAGED, FACTS, DOCUMENTS = "stg_lab_results", "fct_biomarkers", "dim_documents"
 META, RANGES = "biomarker_meta", "snap_reference_ranges"
+MERGE = "merge_number"
 
 
 def mart_path(root: str, name: str) -> str:
@@ -43,33 +45,62 @@ def transform(
     update_range_history(spark, root, staged, run_ts)
 
 
-def history_path(root: str, name: str = RANGES) -> str:
-    return f"{root}/snapshots/{name}"
+def history_path(root: str, part: str = "") -> str:
+    return f"{root}/snapshots/{RANGES}/{part}".rstrip("/")
 
 
-def read_range_history(spark: SparkSession, root: str) -> DataFrame | None:
+def _read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(history_path(root))
+        return spark.read.parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
+def history_version(spark: SparkSession, root: str) -> int:
+    """The number of the last finished merge, or 0."""
+    finished = _read_if_written(spark, history_path(root, "finished"))
+    return (finished.agg(F.max("number")).first()[0] or 0) if finished is not None else 0
+
+
+def read_range_history(spark: SparkSession, root: str) -> DataFrame | None:
+    """Closed versions of all finished merges and the open ones of the last."""
+    number = history_version(spark, root)
+    if number == 0:
+        return None
+    closed = spark.read.parquet(history_path(root, "closed"))
+    closed = closed.where(F.col(MERGE) <= number).drop(MERGE)
+    return closed.unionByName(_open_ranges(spark, root, number))
+
+
+def _open_ranges(spark: SparkSession, root: str, number: int) -> DataFrame:
+    return spark.read.parquet(history_path(root, f"open/{MERGE}={number}"))
+
+
 def update_range_history(
     spark: SparkSession, root: str, staged: DataFrame, run_ts: Column | None = None
 ) -> None:
-    """Merge the newest ranges into the history; the merged copy is written before the swap."""
+    """Merge the newest ranges into the history.
+
+    A merge has a number. It writes the open versions to a folder of that number, adds those
+    that it closes, and is finished by a last small write; what an unfinished merge left is not
+    read and is replaced by the next one. Versions closed before are never written again.
+    """
     run_ts = F.localtimestamp() if run_ts is None else run_ts
-    batch = history.newest_range(staged)
-    before = read_range_history(spark, root)
-    if before is None:
+    batch, before = history.newest_range(staged), history_version(spark, root)
+    if before == 0:
         merged = history.open_history(batch, run_ts)
     else:
-        merged = history.merge_range_history(before, batch, run_ts)
-    copy = history_path(root, RANGES + "_next")
-    _write(merged, copy)
-    _write(spark.read.parquet(copy), history_path(root))
+        merged = history.merge_range_history(_open_ranges(spark, root, before), batch, run_ts)
+    number = before + 1
+    both = history_path(root, f"merged/{MERGE}={number}")
+    _write(merged, both)  # once, as the run's time may be that of its evaluation
+    merged, is_open = spark.read.parquet(both), F.col("valid_to").isNull()
+    _write(merged.where(is_open), history_path(root, f"open/{MERGE}={number}"))
+    _write(merged.where(~is_open), history_path(root, f"closed/{MERGE}={number}"))
+    finished = spark.range(1).select(F.lit(number).alias("number"))
+    finished.write.mode("append").parquet(history_path(root, "finished"))
 
 
 def render(
@@ -118,18 +149,81 @@ def compare(
     return compare_facts(prod, other, source_file=source_file)
 
 
-def register_tables(spark: SparkSession, root: str) -> None:
-    """Catalog entries ``raw.*``, ``main.*`` and ``snapshots.*`` for ad-hoc SQL."""
-    tables = {
-        "raw.lab_results": raw_tables.table_path(root, "lab_results"),
-        "raw.documents": raw_tables.table_path(root, "documents"),
-        **{f"main.{t}": mart_path(root, t) for t in (STAGED, FACTS, DOCUMENTS, META)},
-        f"snapshots.{RANGES}": history_path(root),
-    }
-    for name, path in tables.items():
-        database = name.split(".")[0]
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/{database}'")
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+def database(part: str, env: str | None = None) -> str:
+    """Name of the catalog database for a part of an environment's tables."""
+    return f"{env}_{part}" if env else part
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def register_tables(spark: SparkSession, root: str, env: str | None = None) -> None:
+    """Catalog entries for ad-hoc SQL: ``raw.*``, ``main.*`` and ``snapshots.*`` of production, and
+    ``<env>_raw.*`` and so on of an environment beside it.
+
+    Raw tables and the range history are views that show the rows that count. Register again
+    after a load, a deletion or a merge.
+    """
+    home = raw_tables.environment_root(root, env)
+    raw, main, snapshots = (
+        _quoted(database(part, env)) for part in ("raw", "main", "snapshots")
+    )
+    for name in (raw, main, snapshots):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+    for table in (STAGED, FACTS, DOCUMENTS, META):
+        _external(spark, f"{main}.{_quoted(table)}", mart_path(home, table))
+    schema = raw_tables.stored_schema
+    files = {t: f"{raw}.{_quoted(t + '_files')}" for t in ("lab_results", "documents", "deleted")}
+    for table, name in files.items():
+        path = raw_tables.table_path(home, table)
+        raw_tables.stored_rows(spark, home, table).limit(0).drop(raw_tables.BATCH).write.mode(
+            "append"
+        ).parquet(f"{path}/{raw_tables.BATCH}=none")
+        _external(spark, name, path, schema(table))
+    same = "{0}.source_file = {1}.source_file and {0}.load_batch = {1}.load_batch"
+    same += " and {0}.load_attempt <=> {1}.load_attempt"
+    counted = f"select d.* from {files['documents']} d left anti join {files['deleted']} x on "
+    counted += same.format("d", "x")
+    measured = f"select l.* from {files['lab_results']} l left semi join ({counted}) k on "
+    measured += same.format("l", "k")
+    for table, rows in (("documents", counted), ("lab_results", measured)):
+        columns = ", ".join(f"{f.name}" for f in raw_tables.TABLES[table].fields)
+        view = f"{raw}.{_quoted(table)}"
+        _drop(spark, view)
+        spark.sql(f"CREATE VIEW {view} AS SELECT {columns}, load_batch FROM ({rows})")
+    number = history_version(spark, home)
+    if number:
+        parts = {p: f"{snapshots}.{_quoted(f'{RANGES}_{p}')}" for p in ("open", "closed")}
+        for part, name in parts.items():
+            _external(spark, name, history_path(home, part))
+        view = f"{snapshots}.{_quoted(RANGES)}"
+        _drop(spark, view)
+        rows = f"SELECT * FROM {parts['closed']} WHERE {MERGE} <= {number} UNION ALL "
+        rows += f"SELECT * FROM {parts['open']} WHERE {MERGE} = {number}"
+        spark.sql(f"CREATE VIEW {view} AS {rows}")
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    """Drops a view, or a table that an earlier registration left in its place."""
+    if spark.catalog.tableExists(name):
+        kind = spark.catalog.getTable(name).tableType
+        spark.sql(f"DROP {'VIEW' if kind == 'VIEW' else 'TABLE'} {name}")
+
+
+def _external(spark: SparkSession, name: str, path: str, schema: T.StructType | None = None) -> None:
+    """A catalog table over parquet files, with its partitions."""
+    _drop(spark, name)
+    if schema is None:
         spark.catalog.createTable(name, path=path, source="parquet")
-        if database == "raw":
+        if spark.read.parquet(path).columns[-1:] == [MERGE]:
             spark.catalog.recoverPartitions(name)
+        return
+    *fields, batch = schema.fields
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*fields, batch])
+    location = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({batch.name}) "
+        f"LOCATION '{location}'"
+    )
+    spark.catalog.recoverPartitions(name)

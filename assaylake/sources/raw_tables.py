@@ -1,10 +1,13 @@
 """Raw tables on parquet: loading, deleting and reloading (SNK1-SNK10).
 
-Both tables are partitioned by ``load_batch``. A batch overwrites its own partition, so running
-it again after a failure replaces what the failed run left. Documents, whose presence marks a
-source as loaded, are written last.
+Nothing stored is ever overwritten. Both tables are partitioned by ``load_batch``, and a load appends
+its rows under an attempt of its own: first ``incoming`` and ``rejected``, then measurements, and
+documents last. A measurement counts only if its document stands beside it under the same attempt,
+so what a failed load left is never seen, and running it again, under any batch name, appends what
+is still missing. Deleting a source appends a mark against its document, in one write.
 """
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -15,12 +18,14 @@ from pyspark.sql import types as T
 from assaylake import schemas
 from assaylake.sources import extraction
 
-BATCH = "load_batch"
+BATCH, ATTEMPT = "load_batch", "load_attempt"
+DELETED = "deleted"
 TABLES = {
     "lab_results": schemas.LAB_RESULTS,
     "documents": schemas.DOCUMENTS,
     "rejected": schemas.REJECTED,
     "incoming": schemas.CHECKED_FILE,
+    DELETED: T.StructType().add("source_file", "string"),
 }
 
 
@@ -33,12 +38,17 @@ def table_path(root: str, table: str) -> str:
     return f"{root}/raw/{table}"
 
 
-def read_raw(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A raw table with its fixed columns and ``load_batch``.
+def stored_schema(table: str) -> T.StructType:
+    """The fixed columns, then the attempt and the batch that wrote a row."""
+    return T.StructType([*TABLES[table].fields]).add(ATTEMPT, "string").add(BATCH, "string")
+
+
+def stored_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """All rows in the files of a table, counted or not.
 
     Columns that older files lack read as NULL; a table not written yet is empty.
     """
-    schema = T.StructType([*TABLES[table].fields, T.StructField(BATCH, T.StringType())])
+    schema = stored_schema(table)
     try:
         return spark.read.schema(schema).parquet(table_path(root, table))
     except AnalysisException as missing:
@@ -47,15 +57,45 @@ def read_raw(spark: SparkSession, root: str, table: str) -> DataFrame:
         return empty(spark, schema)
 
 
+def same_load(left: str, right: str) -> Column:
+    """Whether two rows are of one source in one attempt; older files name no attempt."""
+    return (
+        (F.col(f"{left}.source_file") == F.col(f"{right}.source_file"))
+        & (F.col(f"{left}.{BATCH}") == F.col(f"{right}.{BATCH}"))
+        & F.col(f"{left}.{ATTEMPT}").eqNullSafe(F.col(f"{right}.{ATTEMPT}"))
+    )
+
+
+def _documents(spark: SparkSession, root: str) -> DataFrame:
+    documents = stored_rows(spark, root, "documents").alias("d")
+    deleted = stored_rows(spark, root, DELETED).alias("x")
+    return documents.join(deleted, same_load("d", "x"), "left_anti")
+
+
+def read_raw(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rows of a raw table that count, with its fixed columns and ``load_batch``."""
+    if table == "documents":
+        rows = _documents(spark, root)
+    elif table == "lab_results":
+        kept = _documents(spark, root).alias("k")
+        rows = stored_rows(spark, root, table).alias("l")
+        rows = rows.join(kept, same_load("l", "k"), "left_semi")
+    else:
+        rows = stored_rows(spark, root, table)
+        if table == "rejected":  # a file is rejected again by every attempt that meets it
+            rows = rows.dropDuplicates([BATCH, "path"])
+    return rows.drop(ATTEMPT)
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """No rows, and known to the optimizer as such, so that joins with it vanish."""
     columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
     return spark.range(1).where(F.lit(False)).select(*columns)
 
 
-def _write_batch(df: DataFrame, root: str, table: str, batch: str) -> None:
+def _append(df: DataFrame, root: str, table: str, batch: str, attempt: str) -> None:
     target = f"{table_path(root, table)}/{BATCH}={batch}"
-    df.write.mode("overwrite").parquet(target)
+    df.withColumn(ATTEMPT, F.lit(attempt)).write.mode("append").parquet(target)
 
 
 def load_files(
@@ -70,18 +110,23 @@ def load_files(
 
 
 def load_checked(checked: DataFrame, root: str, batch: str) -> DataFrame:
-    spark = checked.sparkSession
-    _write_batch(checked, root, "incoming", batch)
-    incoming = read_raw(spark, root, "incoming").where(F.col(BATCH) == batch).drop(BATCH)
-    others = read_raw(spark, root, "documents").where(F.col(BATCH) != batch)
-    fresh = extraction.new_documents(extraction.good_files(incoming), others)
-    _write_batch(extraction.rejected_files(incoming), root, "rejected", batch)
-    _write_batch(extraction.measurement_rows(fresh), root, "lab_results", batch)
-    _write_batch(extraction.document_rows(fresh), root, "documents", batch)
-    loaded = read_raw(spark, root, "documents").where(F.col(BATCH) == batch)
-    return extraction.load_statistics(
-        incoming, loaded.withColumnRenamed("biomarker_count", "measurement_count")
-    )
+    spark, attempt = checked.sparkSession, uuid.uuid4().hex
+
+    def mine(table: str) -> DataFrame:
+        here = (F.col(BATCH) == batch) & (F.col(ATTEMPT) == attempt)
+        return stored_rows(spark, root, table).where(here).drop(BATCH, ATTEMPT)
+
+    _append(checked, root, "incoming", batch, attempt)
+    incoming = mine("incoming")
+    # Of all sources ever loaded only those that come again take part in the check for new ones.
+    again = incoming.select("source_file").distinct()
+    known = read_raw(spark, root, "documents").join(again, "source_file", "left_semi")
+    fresh = extraction.new_documents(extraction.good_files(incoming), known)
+    _append(extraction.rejected_files(incoming), root, "rejected", batch, attempt)
+    _append(extraction.measurement_rows(fresh), root, "lab_results", batch, attempt)
+    _append(extraction.document_rows(fresh), root, "documents", batch, attempt)
+    loaded = mine("documents").withColumnRenamed("biomarker_count", "measurement_count")
+    return extraction.load_statistics(incoming, loaded)
 
 
 def without_sources(table: DataFrame, sources: Sequence[str]) -> DataFrame:
@@ -92,21 +137,13 @@ def without_sources(table: DataFrame, sources: Sequence[str]) -> DataFrame:
 def delete_sources(spark: SparkSession, root: str, sources: Sequence[str]) -> int:
     """Delete sources from both raw tables; returns the number of measurement rows deleted.
 
-    Only batches that hold a listed source are rewritten, each from a copy written first.
-    Measurements go before documents: a source half deleted still counts as loaded and can be
-    deleted again.
+    One write marks the sources' documents as deleted, whatever number of batches they are in; the
+    documents and, with them, the measurements no longer count.
     """
-    deleted = 0
-    for table, schema in (("lab_results", TABLES["lab_results"]), ("documents", TABLES["documents"])):
-        rows = read_raw(spark, root, table)
-        # One row per batch that holds a listed source: each source was loaded by one batch.
-        held = rows.where(F.col("source_file").isin(*sources)).groupBy(BATCH).count().collect()
-        for batch, hits in held:
-            kept = without_sources(rows.where(F.col(BATCH) == batch).drop(BATCH), sources)
-            copy = f"{root}/rewrite/{table}/{batch}"
-            kept.write.mode("overwrite").parquet(copy)
-            _write_batch(spark.read.schema(schema).parquet(copy), root, table, batch)
-            deleted += hits if table == "lab_results" else 0
+    listed = F.col("source_file").isin(*sources)
+    deleted = read_raw(spark, root, "lab_results").where(listed).count()
+    marks = _documents(spark, root).where(listed).select("source_file", ATTEMPT, BATCH)
+    marks.write.mode("append").partitionBy(BATCH).parquet(table_path(root, DELETED))
     return deleted
 
 

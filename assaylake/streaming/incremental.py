@@ -28,9 +28,8 @@ def start_load(
     """Load what is new in a stream of files, then stop.
 
     A micro-batch is one load batch, named after the query's id in the checkpoint and its number.
-    Replayed after a failure it overwrites itself; a query that starts over with another
-    checkpoint has another id and overwrites nothing. Sources loaded by other batches are
-    skipped.
+    Replayed after a failure it loads what is still missing; sources that are loaded are skipped,
+    also by a query that starts over with another checkpoint.
     """
     spark, name = files.sparkSession, f"load-{uuid4()}"
 

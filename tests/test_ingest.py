@@ -1,3 +1,4 @@
+import pytest
 import json
 from datetime import date, datetime
 
@@ -164,9 +165,9 @@ def test_load_twice_is_load_once(spark, in_dir, tmp_path):
     second = raw_tables.load_files(files, root, "b2").first()
     assert (second.files_loaded, second.rows_inserted) == (0, 0)
     assert counts(spark, root) == (13, 3)
-    # The same batch again, as after a failure, replaces itself.
+    # The same batch name again neither replaces nor doubles anything.
     again = raw_tables.load_files(files, root, "b1").first()
-    assert (again.files_loaded, again.rows_inserted) == (3, 13)
+    assert (again.files_loaded, again.rows_inserted) == (0, 0)
     assert counts(spark, root) == (13, 3)
     raw = raw_tables.read_raw(spark, root, "lab_results")
     vitamin = raw.where("biomarker_name_raw = 'Vitamin D (25-OH)' and provider = 'Quest'").first()
@@ -174,6 +175,40 @@ def test_load_twice_is_load_once(spark, in_dir, tmp_path):
     assert raw.where("biomarker_name_raw = 'CRP (hs)'").first().value_raw == "<0.1"
 
 
+def test_a_batch_name_used_twice_keeps_both_loads(spark, in_dir, tmp_path):
+    root = str(tmp_path / "tables")
+    raw_tables.load_files(read_extraction_files(spark, str(in_dir)), root, "today")
+    for old in in_dir.glob("*.json"):
+        old.unlink()
+    later = extraction("later.pdf", [measurement("Iron", "9")])
+    (in_dir / "later.json").write_text(json.dumps(later))
+    raw_tables.load_files(read_extraction_files(spark, str(in_dir)), root, "today")
+    assert counts(spark, root) == (14, 4)
+
+
+@pytest.mark.parametrize("writes", range(1, 5))
+def test_a_load_that_stops_between_two_writes(spark, in_dir, tmp_path, monkeypatch, writes):
+    """Whatever it left, the next load, under any name, gives every row once."""
+    root = str(tmp_path / "tables")
+    files = read_extraction_files(spark, str(in_dir))
+    append, done = raw_tables._append, []
+
+    def stops(*args):
+        if len(done) == writes - 1:
+            raise RuntimeError("lost")
+        done.append(append(*args))
+
+    monkeypatch.setattr(raw_tables, "_append", stops)
+    with pytest.raises(RuntimeError):
+        raw_tables.load_files(files, root, "b1")
+    assert counts(spark, root) == (0, 0)
+    monkeypatch.setattr(raw_tables, "_append", append)
+    raw_tables.load_files(files, root, "b1" if writes % 2 else "b2")
+    assert counts(spark, root) == (13, 3)
+    ids = raw_tables.read_raw(spark, root, "lab_results").select("id").distinct().count()
+    assert ids == 13
+
+
 def test_bad_files_do_not_stop_a_batch(spark, in_dir, tmp_path):
     root = str(tmp_path / "tables")
     (in_dir / "9.json").write_text("{")

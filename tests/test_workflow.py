@@ -46,6 +46,22 @@ def check_adhoc_sql(spark, root):
     assert spark.sql("select * from snapshots.snap_reference_ranges").count() > 0
 
 
+def check_two_environments(spark, root):
+    """Both can be asked at once, and registering one leaves the other as it is."""
+    workflow.register_tables(spark, root, "trial")
+    both = spark.sql("""
+        select (select count(*) from raw.lab_results) as prod,
+               (select count(*) from trial_raw.lab_results) as trial,
+               (select count(*) from main.fct_biomarkers) as prod_facts,
+               (select count(*) from trial_main.fct_biomarkers) as trial_facts
+    """).first()
+    assert tuple(both) == (13, 7, 13, 7)
+    raw_tables.delete_sources(spark, raw_tables.environment_root(root, "trial"), ["labcorp.pdf"])
+    workflow.register_tables(spark, root, "trial")
+    assert spark.sql("select * from trial_raw.lab_results").count() == 6
+    assert spark.sql("select * from raw.documents").count() == 3
+
+
 def check_scalar_subquery(spark, root):
     """The newest date is found by a subquery, and few columns are read."""
     rows = newest_out_of_range(workflow.read_mart(spark, root, workflow.FACTS))
@@ -87,6 +103,7 @@ def test_load_transform_report_compare(spark, in_dir, tmp_path, meta):
     env = raw_tables.environment_root(root, "trial")
     load(spark, in_dir, env, "b1")
     workflow.transform(spark, env, meta)
+    check_two_environments(spark, root)
     diff = workflow.compare(spark, root, "trial").collect()
     status = {}
     for r in diff:
@@ -113,6 +130,40 @@ def test_ranges_gain_a_version_when_a_bound_changes(spark, in_dir, tmp_path, raw
     assert update("65", "2026-02-01") == [(65.0, "None")]
     assert update("65", "2026-02-02") == [(65.0, "None")]
     assert update("70", "2026-03-02") == [(65.0, "2026-03-02"), (70.0, "None")]
+    assert update("75", "2026-04-02") == [
+        (65.0, "2026-03-02"), (70.0, "2026-04-02"), (75.0, "None"),
+    ]
+
+
+@pytest.mark.parametrize("writes", range(1, 4))
+def test_a_merge_that_stops_between_two_writes(spark, tmp_path, raw_rows, monkeypatch, writes):
+    root = str(tmp_path / "lake")
+
+    def update(low, day):
+        staged = stage_measurements(
+            raw_rows({"reference_range_low_raw": low, "report_date": day, "provider": "LabCorp"})
+        )
+        workflow.update_range_history(spark, root, staged, stamp(day))
+
+    def ranges():
+        rows = workflow.read_range_history(spark, root).collect()
+        return sorted((r.reference_range_low, str(r.valid_to)[:10]) for r in rows)
+
+    update("65", "2026-02-01")
+    write, done = workflow._write, []
+
+    def stops(*args):
+        if len(done) == writes - 1:
+            raise RuntimeError("lost")
+        done.append(write(*args))
+
+    monkeypatch.setattr(workflow, "_write", stops)
+    with pytest.raises(RuntimeError):
+        update("70", "2026-03-02")
+    monkeypatch.setattr(workflow, "_write", write)
+    assert ranges() == [(65.0, "None")]
+    update("70", "2026-03-03")
+    assert ranges() == [(65.0, "2026-03-03"), (70.0, "None")]
 
 
 def batches(query):
