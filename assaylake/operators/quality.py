@@ -62,6 +62,42 @@ def check_not_null(
     return counted.select(F.inline(F.array(*rows)))
 
 
+def check_columns(
+    df: DataFrame,
+    unique: Sequence[str],
+    required: Sequence[str],
+    table: str,
+    warn_only: Sequence[str] = (),
+) -> DataFrame:
+    """Unique and not-null checks of one table in one scan and one shuffle.
+
+    A unique column gives a pair ``(column, value)`` per row, a column that is only required one
+    where it is NULL.
+    """
+    def pair(column: str, value: Column) -> Column:
+        return F.struct(F.lit(column).alias("column"), value.alias("value"))
+
+    pairs = [pair(c, F.col(c).cast("string")) for c in unique]
+    missing = F.lit(None).cast("string")
+    pairs += [F.when(F.col(c).isNull(), pair(c, missing)) for c in required if c not in unique]
+    values = df.select(F.inline(F.array_compact(F.array(*pairs))))
+    counted = values.groupBy("column", "value").count()
+    of = lambda c: F.col("column") == c
+    repeated = (F.col("count") > 1) & F.col("value").isNotNull()
+    nulls = lambda c: F.when(of(c) & F.col("value").isNull(), F.col("count"))
+    failures = {f"unique {c}": F.count_if(repeated & of(c)) for c in unique}
+    failures |= {f"not_null {c}": F.coalesce(F.sum(nulls(c)), F.lit(0)) for c in required}
+    one = counted.agg(*[v.cast("long").alias(k) for k, v in failures.items()])
+    rows = [_result("unique", table, c, ERROR, F.col(f"`unique {c}`")) for c in unique]
+    rows += [
+        _result(
+            "not_null", table, c, WARN if c in warn_only else ERROR, F.col(f"`not_null {c}`")
+        )
+        for c in required
+    ]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def check_relationship(
     df: DataFrame,
     column: str,
@@ -102,26 +138,30 @@ def declared_checks(
 ) -> DataFrame:
     """The declared checks of the model: 7 unique, 13 not-null, 1 relationship.
 
-    Each table is read several times; pass written tables rather than the plans behind them.
+    Each table is scanned once, facts twice; pass written tables rather than the plans behind
+    them.
     """
     checks = [
-        check_unique(raw, ["id"], "lab_results"),
-        check_unique(docs, ["id", "source_file"], "documents"),
-        check_unique(staged, ["lab_result_id"], "stg_lab_results"),
-        check_unique(facts, ["lab_result_id"], "fct_biomarkers"),
-        check_unique(documents, ["document_id", "source_file"], "dim_documents"),
-        check_not_null(
-            raw, ["id", "source_file", "biomarker_name_raw", "value_raw"], "lab_results"
+        check_columns(
+            raw, ["id"], ["id", "source_file", "biomarker_name_raw", "value_raw"], "lab_results"
         ),
-        check_not_null(docs, ["id", "source_file"], "documents"),
-        check_not_null(staged, ["lab_result_id", "biomarker_name"], "stg_lab_results"),
-        check_not_null(
+        check_columns(docs, ["id", "source_file"], ["id", "source_file"], "documents"),
+        check_columns(
+            staged, ["lab_result_id"], ["lab_result_id", "biomarker_name"], "stg_lab_results"
+        ),
+        check_columns(
             facts,
+            ["lab_result_id"],
             ["lab_result_id", "biomarker_key", "value_si"],
             "fct_biomarkers",
             warn_only=["value_si"],
         ),
-        check_not_null(documents, ["document_id", "source_file"], "dim_documents"),
+        check_columns(
+            documents,
+            ["document_id", "source_file"],
+            ["document_id", "source_file"],
+            "dim_documents",
+        ),
         check_relationship(
             facts, "biomarker_key", meta, "biomarker_key", "fct_biomarkers", WARN
         ),
@@ -132,9 +172,7 @@ def declared_checks(
 def constraint_checks(raw: DataFrame, docs: DataFrame) -> DataFrame:
     """The keys and NOT NULL columns that the raw tables declare but parquet cannot enforce."""
     checks = [
-        check_unique(raw, ["id"], "lab_results"),
-        check_not_null(raw, schemas.LAB_RESULTS_REQUIRED, "lab_results"),
-        check_unique(docs, ["id", "source_file"], "documents"),
-        check_not_null(docs, schemas.DOCUMENTS_REQUIRED, "documents"),
+        check_columns(raw, ["id"], schemas.LAB_RESULTS_REQUIRED, "lab_results"),
+        check_columns(docs, ["id", "source_file"], schemas.DOCUMENTS_REQUIRED, "documents"),
     ]
     return reduce(DataFrame.unionByName, checks)

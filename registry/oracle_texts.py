@@ -4,7 +4,9 @@ from registry import extraction_files as files
 from registry import views
 
 GENERATED = "2024-07-01"
+TO_REDACT = ("mail", "the", "", "example.com", "und", "@mail")
 REDACTED = ("example.com", "@mail", "mail", "the", "und")
+DELETED = ("shared.pdf", "s7.pdf", "s14.pdf")
 RUN_1, RUN_2 = "2024-02-01 00:00:00", "2024-03-01 00:00:00"
 SOURCE = "doc_7"
 
@@ -80,6 +82,10 @@ DOCS = _view("docs", views.DOCUMENTS)
 STG = _staging("stg", "lab_results")
 FCT = _facts("fct", "stg", "meta")
 DIM = _dimension("dim", "docs", "stg")
+STG_SUBJECT = STG.replace("select id as", "select subject, id as").replace(
+    "partition by report_date", "partition by subject, report_date"
+)
+FCT_SUBJECT = FCT.replace("select lab_result_id", "select subject, lab_result_id")
 FACTS = f"with {RAW}, {META}, {STG}, {FCT}"
 BOTH = f"{FACTS}, {DOCS}, {DIM}"
 LARGE = (
@@ -189,6 +195,12 @@ select provider, biomarker_name, low, high, report_date, timestamp '{RUN_2}', nu
 from changed where not (known and same)"""
 
 
+def _per_subject(text: str) -> str:
+    return text.replace("partition by biomarker_key", "partition by subject, biomarker_key").replace(
+        "select biomarker_key", "select subject, biomarker_key"
+    )
+
+
 def _redaction() -> str:
     """The texts after each string, with a mark where the string was found."""
     steps = ["r0 as (select doc_id, text as t, '' as found from documents)"]
@@ -488,6 +500,17 @@ def _constraints() -> str:
     return " union all ".join(rows)
 
 
+_EXPORTED = f"""with {files._KEPT} select
+            case when k = 9 then 'unknown' else cast(year(ts) as varchar) end as year,
+            case when k = 9 then 'unknown' else cast(cast(ts as date) as varchar) end || '_'
+              || case when k = 9 then 'unknown' else 'lab_' || cast(user_id % 10 as varchar) end
+              || strftime(extracted, '_%H%M%S') || '.json' as json_name,
+            case when k = 9 then 'unknown' else cast(cast(ts as date) as varchar) end
+              || '_blood_panel_'
+              || case when k = 9 then 'unknown' else 'lab_' || cast(user_id % 10 as varchar) end
+              || '.md' as narrative_name, source_file from chosen"""
+
+
 def texts() -> dict[str, str]:
     profile = (
         f"{_CONDITIONS}, {_view('variants', views.VARIANTS)}, {_view('patterns', views.PATTERNS)}"
@@ -527,16 +550,8 @@ def texts() -> dict[str, str]:
             from docs left join counts using (source_file)""",
         "current_snapshot": f"{FACTS}, {_SNAPSHOT} select * from snapshot",
         "current_snapshot_at_scale": f"{LARGE}, {_SNAPSHOT} select * from snapshot",
-        "current_snapshot_per_subject": f"""with {RAW_SUBJECT}, {META}, subject_stg as (
-              select *, trim(biomarker_name_raw) as biomarker_key from lab_results
-              qualify row_number() over (partition by subject, report_date, biomarker_name_raw,
-                provider order by extracted_at desc, id desc) = 1),
-            ranked as (select *, row_number() over (partition by subject, biomarker_key
-                order by report_date desc, id desc) as place from subject_stg)
-            select subject, biomarker_key, max(report_date) filter (place = 1) as report_date,
-              max(value_raw) filter (place = 1) as value_raw,
-              max(report_date) filter (place = 2) as prev_date
-            from ranked where place <= 2 group by all""",
+        "current_snapshot_per_subject": f"with {RAW_SUBJECT}, {META}, {STG_SUBJECT}, "
+        f"{FCT_SUBJECT}, {_per_subject(_SNAPSHOT)} select * from snapshot",
         "timeline": f"""{BOTH} select report_date, provider, report_type, source_file,
             biomarker_count, tags from dim""",
         "report_index": f"{BOTH}, {_INDEX} select * from index_rows",
@@ -645,6 +660,21 @@ def texts() -> dict[str, str]:
         + " union all ".join(
             [_snapshot_lines(), _timeline_lines(), _history_lines(), _index_lines()]
         ),
+        "reports_written": f"{BOTH}, {_SNAPSHOT}, {_INDEX}, {profile}, all_lines as ("
+        + " union all ".join(
+            [_snapshot_lines(), _timeline_lines(), _history_lines(), _index_lines()]
+        )
+        + ") select report, line from all_lines",
+        "workflow_facts": f"with lab_results as ({files.MEASUREMENTS}), {META}, {STG}, {FCT} "
+        "select * from fct",
+        "deleted_source_rewritten": f"select * from ({files.MEASUREMENTS}) "
+        f"where source_file not in {DELETED}",
+        "reloaded_source": f"select *, case when source_file in {DELETED} then 'second' "
+        f"else 'first' end as load_batch from ({files.MEASUREMENTS})",
+        "dimension_from_csv": f"with {META} select * from meta",
+        "older_documents": f"""with {DOCS} select * replace (cast(null as varchar) as document_summary,
+            cast(null as varchar) as baseline_candidates), 'old' as load_batch from docs""",
+        "exported_documents": _EXPORTED,
         "flatten_documents": files.DOCUMENTS,
         "flatten_measurements": files.MEASUREMENTS,
         "ingest_quarantine": files.REJECTED,
@@ -653,13 +683,5 @@ def texts() -> dict[str, str]:
         "incremental_ingest": files.MEASUREMENTS,
         "delete_source": f"""with {RAW} select * from lab_results
             where source_file not in ('doc_7', 'doc_8')""",
-        "export_names": f"""with {files._KEPT} select
-            case when k = 9 then 'unknown' else cast(year(ts) as varchar) end as year,
-            case when k = 9 then 'unknown' else cast(cast(ts as date) as varchar) end || '_'
-              || case when k = 9 then 'unknown' else 'lab_' || cast(user_id % 10 as varchar) end
-              || strftime(extracted, '_%H%M%S') || '.json' as json_name,
-            case when k = 9 then 'unknown' else cast(cast(ts as date) as varchar) end
-              || '_blood_panel_'
-              || case when k = 9 then 'unknown' else 'lab_' || cast(user_id % 10 as varchar) end
-              || '.md' as narrative_name, source_file from chosen""",
+        "export_names": _EXPORTED,
     }

@@ -21,12 +21,13 @@ from assaylake.operators.marts import (
     to_conventional_units,
 )
 from assaylake.operators.staging import newest_extraction, newest_two, stage_measurements
-from assaylake.plans import questions, report_lines, reports
+from assaylake.plans import questions, report_lines, reports, workflow
 from assaylake.sources import exports, extraction, raw_tables
-from assaylake.sources.shared import shared_folder
+from assaylake.sources.reference_dim import read_reference_dimension
+from assaylake.sources.shared import shared_folder, stored
 from assaylake.streaming.incremental import start_load
 from registry import extraction_files, views
-from registry.oracle_texts import GENERATED, REDACTED, RUN_1, RUN_2, SOURCE
+from registry.oracle_texts import DELETED, GENERATED, RUN_1, RUN_2, SOURCE, TO_REDACT
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,10 +140,7 @@ def _snapshot_per_subject(lab: Lab) -> DataFrame:
     raw = lab.view(views.LAB_RESULTS)
     part = ("subject",)
     facts = measurement_facts(stage_measurements(raw, part), lab.meta, part)
-    rows = reports.latest_and_previous(facts.withColumn("category", F.col("value_raw")), part)
-    return rows.select(
-        "subject", "biomarker_key", "report_date", F.col("category").alias("value_raw"), "prev_date"
-    )
+    return reports.current_snapshot(facts, part)
 
 
 def _snapshot_at_scale(lab: Lab) -> DataFrame:
@@ -219,7 +217,9 @@ def _unit_mismatch(lab: Lab) -> DataFrame:
 
 def _redacted(lab: Lab, texts: DataFrame | None = None) -> DataFrame:
     texts = lab.table("documents") if texts is None else texts
-    return redaction.redact(texts.select("doc_id", "lang", "text"), "text", REDACTED)
+    return redaction.redact(
+        texts.select("doc_id", "lang", "text"), "text", redaction.redaction_list(TO_REDACT)
+    )
 
 
 def _redact_text(lab: Lab) -> DataFrame:
@@ -264,26 +264,76 @@ def _conditions(lab: Lab) -> DataFrame:
     )
 
 
-def _written(lab: Lab, **tables: DataFrame) -> list[DataFrame]:
-    """Tables written once to the shared folder and read from there, as several reports do."""
-    root = shared_folder(lab.spark, "registry")
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{name}")
-    return [lab.spark.read.parquet(f"{root}/{name}") for name in tables]
+def _marts(lab: Lab) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staging, facts and documents, each written once and read by what follows it."""
+    folder = shared_folder(lab.spark, "marts")
+    staged = stored(lab.staged, folder, "staged")
+    facts = stored(measurement_facts(staged, lab.meta), folder, "facts")
+    return staged, facts, stored(document_dimension(lab.docs, staged), folder, "documents")
 
 
 def _declared_checks(lab: Lab) -> DataFrame:
-    staged, facts, documents = _written(
-        lab, staged=lab.staged, facts=lab.facts, documents=lab.documents
-    )
-    return quality.declared_checks(lab.raw, lab.docs, staged, facts, documents, lab.meta)
+    return quality.declared_checks(lab.raw, lab.docs, *_marts(lab), lab.meta)
 
 
-def _all_lines(lab: Lab) -> DataFrame:
-    facts, documents = _written(lab, facts=lab.facts, documents=lab.documents)
-    return report_lines.in_order(
-        report_lines.profile_lines(facts, documents, _generated(), **lab.profile)
-    )
+def _profile_lines(lab: Lab) -> DataFrame:
+    _, facts, documents = _marts(lab)
+    return report_lines.profile_lines(facts, documents, _generated(), **lab.profile)
+
+
+def _reports_written(lab: Lab) -> DataFrame:
+    """The four reports as text files, read back."""
+    folder = shared_folder(lab.spark, "reports")
+    report_lines.write_reports(_profile_lines(lab), folder)
+    return lab.spark.read.text(folder).select("report", F.col("value").alias("line"))
+
+
+def _loaded(lab: Lab) -> str:
+    """Raw tables loaded from the event documents; their folder."""
+    root = shared_folder(lab.spark, "raw")
+    raw_tables.load_files(lab.view(extraction_files.FILES), root, "first", _now())
+    return root
+
+
+def _workflow_facts(lab: Lab) -> DataFrame:
+    root = _loaded(lab)
+    workflow.transform(lab.spark, root, lab.meta, _run(RUN_1))
+    return workflow.read_mart(lab.spark, root, workflow.FACTS)
+
+
+def _deleted_source(lab: Lab) -> DataFrame:
+    root = _loaded(lab)
+    raw_tables.delete_sources(lab.spark, root, DELETED)
+    return raw_tables.read_raw(lab.spark, root, "lab_results").drop(raw_tables.BATCH)
+
+
+def _reloaded_source(lab: Lab) -> DataFrame:
+    """Deleted sources come back with the next load; all others stay as they were."""
+    root = _loaded(lab)
+    raw_tables.delete_sources(lab.spark, root, DELETED)
+    raw_tables.load_files(lab.view(extraction_files.FILES), root, "second", _now())
+    return raw_tables.read_raw(lab.spark, root, "lab_results")
+
+
+def _dimension_from_csv(lab: Lab) -> DataFrame:
+    folder = shared_folder(lab.spark, "csv")
+    lab.meta.write.csv(folder, header=True)
+    return read_reference_dimension(lab.spark, folder)
+
+
+def _older_documents(lab: Lab) -> DataFrame:
+    """Documents written before two columns were added."""
+    root = shared_folder(lab.spark, "older")
+    older = lab.docs.drop("document_summary", "baseline_candidates")
+    older.write.parquet(f"{raw_tables.table_path(root, 'documents')}/{raw_tables.BATCH}=old")
+    return raw_tables.read_raw(lab.spark, root, "documents")
+
+
+def _exported(lab: Lab) -> DataFrame:
+    folder = shared_folder(lab.spark, "exports")
+    exports.export_documents(_new_good(lab), folder)
+    rows = lab.spark.read.json(f"{folder}/documents")
+    return rows.select("year", "json_name", "narrative_name", "source_file")
 
 
 def _new_good(lab: Lab) -> DataFrame:
@@ -404,7 +454,14 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
         lab.documents, _generated(), **lab.profile
     ),
     "findings_lines": lambda lab: report_lines.findings_lines(lab.facts, lab.documents),
-    "report_lines": _all_lines,
+    "report_lines": lambda lab: report_lines.in_order(_profile_lines(lab)),
+    "reports_written": _reports_written,
+    "workflow_facts": _workflow_facts,
+    "deleted_source_rewritten": _deleted_source,
+    "reloaded_source": _reloaded_source,
+    "dimension_from_csv": _dimension_from_csv,
+    "older_documents": _older_documents,
+    "exported_documents": _exported,
     "flatten_documents": lambda lab: extraction.document_rows(_new_good(lab)),
     "flatten_measurements": lambda lab: extraction.measurement_rows(_new_good(lab)),
     "ingest_quarantine": _quarantine,
