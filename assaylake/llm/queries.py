@@ -4,9 +4,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, chat, exact_dedup, html_text, passage_quality, quality_rules, sharding, simhash, source_mix, toxicity
+from assaylake.llm import bpe, chat, exact_dedup, html_text, passage_quality, quality_rules, quality_sql, sharding, simhash, source_mix, toxicity
 from assaylake.llm.common import ROW, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,7 +42,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[quality_rules.stat(name).alias(name) for name in base],
         "base_failed",
         "kept",
-        F.round("posterior", 6).alias("posterior"),
     )
 
 
@@ -93,6 +91,7 @@ _SQL = {
                sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))
     """,
+    "op6_quality_rules": quality_sql.text(),
     # conversations as lists of turns; one goes if a longer one begins with its list
     "op8_chat_format": """
         with turns as (
