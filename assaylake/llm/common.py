@@ -1,5 +1,8 @@
 """What the corpus operators share."""
 
+from typing import Any
+
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
+def by_value(df: DataFrame, value: Any) -> Broadcast:
+    """Broadcasts bytes that give an object of this package without the package at hand."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def boxed(df: DataFrame) -> DataFrame:
     """Whole rows in one column, so that no name of theirs clashes with a working column."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW))

@@ -16,6 +16,7 @@ white space, and a passage ends where a part does; repeated rows get equal score
 gives an empty result; other columns play no part.
 """
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import text_of
+from assaylake.llm.common import by_value, text_of
 from assaylake.llm.quality_rules import STOP_WORDS
 from assaylake.llm.toxicity import labelled_sample
 from assaylake.llm.word_hash import WordHasher, joined, visible
@@ -34,7 +35,7 @@ PASSAGE = 64
 #: Labelled documents of each class, and passages of each, that are learnt from.
 PER_CLASS, FIT_PASSAGES = 2000, 64
 ENCODED, GATED = 24, 12
-STEPS, RATE, DECAY = 300, 0.02, 1e-4
+STEPS, RATE, DECAY = 200, 0.02, 1e-4
 SEED = 9
 
 HASHER = WordHasher(visible())
@@ -241,10 +242,10 @@ def fit(sample: DataFrame, rates: dict[int, int]) -> Network:
     """A network from ``sample(doc_id, text, label)``; documents weigh as their class is labelled."""
     rows = sample.mapInArrow(_measured, "doc_id long, label int, values array<double>").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    bags = [np.array(v).reshape(-1, FEATURES) for v in rows["values"].to_pylist()]
+    lists = rows["values"].combine_chunks()
     y = rows["label"].to_numpy().astype(float)
-    values = np.concatenate(bags)
-    bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    values = lists.flatten().to_numpy().reshape(-1, FEATURES)
+    bag = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy() // FEATURES)
     weight = np.where(y == 1, rates[1] / max(y.sum(), 1), rates[0] / max((1 - y).sum(), 1))
     network = Network.fresh(values)
     network.fit(values, bag, y, weight)
@@ -266,11 +267,12 @@ def score(
         share = rates.get(1, 0) / max(sum(rates.values()), 1)
         scored = texts.select("doc_id", F.lit(float(share)).alias("score"))
     else:
-        sent = spark.sparkContext.broadcast(fit(sample, rates))
+        sent = by_value(docs, fit(sample, rates))
 
         def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            network = pickle.loads(sent.value)
             for batch in batches:
-                values = pa.array(sent.value.scores(batch.column("text").to_pylist()))
+                values = pa.array(network.scores(batch.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), values], names=["doc_id", "score"]
                 )
