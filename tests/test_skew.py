@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from assaylake.operators.marts import measurement_facts
 from assaylake.operators.staging import newest_two, stage_measurements
+from assaylake.plans import questions, report_lines
 from assaylake.plans.questions import latest_per_key
 from assaylake.plans.reports import current_snapshot
 from assaylake.sources.extraction import new_documents
@@ -110,3 +111,51 @@ def test_hot_source_sends_one_file_per_task(spark):
     assert rows["shared"] == "00000010"
     assert len(rows) == 10 and "3" not in rows
     assert "WindowGroupLimit" in fresh._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_date_is_sorted_by_several_tasks(spark, many_tasks):
+    rows = spark.range(20_000).select(
+        F.col("id").cast("string").alias("lab_result_id"),
+        F.col("id").cast("string").alias("source_file"),
+        F.lit("key").alias("biomarker_key"),
+        F.lit("2025-01-01").cast("date").alias("report_date"),
+        F.lit(1.0).alias("value_si"),
+        F.lit("u").alias("unit_si"),
+        F.lit("lab").alias("provider"),
+        F.lit("type").alias("report_type"),
+        F.lit(1).alias("biomarker_count"),
+        F.lit("").alias("tags"),
+        F.lit("").alias("document_summary"),
+        F.lit("").alias("baseline_candidates"),
+        F.lit(True).alias("is_within_ref_range"),
+        F.lit(False).alias("is_within_optimal_range"),
+        F.lit(1.0).alias("optimal_range_low_si"),
+        F.lit(1.0).alias("optimal_range_high_si"),
+    )
+    for question in (
+        questions.recent_facts,
+        questions.outside_optimal,
+        questions.report_inventory,
+        questions.document_context,
+        lambda facts: questions.key_trend(facts, "key"),
+    ):
+        used = question(rows).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert used > 1
+
+
+def test_report_lines_do_not_sort(spark, document_rows, fact_rows):
+    facts, documents = fact_rows({"biomarker_key": "a"}), document_rows({"source_file": "a"})
+    day = F.lit("2025-01-01").cast("date")
+    for lines in (
+        report_lines.snapshot_lines(facts, day),
+        report_lines.index_lines(documents, facts, day),
+        report_lines.findings_lines(facts, documents),
+    ):
+        assert "rangepartitioning" not in lines._jdf.queryExecution().toString()
