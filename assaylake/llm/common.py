@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+ID_KEY = ["_id", "_no_id"]
+
 #: Holds a whole input row while operators add columns of any name beside it.
 ROW = "_row"
 
@@ -27,6 +29,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
+def id_key(doc_id: Column) -> list[Column]:
+    """A doc_id as two columns without nulls, ``ID_KEY``: joining and then grouping by them takes
+    one shuffle."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_no_id")]
+
+
 def by_value(df: DataFrame, value: Any) -> Broadcast:
     """Broadcasts bytes that give an object of this package without the package at hand."""
     return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import ROW, boxed, text_of
+from assaylake.llm.common import ID_KEY, ROW, boxed, id_key, text_of
 from assaylake.sources.shared import shared_folder, stored
 
 #: Bytes of distinct texts that a bucket may hold before it is split.
@@ -210,12 +210,11 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The documents that stay, with their own columns."""
     rows = boxed(docs).select(
         ROW,
-        F.col(f"{ROW}.{doc_id}").alias("doc_id"),
+        *id_key(F.col(f"{ROW}.{doc_id}")),
         digest(text_of(f"{ROW}.{text}")).alias("text_sha256"),
     )
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     index = build_index(plain, shared_folder(docs.sparkSession, "exact-dedup"))
-    stays = index.select("text_sha256", "keep_id").withColumnRenamed("text_sha256", "sha")
-    same = (rows["text_sha256"] == stays["sha"]) & rows["doc_id"].eqNullSafe(stays["keep_id"])
-    kept = rows.join(stays, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "text_sha256"]).select(f"{ROW}.*")
+    stays = index.select("text_sha256", *id_key(F.col("keep_id")))
+    key = ["text_sha256", *ID_KEY]
+    return rows.join(stays, key, "left_semi").dropDuplicates(key).select(f"{ROW}.*")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import ROW, boxed, text_of
+from assaylake.llm.common import ID_KEY, ROW, boxed, id_key, text_of
 from assaylake.sources.shared import shared_folder, stored
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -358,14 +358,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     stays = (
         _with_components(docs)
         .where(first & (F.col("text_hash") == F.col("least.text_hash")))
-        .select("doc_id", "text_hash")
+        .select("text_hash", *id_key(F.col("doc_id")))
     )
-    rows = boxed(docs).withColumns(
-        {
-            "doc_id": F.col(f"{ROW}.doc_id"),
-            "text_hash": F.xxhash64(text_of(f"{ROW}.text")),
-        }
+    rows = boxed(docs).select(
+        ROW,
+        *id_key(F.col(f"{ROW}.doc_id")),
+        F.xxhash64(text_of(f"{ROW}.text")).alias("text_hash"),
     )
-    same = rows["doc_id"].eqNullSafe(stays["doc_id"]) & (rows["text_hash"] == stays["text_hash"])
-    kept = rows.join(stays, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    return kept.select(f"{ROW}.*")
+    key = ["text_hash", *ID_KEY]
+    return rows.join(stays, key, "left_semi").dropDuplicates(key).select(f"{ROW}.*")
