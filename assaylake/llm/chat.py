@@ -6,9 +6,10 @@ a conversation whose whole hash is a proper prefix of another one is a snapshot
 anti-join, and of equal conversations the one with the smallest conv_id stays. What is maximal is
 rendered with role marks.
 
-Conversations with equal hashes are merged, map side first, before the anti-join, and prefixes are
-distinct, so neither a common first turn nor a conversation logged many times is one task's work.
-Hashes are 256 bits wide. A conversation's turns are one row, as its rendering is.
+Hashes, without texts, are merged map side first, and prefixes are distinct, so neither a common
+first turn nor a conversation logged many times is one task's work; texts are looked up by
+conversation at the end. Hashes are 256 bits wide. A conversation's turns are one row, as its
+rendering is.
 
 Defined results: turns are ordered by turn, role and text, nulls first, and a turn repeated in all
 three counts once; a null role or text is empty; a turn without a conv_id is a conversation of its
@@ -20,6 +21,9 @@ an empty result; other columns play no part.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.llm.common import id_key
+from assaylake.sources.shared import shared_folder, stored
+
 # The marks around a turn.
 TURN_BEGIN, TURN_END, MARK, BROKEN_MARK = "<|im_start|>", "<|im_end|>", "<|", "< |"
 
@@ -39,14 +43,16 @@ def _turn_hash(before: Column, turn: Column) -> Column:
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """``conv_id, turns, prefixes``: ordered turns and the rolling hash after each of them."""
+    """``conv_id, alone, turns, prefixes``: ordered turns and the rolling hash after each of them.
+
+    ``alone`` tells turns without a conv_id apart and is null for all others.
+    """
     alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     turn = F.struct(
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    # the row number of a turn without conv_id only keeps it apart; no result shows it
     grouped = (
         turns.select("conv_id", alone.alias("alone"), turn.alias("t"))
         .groupBy("conv_id", "alone")
@@ -57,9 +63,9 @@ def conversations(turns: DataFrame) -> DataFrame:
     step = lambda done, t: F.concat(
         done, F.array(_turn_hash(F.coalesce(F.get(done, F.size(done) - 1), F.lit("")), t))
     )
-    return grouped.select("conv_id", F.explode_outer(F.array(once)).alias("turns")).select(
-        "conv_id", "turns", F.explode_outer(F.array(F.aggregate("turns", start, step))).alias("prefixes")
-    )
+    ordered = F.explode_outer(F.array(once)).alias("turns")
+    hashed = F.explode_outer(F.array(F.aggregate("turns", start, step))).alias("prefixes")
+    return grouped.select("conv_id", "alone", ordered).select("conv_id", "alone", "turns", hashed)
 
 
 def rendered(turns: Column) -> Column:
@@ -75,22 +81,21 @@ def maximal(turns: DataFrame) -> DataFrame:
 
     ``n_logged`` counts the logged conversations that are equal to it.
     """
-    whole = F.element_at("prefixes", -1)
     shown = conversations(turns).select(
-        "conv_id",
+        *id_key(F.col("conv_id")),
+        F.coalesce("alone", F.lit(-1)).alias("alone"),
         F.size("turns").alias("n_turns"),
-        whole.alias("hash"),
+        F.element_at("prefixes", -1).alias("hash"),
         F.slice("prefixes", F.lit(1), F.size("prefixes") - 1).alias("proper"),
         rendered(F.col("turns")).alias("text"),
     )
+    shown = stored(shown, shared_folder(turns.sparkSession, "chat"), "conversations")
+    # small rows are merged and sorted out by hash; texts move once, by conversation
     logged = shown.groupBy("hash").agg(
-        F.min("conv_id").alias("conv_id"),
-        F.any_value("n_turns").alias("n_turns"),
-        F.any_value("text").alias("text"),
-        F.any_value("proper").alias("proper"),
-        F.count(F.lit(1)).alias("n_logged"),
+        F.min(F.struct("_no_id", "_id", "alone")).alias("first"), F.count(F.lit(1)).alias("n_logged")
     )
-    prefixes = logged.select(F.explode("proper").alias("hash")).distinct()
-    return logged.join(prefixes, "hash", "left_anti").select(
-        "conv_id", "n_turns", "n_logged", "text"
+    prefixes = shown.select(F.explode("proper").alias("hash")).distinct()
+    kept = logged.join(prefixes, "hash", "left_anti").select("hash", "first.*", "n_logged")
+    return shown.join(kept, ["hash", "_no_id", "_id", "alone"]).select(
+        F.when(~F.col("_no_id"), F.col("_id")).alias("conv_id"), "n_turns", "n_logged", "text"
     )
