@@ -9,7 +9,9 @@ names its article, blocks of the article look for neighbours in it, and the rest
 One pass over the tags of a page, in Arrow batches without a shuffle; whole pages, nothing capped.
 
 Defined results: a null page is empty and gives an empty text; a page without tags is one block;
-tags that are never closed end with their surroundings; where nothing is decided, all ambiguous
+tags that are never closed end with their surroundings; of elements that are left out whole, only
+scripts, styles and comments run to the end of the page when unclosed, of others just the tag, a
+title's text and a list's options go; what a head holds besides those is text; where nothing is decided, all ambiguous
 blocks are text; at equal distances text wins in an article and boilerplate elsewhere; repeated rows give equal rows; an empty table gives an empty result; other columns play no
 part.
 """
@@ -59,15 +61,32 @@ BOILERPLATE_ROLES = frozenset(
 )
 BREAKS = frozenset(("br", "td", "th", "wbr"))
 
+# Elements that are left out whole, and those that run to the end if unclosed.
+SKIPPED = frozenset(
+    "script style noscript template title svg iframe object textarea select button canvas audio "
+    "video".split()
+)
+RUNS_ON = frozenset(("script", "style"))
+
+# a quoted value may hold any character; a quote that nothing fits ends with the tag
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<skip>script|style|noscript|template|head|title|svg|math|iframe|object|textarea|select|"
-    r"button|canvas|audio|video)\b[^>]*(?:/>|>.*?(?:</(?P=skip)\s*>|(?=<body\b)|\Z))"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)"
-    r"(?P<attributes>(?:[^>\"']|\"[^\"<>]{0,4000}\"|'[^'<>]{0,4000}')*+|[^>]*)>"
+    r"(?P<attributes>(?:[^>\"'=]|=(?!\s*[\"'])|=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>]))*+|[^>]*)>"
     r"|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
+    re.DOTALL,
 )
+_ENDS = {
+    name: re.compile(rf"<{'/' if name in RUNS_ON else '/?'}{name}(?=[\s/>])[^>]*>", re.IGNORECASE)
+    for name in SKIPPED
+}
+_LEFT_OPEN = {
+    "title": re.compile(r"[^<]*"),
+    "select": re.compile(
+        r"(?:\s*<(?:option|optgroup)(?=[\s/>])[^>]*>[^<]*(?:</(?:option|optgroup)\s*>)*)*",
+        re.IGNORECASE,
+    ),
+}
 _ATTRIBUTE = re.compile(
     r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?",
     re.IGNORECASE,
@@ -114,6 +133,17 @@ def _context(name: str, attributes: str, in_article: bool) -> str:
     return found
 
 
+def _skip(html: str, name: str, at: int) -> int:
+    """Where an element that is left out whole ends, if its tag ends at ``at``."""
+    end = _ENDS[name].search(html, at)
+    if end and end[0].startswith("</"):
+        return end.end()
+    if name in RUNS_ON:
+        return len(html)
+    # the next tag of the name opens another one, or there is none
+    return _LEFT_OPEN[name].match(html, at).end() if name in _LEFT_OPEN else at
+
+
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in page order, without empty ones."""
     blocks: list[Block] = []
@@ -152,13 +182,17 @@ def blocks_of(html: str) -> list[Block]:
                 return
 
     at = 0
-    for token in _TOKEN.finditer(html):
+    while token := _TOKEN.search(html, at):
         add(html[at : token.start()])
         at = token.end()
         name = token["name"]
         if name is None:
             continue
         name = name.lower()
+        if name in SKIPPED:
+            if not token["close"] and not token["attributes"].endswith("/"):
+                at = _skip(html, name, at)
+            continue
         if name in BREAKS:
             parts.append(" ")
             breaks += name == "br" and not token["close"]

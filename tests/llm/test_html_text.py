@@ -42,6 +42,30 @@ def test_main_text(html, text):
     assert html_text.main_text(page(html)) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>a</p><button-bar>b</button-bar><p>c</p>", "a\n\nb\n\nc"),
+        (f"<article><video-js src=x></video-js><p>{LONG}</p></article>", LONG),
+        (f"<article><title-bar>T</title-bar><p>{LONG}</p></article>", f"T\n\n{LONG}"),
+        (f"<html><head><title>T</title><meta charset=utf-8><p>{LONG}</p><p>{MORE}</p>", f"{LONG}\n\n{MORE}"),
+        (f"<head><title>T</title><script>'<p>'</script><article>{LONG}</article>", LONG),
+        *[(f"<article><{x}><p>{LONG}</p><p>{MORE}</p></article>", f"{LONG}\n\n{MORE}") for x in ("video", "object data=x", "button", "select", "audio", "svg")],
+        (f"<article><button><p>{LONG}</p><button>Go</button><p>{MORE}</p></article>", f"{LONG}\n\n{MORE}"),
+        (f"<article><p>{LONG}</p><select><option>A<option>B</option><p>{MORE}</p></article>", f"{LONG}\n\n{MORE}"),
+        (f"<article><p>{LONG}</p><SELECT><option>A</SELECT><Video>no</video ></article>", LONG),
+        (f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>", f"{LONG} x=1"),
+        (f'<article><p title="a > b" id=\'c>d\'>{LONG}</p></article>', LONG),
+        (f'<article><img alt="if a<b and b>c"><img alt="{"a" * 5000}>b"><p>{LONG}</p></article>', LONG),
+        (f'<article><p class="x>{LONG}</p><p class="y">{MORE}</p></article>', f"{LONG}\n\n{MORE}"),
+        (f"<article><p>{LONG}</p><script>a</article><p>{MORE}</p>", LONG),
+        (f"<article><p>{LONG}</p><button>Go</button><svg/><p>{MORE}</p></article>", f"{LONG}\n\n{MORE}"),
+    ],
+)
+def test_nothing_is_lost_after_a_tag(html, text):
+    assert html_text.main_text(html) == text
+
+
 @pytest.mark.parametrize("html", ["<", "<p", "<p class='x", "</", "<!--", "<script>", "&#;", "a<b>c", "<a" * 50])
 def test_broken_markup_does_not_fail(html):
     html_text.main_text(html)
