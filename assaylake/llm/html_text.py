@@ -3,8 +3,10 @@
 A page is cut into blocks at its block-level tags. The first pass decides what it can: a block in a
 menu, header, footer, sidebar, form, advert, notice or comment section, or mostly of links, is
 boilerplate; a long block, or one dense in stop words, is text. Short blocks in between stay
-ambiguous, and the second pass gives them the label of the nearest decided neighbour. Where a page
-names its article, blocks of the article look for neighbours in it, and the rest is boilerplate.
+ambiguous, and the second pass gives them the label of the nearest decided neighbour. A class or id counts
+as a name only if the whole token does (``share-bar``, not ``social-science``), and never on html, body,
+main or article; a container that only its name makes boilerplate is overruled if it has several
+blocks and most of them are long and dense in stop words. Where a page names its article, blocks of the article look for neighbours in it, and the rest is boilerplate.
 
 One pass over the tags of a page, in Arrow batches without a shuffle; whole pages, nothing capped.
 
@@ -33,6 +35,8 @@ LONG = 70
 MAX_LINKED = 0.5
 #: Stop words among the words of running text, and of what is hardly any.
 DENSE, SPARSE = 0.25, 0.08
+#: Blocks that a container needs to overrule its name: an advert or a notice may be a long sentence.
+OVERRULES = 3
 
 # Names of HTML elements.
 BLOCKS = frozenset(
@@ -56,6 +60,14 @@ BOILERPLATE_NAMES = frozenset(
     "disclaimer copyright skip search".split()
 )
 COMMENT_NAMES = frozenset("comment comments commentlist respond replies reply disqus".split())
+#: What may stand beside such a name in one token, as in share-bar.
+NAME_PARTS = frozenset(
+    "area bar block body bottom box button buttons column container content footer group head "
+    "header icons inner item items left link links list main outer page panel posts primary right "
+    "secondary section site slot top unit wrap wrapper".split()
+)
+#: Their classes and ids say nothing of what is in them.
+UNNAMED = frozenset("html body main article".split())
 BOILERPLATE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert menu menubar form".split()
 )
@@ -92,7 +104,8 @@ _ATTRIBUTE = re.compile(
     re.IGNORECASE,
 )
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-_NAME = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_]+")
+_NUMBER = re.compile(r"\d+(?:x\d+)?")
 _STOP = frozenset(STOP_WORDS)
 _WORD = re.compile(r"\w+")
 
@@ -108,29 +121,39 @@ class Block:
     label: str | None = None
 
 
-def _context(name: str, attributes: str, in_article: bool) -> str:
-    """What a tag says about what is in it."""
-    found = TEXT
+def _named(value: str, names: frozenset[str]) -> bool:
+    """Whether a whole token of a class or id is one of the names, or made of one and parts that
+    say where or how it stands."""
+    for token in value.lower().split():
+        parts = {_NUMBER.sub("", part) for part in _PARTS.split(token)} - {""}
+        if parts & names and not parts - names - NAME_PARTS:
+            return True
+    return False
+
+
+def _context(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
+    """What a tag says about what is in it, and whether its class or id names boilerplate."""
+    found, named = TEXT, False
     if name in BOILERPLATE_TAGS or (name == "header" and not in_article):
         found = BOILERPLATE
     if not attributes:
-        return found
+        return found, named
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next(filter(None, values), "")
         if key in ("class", "id"):
-            names = set(_NAME.findall(value.lower()))
-            if names & COMMENT_NAMES:
-                return COMMENT
-            if name not in ("html", "body", "h1") and names & BOILERPLATE_NAMES:
-                if not (in_article and name == "header"):
-                    found = BOILERPLATE
+            if name in UNNAMED:
+                continue
+            if _named(value, COMMENT_NAMES):
+                return COMMENT, False
+            if name != "h1" and not (in_article and name == "header"):
+                named = named or _named(value, BOILERPLATE_NAMES)
         elif key == "role" and value.lower() in BOILERPLATE_ROLES:
             found = BOILERPLATE
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             found = BOILERPLATE
         elif key == "style" and _HIDDEN.search(value):
             found = BOILERPLATE
-    return found
+    return found, named
 
 
 def _skip(html: str, name: str, at: int) -> int:
@@ -149,8 +172,11 @@ def blocks_of(html: str) -> list[Block]:
     blocks: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    # open containers: name, context and whether an article holds them
-    opened: list[tuple[str, str, bool]] = []
+    # open containers: name, context, whether an article holds them and the innermost named one
+    opened: list[tuple[str, str, bool, int]] = []
+    # of the containers named as boilerplate the one around, and of blocks the innermost named one
+    around: list[int] = []
+    inside: list[int] = []
     breaks = 0
 
     def end_block() -> None:
@@ -159,9 +185,10 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                _, context, in_article = opened[-1] if opened else ("", TEXT, False)
+                _, context, in_article, named = opened[-1] if opened else ("", TEXT, False, -1)
                 share = " ".join(unescape("".join(linked)).split())
                 blocks.append(Block(text, len(share), in_article, context))
+                inside.append(named)
             parts.clear()
             linked.clear()
 
@@ -172,7 +199,7 @@ def blocks_of(html: str) -> list[Block]:
         parts.append(text)
         if not text.isspace():
             breaks = 0
-        if any(name == "a" for name, _, _ in reversed(opened[-4:])):
+        if any(container[0] == "a" for container in reversed(opened[-4:])):
             linked.append(text)
 
     def close(name: str) -> None:
@@ -209,18 +236,54 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if name in BLOCKS and opened and opened[-1][0] in CLOSED_BY_BLOCK:
             opened.pop()
-        _, outer, in_article = opened[-1] if opened else ("", TEXT, False)
-        own = _context(name, token["attributes"], in_article)
+        _, outer, in_article, innermost = opened[-1] if opened else ("", TEXT, False, -1)
+        own, named = _context(name, token["attributes"], in_article)
         if name in ARTICLE_TAGS and own == TEXT and outer != COMMENT:
-            outer, in_article = TEXT, True
+            outer, in_article, innermost = TEXT, True, -1
         if not token["attributes"].endswith("/"):
             context = outer if outer != TEXT and own != COMMENT else own
-            opened.append((name, context, in_article and context != COMMENT))
+            if named:
+                around.append(innermost)
+                innermost = len(around) - 1
+            opened.append((name, context, in_article and context != COMMENT, innermost))
     add(html[at:])
     end_block()
+    _overrule(blocks, inside, around)
     return blocks
 
 
+def _overrule(blocks: list[Block], inside: list[int], around: list[int]) -> None:
+    """Blocks in a container that is named as boilerplate are, unless its blocks and those of all
+    named ones around it say otherwise."""
+    whole, running = [0] * len(around), [0] * len(around)
+    for block, named in zip(blocks, inside, strict=True):
+        if named >= 0:
+            whole[named] += 1
+            running[named] += block.context == TEXT and _runs(block)
+    for named in range(len(around) - 1, -1, -1):
+        if around[named] >= 0:
+            whole[around[named]] += whole[named]
+            running[around[named]] += running[named]
+    stays = []
+    for n, of_these, outer in zip(running, whole, around, strict=True):
+        overruled = n >= OVERRULES and 2 * n > of_these
+        stays.append(not overruled or (outer >= 0 and stays[outer]))
+    for block, named in zip(blocks, inside, strict=True):
+        if named >= 0 and stays[named] and block.context == TEXT:
+            block.context = BOILERPLATE
+
+
+def _density(block: Block) -> float:
+    words = _WORD.findall(block.text.lower())
+    return sum(w in _STOP for w in words) / max(len(words), 1)
+
+
+def _runs(block: Block) -> bool:
+    """Whether a block is long, not of links and dense in stop words."""
+    length = len(block.text)
+    return length >= LONG and block.linked <= MAX_LINKED * length and _density(block) >= DENSE
+
+
 def _decide(block: Block) -> str | None:
     """The first pass: text, boilerplate, or none if the block is ambiguous."""
     if block.context != TEXT:
@@ -230,9 +293,8 @@ def _decide(block: Block) -> str | None:
         return BOILERPLATE
     if block.in_article:
         return TEXT if length >= LONG else None
-    words = _WORD.findall(block.text.lower())
-    density = sum(w in _STOP for w in words) / max(len(words), 1)
     if length >= LONG:
+        density = _density(block)
         return TEXT if density >= DENSE else BOILERPLATE if density < SPARSE else None
     return None
 

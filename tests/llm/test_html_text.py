@@ -66,6 +66,28 @@ def test_nothing_is_lost_after_a_tag(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article class='post social-science'><p>{LONG}</p></article>", LONG),
+        (f"<main class='has-sidebar'><p>{LONG}</p></main>", LONG),
+        (f"<main class=content id=search><p>{LONG}</p><article class=related>Yes.</article></main>", f"{LONG}\n\nYes."),
+        (f"<body class='single comments-open'><article><p>{LONG}</p></article></body>", LONG),
+        (f"<body class='comments'><p>{LONG}</p></body>", LONG),
+        (f"<article><p>{LONG}</p><div class='social-science'>Yes.</div></article>", f"{LONG}\n\nYes."),
+        (f"<div class='widget'><p>{LONG}</p><p>{MORE}</p><p>{LONG}</p><p>Yes.</p></div>", f"{LONG}\n\n{MORE}\n\n{LONG}\n\nYes."),
+        (f"<article><p>{LONG}</p><div class='ad'><p>{MORE}</p></div></article>", LONG),
+        (f"<article><p>{LONG}</p><div class='x ad-slot-2'>A</div><div id=ad_728x90>B</div></article>", LONG),
+        (f"<article>{LONG}<div class=comments>{f'<p>{MORE}</p>' * 4}</div></article>", LONG),
+        (f"<article>{LONG}<div class=widget><div class=ad>Buy</div>{'<p>Go</p>' * 3}{f'<p>{MORE}</p>' * 4}</div></article>", LONG),
+        (f"<article>{LONG}<div class=widget><div class=ad>Buy</div>{f'<p>{MORE}</p>' * 3}</div></article>", "\n\n".join([LONG, MORE, MORE, MORE])),
+        (f"<article>{LONG}<div class=widget><nav>{MORE}</nav>{f'<p>{MORE}</p>' * 3}</div></article>", "\n\n".join([LONG, MORE, MORE, MORE])),
+    ],
+)
+def test_names_are_whole_tokens_and_can_be_overruled(html, text):
+    assert html_text.main_text(html) == text
+
+
 @pytest.mark.parametrize("html", ["<", "<p", "<p class='x", "</", "<!--", "<script>", "&#;", "a<b>c", "<a" * 50])
 def test_broken_markup_does_not_fail(html):
     html_text.main_text(html)
