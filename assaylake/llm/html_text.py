@@ -6,7 +6,10 @@ boilerplate; a long block, or one dense in stop words, is text. Short blocks in
 ambiguous, and the second pass gives them the label of the nearest decided neighbour. A class or id counts
 as a name only if the whole token does (``share-bar``, not ``social-science``), and never on html, body,
 main or article; a container that only its name makes boilerplate is overruled if it has several
-blocks and most of them are long and dense in stop words. Where a page names its article, blocks of the article look for neighbours in it, and the rest is boilerplate.
+blocks and most of them are long and dense in stop words. Stop words are English, German, French and
+Spanish: where no long block of a page is dense in them, as in other languages or in code, long blocks
+are text by their length and share of links alone; beside running text, a long block with hardly any
+stop words is boilerplate. Where a page names its article, blocks of the article look for neighbours in it, and the rest is boilerplate.
 
 One pass over the tags of a page, in Arrow batches without a shuffle; whole pages, nothing capped.
 
@@ -284,8 +287,9 @@ def _runs(block: Block) -> bool:
     return length >= LONG and block.linked <= MAX_LINKED * length and _density(block) >= DENSE
 
 
-def _decide(block: Block) -> str | None:
-    """The first pass: text, boilerplate, or none if the block is ambiguous."""
+def _decide(block: Block, stops: bool) -> str | None:
+    """The first pass: text, boilerplate, or none if the block is ambiguous; ``stops`` says whether
+    the page's stop words can tell."""
     if block.context != TEXT:
         return BOILERPLATE
     length = len(block.text)
@@ -294,7 +298,7 @@ def _decide(block: Block) -> str | None:
     if block.in_article:
         return TEXT if length >= LONG else None
     if length >= LONG:
-        density = _density(block)
+        density = _density(block) if stops else 1.0
         return TEXT if density >= DENSE else BOILERPLATE if density < SPARSE else None
     return None
 
@@ -303,9 +307,10 @@ def classify(html: str) -> list[Block]:
     """The blocks of a page with their labels."""
     blocks = blocks_of(html)
     named = any(b.in_article and b.context == TEXT for b in blocks)
+    stops = not named and any(b.context == TEXT and _runs(b) for b in blocks)
     for block in blocks:
         outside = named and not block.in_article
-        block.label = BOILERPLATE if outside else _decide(block)
+        block.label = BOILERPLATE if outside else _decide(block, stops)
     _inherit([b for b in blocks if b.in_article and b.context == TEXT], TEXT)
     _inherit([b for b in blocks if not b.in_article], BOILERPLATE)
     return blocks

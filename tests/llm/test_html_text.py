@@ -88,6 +88,22 @@ def test_names_are_whole_tokens_and_can_be_overruled(html, text):
     assert html_text.main_text(html) == text
 
 
+OTHER = "Kaupungin vanhin silta rakennettiin uudelleen, koska talven tulvat veivät sen mukanaan."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<nav>{MORE}</nav><p>{OTHER}</p><p>Lyhyt.</p>", f"{OTHER}\n\nLyhyt."),
+        (f"<nav>{MORE}</nav><pre>{'x = f(y); ' * 10}</pre>", ("x = f(y); " * 10).strip()),
+        (f"<p>{OTHER}</p><p><a href=x>{OTHER}</a></p>", OTHER),
+        (f"<p>{LONG}</p><p>{OTHER}</p>", LONG),
+    ],
+)
+def test_pages_without_known_stop_words_go_by_length_and_links(html, text):
+    assert html_text.main_text(html) == text
+
+
 @pytest.mark.parametrize("html", ["<", "<p", "<p class='x", "</", "<!--", "<script>", "&#;", "a<b>c", "<a" * 50])
 def test_broken_markup_does_not_fail(html):
     html_text.main_text(html)
