@@ -6,7 +6,8 @@ Only documents have labels, so the weights are learnt from these alone: what mak
 document bad may stand in one passage.
 
 The network is small and is fitted in the driver on a bounded sample (``PER_CLASS`` documents of each
-label, ``FIT_PASSAGES`` passages of each, evenly spaced); its weights are broadcast and every
+label, with all their passages; fewer documents where these would be more than ``FIT_PASSAGES`` in a
+class); its weights are broadcast and every
 document is scored from all its passages, in Arrow batches without a shuffle.
 
 Defined results: a null text is empty; a text without words is one passage of zeros; labels that are
@@ -32,8 +33,8 @@ from assaylake.llm.word_hash import WordHasher, joined, visible
 from assaylake.sources.shared import shared_folder, stored
 
 PASSAGE = 64
-#: Labelled documents of each class, and passages of each, that are learnt from.
-PER_CLASS, FIT_PASSAGES = 2000, 64
+#: Labelled documents of each class that are learnt from, and passages of them together.
+PER_CLASS, FIT_PASSAGES = 2000, 128_000
 ENCODED, GATED = 24, 12
 STEPS, RATE, DECAY = 200, 0.02, 1e-4
 SEED = 9
@@ -223,24 +224,46 @@ class Network:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every labelled text, some evenly spaced passages as one flat array."""
+    """Of every labelled text, all passages as one flat array, and how many."""
     for batch in batches:
         values, bag = passages(batch.column("text").to_pylist())
-        flat = []
-        for number in range(batch.num_rows):
-            mine = values[np.searchsorted(bag, number) : np.searchsorted(bag, number, "right")]
-            if len(mine) > FIT_PASSAGES:
-                mine = mine[np.linspace(0, len(mine) - 1, FIT_PASSAGES).astype(int)]
-            flat.append(mine.ravel())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("label"), pa.array(flat, pa.list_(pa.float64()))],
-            names=["doc_id", "label", "values"],
-        )
-
-
-def fit(sample: DataFrame, rates: dict[int, int]) -> Network:
+        ends = np.searchsorted(bag, np.arange(batch.num_rows), "right")
+        offsets = np.append(0, ends)
+        columns = [
+            batch.column("doc_id"),
+            batch.column("label"),
+            pa.ListArray.from_arrays(
+                pa.array((offsets * FEATURES).astype(np.int32)), pa.array(values.ravel())
+            ),
+            pa.array(np.diff(offsets)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "values", "n"])
+
+
+def _that_fit(measured: DataFrame, most: int) -> DataFrame:
+    """``doc_id, label`` of documents whose passages are at most so many in a class together, by a
+    hash of the doc_id; the shortest one where none fits."""
+    sizes = measured.groupBy("doc_id", "label").agg(F.sum("n").alias("n"))
+    sizes = sizes.orderBy("label", F.xxhash64("doc_id", F.lit(SEED)), "doc_id").toArrow()
+    labels, n = sizes["label"].to_numpy(), sizes["n"].to_numpy()
+    taken = np.zeros(len(labels), bool)
+    for label in np.unique(labels):
+        of_class, left = np.flatnonzero(labels == label), most
+        for at in of_class:
+            taken[at] = n[at] <= left
+            left -= n[at] * taken[at]
+        if not taken[of_class].any():
+            taken[of_class[np.argmin(n[of_class])]] = True
+    picked = sizes.filter(pa.array(taken)).select(["doc_id", "label"])
+    return measured.sparkSession.createDataFrame(picked)
+
+
+def fit(sample: DataFrame, rates: dict[int, int], folder: str) -> Network:
     """A network from ``sample(doc_id, text, label)``; documents weigh as their class is labelled."""
-    rows = sample.mapInArrow(_measured, "doc_id long, label int, values array<double>").toArrow()
+    kinds = "doc_id long, label int, values array<double>, n long"
+    measured = stored(sample.mapInArrow(_measured, kinds), folder, "measured")
+    picked = F.broadcast(_that_fit(measured, FIT_PASSAGES))
+    rows = measured.join(picked, ["doc_id", "label"], "left_semi").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     lists = rows["values"].combine_chunks()
     y = rows["label"].to_numpy().astype(float)
@@ -259,7 +282,8 @@ def score(
     whether labels of the document must not be learnt from."""
     spark, held_out = docs.sparkSession, out(F.col("doc_id"))
     sample = labelled_sample(docs, labels, label, held_out, PER_CLASS)
-    sample = stored(sample, shared_folder(spark, "passages"), "sample")
+    folder = shared_folder(spark, "passages")
+    sample = stored(sample, folder, "sample")
     known = labels.where(~held_out & F.col(label).isin(0, 1)).groupBy(label).count().collect()
     rates = {r[0]: r[1] for r in known}
     texts = docs.select("doc_id", text_of().alias("text"))
@@ -267,7 +291,7 @@ def score(
         share = rates.get(1, 0) / max(sum(rates.values()), 1)
         scored = texts.select("doc_id", F.lit(float(share)).alias("score"))
     else:
-        sent = by_value(docs, fit(sample, rates))
+        sent = by_value(docs, fit(sample, rates, folder))
 
         def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             network = pickle.loads(sent.value)

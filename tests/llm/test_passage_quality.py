@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from assaylake.llm import passage_quality, toxicity
 
@@ -35,6 +36,22 @@ def test_one_bad_passage_is_found(spark, documents):
     assert sorted(got) == [i for i, _, _ in rows]
 
 
+def test_all_passages_of_sampled_documents_are_learnt_from(spark, documents, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(passage_quality.Network, "fit", lambda self, values, bag, y, w: seen.append((values, bag, y)))
+    docs = documents(*[(i, "word " * 64 * n) for i, n in enumerate([100, 3, 200, 1])])
+    sample = docs.select("doc_id", "text", (F.col("doc_id") % 2).cast("int").alias("label"))
+    passage_quality.fit(sample, {0: 2, 1: 2}, str(tmp_path / "all"))
+    assert np.bincount(seen[0][1]).tolist() == [100, 3, 200, 1]
+    monkeypatch.setattr(passage_quality, "FIT_PASSAGES", 200)
+    passage_quality.fit(sample, {0: 2, 1: 2}, str(tmp_path / "fewer"))
+    whole = np.bincount(seen[1][1]).tolist()
+    assert whole in ([100, 3, 1], [3, 200, 1])
+    monkeypatch.setattr(passage_quality, "FIT_PASSAGES", 50)
+    passage_quality.fit(sample, {0: 2, 1: 2}, str(tmp_path / "least"))
+    assert np.bincount(seen[2][1]).tolist() == [100, 3, 1]
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(9)
     values = rng.normal(size=(12, passage_quality.FEATURES))
