@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from builders import extraction, measurement  # noqa: E402
+
 from assaylake import schemas  # noqa: E402
 
 
@@ -139,29 +141,6 @@ def document_rows(spark):
     return build
 
 
-def measurement(name, value, provider="Quest", day="2025-11-15", **more):
-    return {
-        "report_date": day,
-        "provider": provider,
-        "biomarker_name": name,
-        "value": value,
-        **more,
-    }
-
-
-def extraction(source, rows, **more):
-    document = {
-        "biomarkers": rows,
-        "document_summary": f"# Report {source}\nwith two lines",
-        "metadata": {"report_type": "blood_panel", "tags": ["lipid", "metabolic"]},
-        "source_file": source,
-        "extracted_at": "2025-11-16T08:30:00",
-        "extraction_method": "manual",
-    }
-    document.update(more)
-    return document
-
-
 @pytest.fixture
 def in_dir(tmp_path):
     """Three reports with 5, 6 and 2 measurements."""

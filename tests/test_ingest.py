@@ -2,7 +2,7 @@ import pytest
 import json
 from datetime import date, datetime
 
-from conftest import extraction, measurement
+from builders import extraction, measurement
 from pyspark.sql import functions as F
 
 from assaylake.operators.redaction import redact

@@ -2,7 +2,7 @@ import json
 from datetime import date
 
 import pytest
-from conftest import extraction, measurement
+from builders import extraction, measurement
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
