@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, chat, exact_dedup, html_text, passage_quality, quality_rules, quality_sql, sharding, simhash, source_mix, toxicity
+from assaylake.llm import bpe, chat, decontamination, exact_dedup, html_text, passage_quality, quality_rules, quality_sql, sharding, simhash, source_mix, toxicity
 from assaylake.llm.common import ROW, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -69,6 +70,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = decontamination.scan(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return scanned.select(
+        f"{ROW}.doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("found.items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
 _QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mix": op2_source_mix,
@@ -80,6 +95,7 @@ _QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_passage_quality": op9_passage_quality,
     "op10_toxicity": op10_toxicity,
+    "op13_decontamination": op13_decontamination,
 }
 
 
@@ -117,6 +133,40 @@ _SQL = {
                  '' order by turn, role, text) as text
         from kept join turns using (conv_id) group by conv_id
     """,
+    "op13_decontamination": """
+        with docs as (
+          select row_number() over () as row_no, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[0-9a-z\\x{80}-\\x{10FFFF}]+') as words
+          from documents),
+        items as (
+          select coalesce(cast(item_id as varchar), '') as item,
+                 regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[0-9a-z\\x{80}-\\x{10FFFF}]+') as words
+          from benchmark),
+        sized as (select item, words, least(len(words), 10) as k from items where len(words) > 0),
+        windows as (
+          select distinct item, k, array_to_string(words[i:i + k - 1], ' ') as w
+          from (select item, words, k, unnest(range(1, len(words) - k + 2)) as i from sized)),
+        placed as (
+          select row_no, words, k, unnest(range(1, len(words) - k + 2)) as i
+          from docs, (select distinct k from windows) where len(words) >= k),
+        hits as (
+          select row_no, i, placed.k, item from placed join windows
+          on placed.k = windows.k and array_to_string(words[i:i + placed.k - 1], ' ') = w),
+        hit_words as (
+          select row_no, count(distinct p) as n_hit
+          from (select row_no, unnest(range(i, i + k)) as p from hits) group by row_no),
+        hit_items as (
+          select row_no, count(*) as n_items, string_agg(item, ',' order by item) as ids
+          from (select distinct row_no, item from hits) group by row_no)
+        select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit,
+               coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 as contaminated
+        from docs left join hit_words using (row_no) left join hit_items using (row_no)
+    """,
 }
 
 

@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_names():
     names = list(queries.registered())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 13)] + ["pipeline"]
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "exact_dedup", "simhash_near_dedup", "source_mix", "byte_bpe",
     ]
@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name", [f"op{n}" for n in (2, 3, 4, 5, 6, 7, 9, 10)])
+@pytest.mark.parametrize("name", [f"op{n}" for n in (2, 3, 4, 5, 6, 7, 9, 10, 13)])
 def test_a_row_per_input_row(spark, name):
     full = next(n for n in queries.registered() if n.startswith(name + "_"))
     table = "pages" if name == "op7" else "documents"
