@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, chat, decontamination, exact_dedup, html_text, passage_quality, quality_rules, quality_sql, sharding, simhash, source_mix, toxicity
+from assaylake.llm import bpe, chat, decontamination, exact_dedup, hard_negatives, html_text, passage_quality, quality_rules, quality_sql, sharding, simhash, source_mix, toxicity
 from assaylake.llm.common import ROW, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -70,6 +70,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10)
+    return hard_negatives.mine(
+        table(spark, sf_dir, "embeddings"),
+        is_anchor=F.pmod("vec_id", F.lit(100)) == 0,
+        label=moved.otherwise(F.col("label")),
+    )
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = decontamination.scan(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -95,6 +104,7 @@ _QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_passage_quality": op9_passage_quality,
     "op10_toxicity": op10_toxicity,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_decontamination": op13_decontamination,
 }
 
@@ -133,6 +143,36 @@ _SQL = {
                  '' order by turn, role, text) as text
         from kept join turns using (conv_id) group by conv_id
     """,
+    "op12_hard_negatives": """
+        with taking_part as (
+          select distinct vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label,
+                 [floor(256 * cast(x as double)) for x in embedding] as vec
+          from embeddings
+          where vec_id is not null and label is not null and embedding is not null
+            and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+        scored as (
+          select a.vec_id as anchor_id, a.label as anchor_label, a.vec as anchor_vec,
+                 b.vec_id as id, b.label = a.label as same_label,
+                 cast(list_dot_product(a.vec, b.vec) as bigint) as score
+          from taking_part a join taking_part b on b.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+        positives as (
+          select *, row_number() over (partition by anchor_id, anchor_label, anchor_vec
+                                       order by score desc, id) as place
+          from scored where same_label),
+        paired as (
+          select p.anchor_id, p.id as positive_id, p.score as positive_score, p.place,
+                 n.id as negative_id, n.score as negative_score,
+                 row_number() over (partition by p.anchor_id, p.anchor_label, p.anchor_vec, p.place
+                                    order by n.score desc, n.id) as rank
+          from positives p join scored n
+            on n.anchor_id = p.anchor_id and n.anchor_label = p.anchor_label
+            and n.anchor_vec = p.anchor_vec and not n.same_label
+            and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+          where p.place <= 5)
+        select anchor_id, positive_id, cast(rank as int) as rank, negative_id,
+               positive_score, negative_score, cast(place as int) as positive_rank
+        from paired where rank <= 10
+    """,
     "op13_decontamination": """
         with docs as (
           select row_number() over () as row_no, doc_id,
