@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, chat, decontamination, exact_dedup, hard_negatives, html_text, passage_quality, quality_rules, quality_sql, sharding, simhash, source_mix, toxicity
+from assaylake.llm import bpe, chat, collocations, decontamination, exact_dedup, hard_negatives, html_text, passage_quality, quality_rules, quality_sql, sharding, simhash, source_mix, toxicity
 from assaylake.llm.common import ROW, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -70,6 +70,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10)
     return hard_negatives.mine(
@@ -104,6 +108,7 @@ _QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_passage_quality": op9_passage_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_decontamination": op13_decontamination,
 }
@@ -143,6 +148,47 @@ _SQL = {
                  '' order by turn, role, text) as text
         from kept join turns using (conv_id) group by conv_id
     """,
+    "op11_collocations": """
+        with pieces as (
+          select coalesce(lang, 'und') as lang,
+                 unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[.,;:!?\\x0A-\\x0D]')) as piece
+          from documents),
+        split as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as words from pieces),
+        totals as (select lang, cast(sum(len(words)) as bigint) as n from split group by lang),
+        grams as (
+          select lang, m, words[i:i + m - 1] as words
+          from (select lang, words, m, unnest(range(1, len(words) - m + 2)) as i
+                from split, range(1, 6) as sizes(m) where len(words) >= m)),
+        entries as (
+          select lang, m, words, count(*) as f from grams group by lang, m, words
+          having count(*) >= 100),
+        cuts as (
+          select c.lang, c.m, c.words, c.f as a, c.k, h.f as l, t.f as r, n,
+                 (1000::hugeint * c.f * n) // (h.f::hugeint * t.f) as score
+          from (select *, unnest(range(1, m)) as k from entries where m > 1) c
+          join entries h on h.lang = c.lang and h.words = c.words[1:c.k]
+          join entries t on t.lang = c.lang and t.words = c.words[c.k + 1:c.m]
+          join totals on totals.lang = c.lang),
+        lowest as (
+          select * from cuts
+          qualify row_number() over (partition by lang, words order by score, k) = 1),
+        longer as (
+          select lang, words, max(f) as f from (
+            select lang, f, unnest([words[s:s + w - 1] for s in range(1, m - w + 2)]) as words
+            from (select *, unnest(range(2, m)) as w from entries))
+          group by lang, words),
+        kept as (
+          select lowest.* from lowest left join longer using (lang, words)
+          where longer.f is null or 100 * longer.f < 100 * a)
+        select lang, rank, array_to_string(words, ' ') as phrase, a, l, r, n,
+               cast(score as bigint) as score
+        from (select *, row_number() over (
+                partition by lang
+                order by score desc, a desc, array_to_string(words, ' ')) as rank from kept)
+        where rank <= 2000
+    """,
     "op12_hard_negatives": """
         with taking_part as (
           select distinct vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label,

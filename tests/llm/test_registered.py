@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_names():
     names = list(queries.registered())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13)] + ["pipeline"]
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "exact_dedup", "simhash_near_dedup", "source_mix", "byte_bpe",
     ]
