@@ -8,8 +8,10 @@ computed again up to where the table repeats itself.
 A token may follow another if the two, merged by rank from their bytes, come out as the same two; an
 encoding is the one whose neighbours all may follow each other.
 
-The rank file is a parameter. Each task reads it through Spark's file distribution once and keeps
-bounded caches; texts go through whole, row by row, without a shuffle.
+The rank file is a parameter and is broadcast; what a task remembers of earlier texts is bounded. Only the
+texts travel to Python, the rest of a row stays where it is, and nothing is shuffled. Texts are taken apart whole
+at single spaces; every distinct run between them is encoded once, and a text's ids, their digits and
+the decoded bytes are gathered by index from those of its runs.
 
 Defined results: a null text is empty, and an empty text has no ids; texts are encoded without
 special tokens, so the names of such tokens are ordinary text; repeated rows give equal rows; an
@@ -19,9 +21,11 @@ columns are carried through whatever their names.
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,15 +33,19 @@ from pyspark.sql import functions as F
 
 from assaylake.llm.common import ROW, boxed, text_of
 
-#: Entries that a cache may hold before it starts anew.
-CACHED = 300_000
+#: Runs, and pairs of neighbours, that are remembered before they are learnt anew.
+CACHED = 200_000
 #: Prefixes whose last tokens are kept before they are learnt anew.
-PREFIXES = 1_000_000
+PREFIXES = 200_000
+#: Ids of all remembered runs together, before they are learnt anew.
+IDS_HELD = 1 << 21
+#: Bytes of texts that are gathered at once.
+SLICE_BYTES = 1 << 20
 #: Bytes at the end of a prefix that tell how long its last token can be.
 ENDING = 3
 #: A rank beyond all.
 NEVER = 1 << 62
-#: Characters or bytes above which a run without spaces is not cached.
+#: Bytes above which a piece has a table of its own.
 LONG = 64
 
 
@@ -53,7 +61,7 @@ class Vocabulary:
             ending = token[-ENDING:]
             self._longest_with[ending] = max(self._longest_with.get(ending, 0), len(token))
         self._spines: dict[int, tuple[list, list]] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
 
     @classmethod
     def read(cls, lines: bytes) -> "Vocabulary":
@@ -101,11 +109,11 @@ class Vocabulary:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether no merge across the boundary of two tokens comes before those that build them."""
-        known = self._follows.get((left, right))
+        known = self._follows.get(left << 32 | right)
         if known is None:
-            if len(self._follows) >= 4 * CACHED:
+            if len(self._follows) >= CACHED:
                 self._follows.clear()
-            known = self._follows[left, right] = self._stay_apart(left, right)
+            known = self._follows[left << 32 | right] = self._stay_apart(left, right)
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
@@ -140,7 +148,7 @@ class Vocabulary:
             if token is None:
                 continue
             left = last[prefix[:begin]]
-            known = follows((left, token))
+            known = follows(left << 32 | token)
             if known or (known is None and self.may_follow(left, token)):
                 return token
         raise ValueError(f"no token ends with the byte {prefix[-1]}")
@@ -177,7 +185,7 @@ class PrefixTable:
                 if vocabulary.stands_alone(token):
                     return token
                 continue
-            known = follows.get((last[begin], token))
+            known = follows.get(last[begin] << 32 | token)
             if known or (known is None and vocabulary.may_follow(last[begin], token)):
                 return token
         raise ValueError(f"no token ends the byte {text[end - 1]}")
@@ -208,19 +216,38 @@ class PrefixTable:
         return out[::-1]
 
 
-class Cache(dict):
-    """Values of a function for short texts, a bounded number of them."""
+class Runs(dict):
+    """Distinct runs by number, their ids and the digits of these side by side in flat arrays."""
 
-    def __init__(self, of: Callable[[str], tuple[int, ...]]):
+    def __init__(self, of: Callable[[str], Iterable[int]]):
         self.of = of
+        self.start()
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
-        value = self.of(text)
-        if len(text) <= LONG:
-            if len(self) >= CACHED:
-                self.clear()
-            self[text] = value
-        return value
+    def start(self) -> None:
+        self.clear()
+        self.ids, self.id_edges = array("i"), array("q", [0])
+        self.digits, self.digit_edges = bytearray(), array("q", [0])
+
+    def __missing__(self, text: str) -> int:
+        ids = list(self.of(text))
+        self.ids.extend(ids)
+        self.id_edges.append(len(self.ids))
+        self.digits += b"".join(b"%d," % i for i in ids)
+        self.digit_edges.append(len(self.digits))
+        self[text] = number = len(self.id_edges) - 2
+        return number
+
+    def full(self) -> bool:
+        return len(self) >= CACHED or len(self.ids) >= IDS_HELD
+
+
+def gathered(flat: np.ndarray, edges: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a flat array that belong to some numbers, one after the other, and where each ends."""
+    begins, lengths = edges[numbers], edges[numbers + 1] - edges[numbers]
+    ends = np.cumsum(lengths)
+    at = np.repeat(begins - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return flat[at], ends
 
 
 class Encoder:
@@ -229,8 +256,13 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self._pieces = regex.compile(pattern).findall
+        # whether a run between single spaces may stand for itself
         self._irregular = regex.compile(r"^\s| \s|\s |\s$").search
-        self._after_space = Cache(lambda run: tuple(self._whole(" " + run)))
+        self._single_spaces = regex.compile(r"(?<=\S) (?=\S)").split
+        self.splits = all(
+            regex.fullmatch(pattern, piece) is None for piece in ("a b", "a ", ". .", "1 1", "! a", " a b")
+        )
+        self.runs = Runs(self._whole)
         self._last: dict[bytes, int] = {}
 
     def _piece(self, piece: str) -> list[int]:
@@ -261,46 +293,94 @@ class Encoder:
     def _whole(self, text: str) -> Iterator[int]:
         return chain.from_iterable(map(self._piece, self._pieces(text)))
 
+    def cut(self, text: str) -> list[str]:
+        """Runs that are encoded one by one: a piece holds a space only as its first character, so one
+        begins at each space that stands alone between two other characters, whatever the
+        pattern finds elsewhere. A pattern of another kind takes texts as they are."""
+        if not self.splits:
+            return [text]
+        first, *runs = self._single_spaces(text) if self._irregular(text) else text.split(" ")
+        return [first, *[" " + run for run in runs]]
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of some texts by number, and where each text's runs end. What is remembered is
+        bounded between texts of one call only by their own size."""
+        if self.runs.full():
+            self.runs.start()
+        cuts = [self.cut(text) for text in texts]
+        ends = np.cumsum([len(c) for c in cuts], dtype=np.int64)
+        found = map(self.runs.__getitem__, chain.from_iterable(cuts))
+        return np.fromiter(found, np.int64, int(ends[-1]) if len(ends) else 0), ends
+
     def encode(self, text: str) -> list[int]:
-        """The ids of a text. Where every space stands alone between two other characters, a piece
-        begins at each space whatever the pattern finds elsewhere (a piece holds a space only as
-        its first character), so the runs between are cut and cached one by one.
-        """
-        if not text or self._irregular(text):
-            return list(self._whole(text))
-        first, *runs = text.split(" ")
-        ids = list(self._whole(first))
-        ids.extend(chain.from_iterable(map(self._after_space.__getitem__, runs)))
-        return ids
+        """The ids of a text."""
+        numbers, _ = self.numbers([text])
+        return gathered(np.array(self.runs.ids), np.array(self.runs.id_edges), numbers)[0].tolist()
+
+
+class Digests:
+    """Texts as ids, with digests of the ids' digits and of the bytes that the ids decode to."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        bytes_of = encoder.vocabulary.bytes_of
+        size = max(bytes_of, default=-1) + 1
+        lengths = np.fromiter((len(bytes_of.get(i, b"")) for i in range(size)), np.int64, size)
+        self.edges = np.concatenate([[0], np.cumsum(lengths)])
+        self.bytes = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in range(size)), np.uint8)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+        """All ids, where each text's end, and both digests of each text."""
+        numbers, run_ends = self.encoder.numbers(texts)
+        runs = self.encoder.runs
+
+        def of_texts(ends: np.ndarray) -> np.ndarray:
+            return np.concatenate([[0], ends])[run_ends]
+
+        ids, ends = gathered(np.frombuffer(runs.ids, np.int32), np.frombuffer(runs.id_edges, np.int64), numbers)
+        ends = of_texts(ends)
+        digits, digit_ends = gathered(
+            np.frombuffer(runs.digits, np.uint8), np.frombuffer(runs.digit_edges, np.int64), numbers
+        )
+        digit_ends = of_texts(digit_ends)
+        decoded, token_ends = gathered(self.bytes, self.edges, ids)
+        decoded_ends = np.concatenate([[0], token_ends])[ends]
+        return ids, ends, _shas(digits, digit_ends, 1), _shas(decoded, decoded_ends, 0)
 
 
-def _load(rank_bytes: bytes, pattern: str) -> Encoder:
-    return Encoder(Vocabulary.read(rank_bytes), pattern)
+def _shas(flat: np.ndarray, ends: np.ndarray, without: int) -> list[str]:
+    """Digests of consecutive stretches, each without so many bytes at its end."""
+    begins, view = [0, *ends.tolist()], memoryview(flat)
+    pairs = zip(begins, begins[1:], strict=False)
+    return [hashlib.sha256(view[a : max(a, b - without)]).hexdigest() for a, b in pairs]
 
 
 def _digests(rank_bytes: Callable[[], bytes], pattern: str, with_ids: bool) -> Callable:
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _load(rank_bytes(), pattern)
-        vocabulary = encoder.vocabulary
-        texts_of = {i: str(i) for i in vocabulary.bytes_of}.__getitem__
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        digests = Digests(Encoder(Vocabulary.read(rank_bytes()), pattern))
         for batch in batches:
-            counts, digests, decoded, all_ids = [], [], [], []
-            for text in batch.column("text"):
-                ids = encoder.encode(text.as_py())
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(texts_of, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+            out: list[list[pa.Array]] = []
+            begin = size = 0
+            for end, text in enumerate(batch, 1):
+                size += text.as_buffer().size
+                if size < SLICE_BYTES and end < len(batch):
+                    continue
+                ids, ends, of_ids, of_bytes = digests.of(batch.slice(begin, end - begin).to_pylist())
+                edges = np.concatenate([[0], ends])
+                columns = [
+                    pa.array(np.diff(edges), pa.int64()),
+                    pa.array(of_ids, pa.string()),
+                    pa.array(of_bytes, pa.string()),
+                ]
                 if with_ids:
-                    all_ids.append(ids)
-            columns = {
-                "row": batch.column("row"),
-                "n_tokens": pa.array(counts, pa.int64()),
-                "ids_sha256": pa.array(digests, pa.string()),
-                "decoded_sha256": pa.array(decoded, pa.string()),
-            }
-            if with_ids:
-                columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids)))
+                out.append(columns)
+                begin, size = end, 0
+            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+            n = 4 if with_ids else 3
+            whole = [pa.concat_arrays([c[i] for c in out]) if out else pa.array([], kinds[i]) for i in range(n)]
+            yield pa.StructArray.from_arrays(whole, names[:n])
 
     return encode
 
@@ -315,16 +395,13 @@ def _rank_bytes(df: DataFrame, path: str) -> Callable[[], bytes]:
 def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``, in the
     place of columns of these names."""
-    carried = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")]
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), text_of().alias("text")
-    )
-    kind = rows.schema["row"].dataType.simpleString()
-    out = f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    out += ", ids array<int>" if with_ids else ""
-    run = _digests(_rank_bytes(docs, path), pattern, with_ids)
-    done = rows.mapInArrow(run, out)
-    return done.select("row.*", *done.columns[1:])
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    kinds = ["long", "string", "string", "array<int>"]
+    kind = ", ".join(f"{n}: {k}" for n, k in zip(names, kinds, strict=False))
+    run = F.arrow_udf(_digests(_rank_bytes(docs, path), pattern, with_ids), f"struct<{kind}>")
+    rows = boxed(docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids"))
+    done = rows.select(ROW, run(text_of(f"{ROW}.text")).alias("_tokens"))
+    return done.select(f"{ROW}.*", *[f"_tokens.{n}" for n in names])
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
