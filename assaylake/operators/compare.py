@@ -9,6 +9,7 @@ from assaylake import fixed_values as fixed
 
 # One row per side after deduplication, so nothing fans out and no key can be hot.
 FULL_GRAIN = ("biomarker_key", "report_date", "provider")
+COMPARED = ("value_si", "unit_si", "source_file")
 
 
 def pair_facts(
@@ -21,7 +22,7 @@ def pair_facts(
 
     Keys must name one fact on each side, as the default does.
     """
-    needed = [*keys, "value_si", "unit_si", "source_file"]
+    needed = [*keys, *COMPARED]
     p, d = left.select(needed).alias("p"), right.select(needed).alias("d")
     joined = p.join(d, [F.col(f"p.{k}") == F.col(f"d.{k}") for k in keys], "full")
     if source_file is not None:

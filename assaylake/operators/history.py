@@ -36,6 +36,12 @@ def newest_range(staged: DataFrame, part: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def of_keys(staged: DataFrame, keys: DataFrame) -> DataFrame:
+    """The staged rows of some providers and measurements."""
+    s, k = staged.alias("s"), keys.alias("k")
+    return s.join(k, [F.col(f"s.{c}").eqNullSafe(F.col(f"k.{c}")) for c in KEY], "left_semi")
+
+
 def open_history(batch: DataFrame, run_ts: Column) -> DataFrame:
     """First history: every key of the batch gets one open version."""
     return batch.withColumn("valid_from", run_ts).withColumn(

@@ -75,3 +75,11 @@ def document_dimension(docs: DataFrame, staged: DataFrame) -> DataFrame:
         "document_summary",
         "baseline_candidates",
     )
+
+
+def recounted(documents: DataFrame, changes: DataFrame) -> DataFrame:
+    """The document dimension after the measurement counts of some sources changed."""
+    change = F.coalesce("change", F.lit(0))
+    joined = documents.join(changes, "source_file", "left")
+    counted = joined.withColumn("biomarker_count", F.col("biomarker_count") + change)
+    return counted.select(*documents.columns)

@@ -56,6 +56,15 @@ def stage_measurements(raw: DataFrame, part: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def newest_staged(staged: DataFrame) -> DataFrame:
+    """Of staged rows from several loads the last extracted one per date, name and provider."""
+    newest_first = Window.partitionBy("report_date", "biomarker_name", "provider").orderBy(
+        F.desc("extracted_at"), F.desc("lab_result_id")
+    )
+    ranked = staged.withColumn("place", F.row_number().over(newest_first))
+    return ranked.where(F.col("place") == 1).drop("place")
+
+
 def newest_two(staged: DataFrame, part: Sequence[str] = ()) -> DataFrame:
     """The two newest staged rows per measurement name: all that a snapshot needs.
 

@@ -15,6 +15,7 @@ from assaylake.functions.display import number_text, tag_suffix, two_places
 from assaylake.functions.labels import category_heading, title_case
 from assaylake.functions.text import strip_space
 from assaylake.plans import reports
+from assaylake.sources.named_files import write_named
 
 ORDER = ("block", "rank", "label", "item", "position", "line_no")
 _LAST = 9_000_000_000_000_000_000
@@ -302,3 +303,11 @@ def write_reports(lines: DataFrame, path: str) -> None:
     """
     ordered = lines.repartitionByRange("report", *ORDER).sortWithinPartitions("report", *ORDER)
     ordered.select("report", "line").write.mode("overwrite").partitionBy("report").text(path)
+
+
+def write_report_files(lines: DataFrame, path: str) -> None:
+    """One Markdown file per report, named after it. A report's lines pass through one task in order and
+    one after the other; ``write_reports`` spreads a report over many."""
+    name = F.concat("report", F.lit(".md")).alias("name")
+    content = F.concat("line", F.lit("\n")).alias("content")
+    write_named(lines.select(name, content, *ORDER), path, *ORDER)

@@ -76,6 +76,9 @@ DOCUMENTS = (
     .add("baseline_candidates", "string")
 )
 
+# What a stream brings: checked files, and the sources that it has not met before.
+ARRIVALS = T.StructType([*CHECKED_FILE.fields]).add("is_new", "boolean")
+
 REJECTED = T.StructType().add("path", "string").add("errors", TEXTS)
 
 REFERENCE_DIMENSION = (

@@ -1,10 +1,13 @@
 """Exports of loaded documents by year (SNK11)."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake import fixed_values as fixed
 from assaylake.functions.display import slug, year_part
+from assaylake.sources.named_files import write_named
+
+DOCUMENT = ("biomarkers", "document_summary", "metadata", "source_file", "extracted_at", "extraction_method")
 
 
 def export_rows(good: DataFrame) -> DataFrame:
@@ -34,3 +37,22 @@ def export_documents(good: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("year").json(f"{path}/documents")
     narratives = rows.select("year", "narrative_name", "document_summary")
     narratives.write.mode("overwrite").partitionBy("year").json(f"{path}/findings")
+
+
+def _last_by_name(rows: DataFrame, name: Column, content: Column) -> DataFrame:
+    """``name, content``: of documents that share a name the one extracted last, as if each were written
+    over the one before. Losers are dropped before the shuffle."""
+    last = Window.partitionBy("name").orderBy(F.desc("extracted_at"), F.desc("source_file"))
+    named = rows.select(name.alias("name"), content.alias("content"), "extracted_at", "source_file")
+    ranked = named.withColumn("place", F.row_number().over(last)).where(F.col("place") == 1)
+    return ranked.select("name", "content")
+
+
+def export_files(good: DataFrame, path: str) -> None:
+    """A JSON file per document in ``raw``, and its narrative as Markdown in ``findings`` by year."""
+    rows = export_rows(good)
+    document = F.to_json(F.struct(*DOCUMENT), {"pretty": "true", "ignoreNullFields": "false"})
+    write_named(_last_by_name(rows, F.col("json_name"), document), f"{path}/raw", rows_per_name=1)
+    narrative = F.concat_ws("/", "year", "narrative_name")
+    narratives = _last_by_name(rows, narrative, F.col("document_summary"))
+    write_named(narratives, f"{path}/findings", rows_per_name=1)

@@ -261,15 +261,20 @@ def parse_extractions(files: DataFrame, now: Column | None = None) -> tuple[Data
     return good_files(checked), rejected_files(checked)
 
 
+def first_by_source(good: DataFrame) -> DataFrame:
+    """The first file by path for each source; map tasks send at most one file per source."""
+    by_path = Window.partitionBy("source_file").orderBy("path")
+    first = good.withColumn("place", F.row_number().over(by_path)).where(F.col("place") == 1)
+    return first.drop("place")
+
+
 def new_documents(good: DataFrame, existing_docs: DataFrame) -> DataFrame:
     """Files to load: the first by path for each source, unless the source is known already.
 
-    Rank 1 is taken first. Map tasks then send at most one file per source, and the anti join
-    runs on the same partitioning.
+    The anti join runs on the partitioning of the first.
     """
-    by_path = Window.partitionBy("source_file").orderBy("path")
-    first = good.withColumn("place", F.row_number().over(by_path)).where(F.col("place") == 1)
-    return first.drop("place").join(existing_docs.select("source_file"), "source_file", "left_anti")
+    known = existing_docs.select("source_file")
+    return first_by_source(good).join(known, "source_file", "left_anti")
 
 
 def document_rows(good: DataFrame) -> DataFrame:

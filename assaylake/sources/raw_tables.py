@@ -1,10 +1,11 @@
 """Raw tables on parquet: loading, deleting and reloading (SNK1-SNK10).
 
-Nothing stored is ever overwritten. Both tables are partitioned by ``load_batch``, and a load appends
-its rows under an attempt of its own: first ``incoming`` and ``rejected``, then measurements, and
-documents last. A measurement counts only if its document stands beside it under the same attempt,
-so what a failed load left is never seen, and running it again, under any batch name, appends what
-is still missing. Deleting a source appends a mark against its document, in one write.
+Nothing stored is ever overwritten. The tables are partitioned by ``load_batch``, and a load appends
+its rows under an attempt of its own: ``incoming`` and ``rejected``, measurements, documents, and last
+one row in ``attempts``. Only rows of an attempt that stands there count, so what a failed load left is
+never seen, and running it again, under any batch name, appends what is still missing. Deleting a
+source appends a mark against its attempt, in one write. Both tables of what counts have a row per
+load or deleted source, so reading the raw tables needs no shuffle of theirs.
 """
 
 import uuid
@@ -16,16 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaylake import schemas
-from assaylake.sources import extraction
+from assaylake.sources import extraction, versions
 
 BATCH, ATTEMPT = "load_batch", "load_attempt"
-DELETED = "deleted"
+DELETED, ATTEMPTS = "deleted", "attempts"
 TABLES = {
     "lab_results": schemas.LAB_RESULTS,
     "documents": schemas.DOCUMENTS,
     "rejected": schemas.REJECTED,
     "incoming": schemas.CHECKED_FILE,
-    DELETED: T.StructType().add("source_file", "string"),
+    "arrivals": schemas.ARRIVALS,
+    DELETED: T.StructType().add("source_file", "string").add("deletion", "string"),
+    ATTEMPTS: T.StructType().add("documents", "long"),
 }
 
 
@@ -66,20 +69,22 @@ def same_load(left: str, right: str) -> Column:
     )
 
 
-def _documents(spark: SparkSession, root: str) -> DataFrame:
-    documents = stored_rows(spark, root, "documents").alias("d")
-    deleted = stored_rows(spark, root, DELETED).alias("x")
-    return documents.join(deleted, same_load("d", "x"), "left_anti")
+def counted_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rows of finished attempts whose source is not marked as deleted. Rows in older files name no
+    attempt and count."""
+    rows = stored_rows(spark, root, table).alias("r")
+    marks = stored_rows(spark, root, DELETED).select("source_file", BATCH, ATTEMPT)
+    finished = stored_rows(spark, root, ATTEMPTS).select(ATTEMPT)
+    unnamed = spark.range(1).select(F.lit(None).cast("string").alias(ATTEMPT))
+    finished = finished.unionByName(unnamed).alias("a")
+    rows = rows.join(finished, F.col(f"r.{ATTEMPT}").eqNullSafe(F.col(f"a.{ATTEMPT}")), "left_semi")
+    return rows.join(marks.alias("x"), same_load("r", "x"), "left_anti")
 
 
 def read_raw(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The rows of a raw table that count, with its fixed columns and ``load_batch``."""
-    if table == "documents":
-        rows = _documents(spark, root)
-    elif table == "lab_results":
-        kept = _documents(spark, root).alias("k")
-        rows = stored_rows(spark, root, table).alias("l")
-        rows = rows.join(kept, same_load("l", "k"), "left_semi")
+    if table in ("documents", "lab_results"):
+        rows = counted_rows(spark, root, table)
     else:
         rows = stored_rows(spark, root, table)
         if table == "rejected":  # a file is rejected again by every attempt that meets it
@@ -87,10 +92,7 @@ def read_raw(spark: SparkSession, root: str, table: str) -> DataFrame:
     return rows.drop(ATTEMPT)
 
 
-def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    """No rows, and known to the optimizer as such, so that joins with it vanish."""
-    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-    return spark.range(1).where(F.lit(False)).select(*columns)
+empty = versions.no_rows
 
 
 def _append(df: DataFrame, root: str, table: str, batch: str, attempt: str) -> None:
@@ -111,21 +113,46 @@ def load_files(
 
 def load_checked(checked: DataFrame, root: str, batch: str) -> DataFrame:
     spark, attempt = checked.sparkSession, uuid.uuid4().hex
-
-    def mine(table: str) -> DataFrame:
-        here = (F.col(BATCH) == batch) & (F.col(ATTEMPT) == attempt)
-        return stored_rows(spark, root, table).where(here).drop(BATCH, ATTEMPT)
-
     _append(checked, root, "incoming", batch, attempt)
-    incoming = mine("incoming")
+    incoming = _of_attempt(spark, root, "incoming", batch, attempt)
     # Of all sources ever loaded only those that come again take part in the check for new ones.
     again = incoming.select("source_file").distinct()
     known = read_raw(spark, root, "documents").join(again, "source_file", "left_semi")
     fresh = extraction.new_documents(extraction.good_files(incoming), known)
+    return _load(incoming, fresh, root, batch, attempt)
+
+
+def load_arrivals(arrivals: DataFrame, root: str, batch: str) -> None:
+    """Load a micro-batch of ``schemas.ARRIVALS``: of its good files the first by path for each source that
+    its rows with ``is_new`` name. What is loaded already is not looked at. A batch that was
+    finished before is left as it is."""
+    spark, attempt = arrivals.sparkSession, uuid.uuid4().hex
+    finished = stored_rows(spark, root, ATTEMPTS).where(F.col(BATCH) == batch)
+    if not finished.isEmpty():
+        return
+    _append(arrivals, root, "arrivals", batch, attempt)
+    rows = _of_attempt(spark, root, "arrivals", batch, attempt)
+    incoming = rows.where(~F.col("is_new")).drop("is_new")
+    first = extraction.first_by_source(extraction.good_files(incoming))
+    new = rows.where("is_new").select("source_file")
+    _load(incoming, first.join(new, "source_file", "left_semi"), root, batch, attempt)
+
+
+def _of_attempt(spark: SparkSession, root: str, table: str, batch: str, attempt: str) -> DataFrame:
+    here = (F.col(BATCH) == batch) & (F.col(ATTEMPT) == attempt)
+    return stored_rows(spark, root, table).where(here).drop(BATCH, ATTEMPT)
+
+
+def _load(incoming: DataFrame, fresh: DataFrame, root: str, batch: str, attempt: str) -> DataFrame:
+    """Append what an attempt brings, the row that makes it count last; returns its statistics."""
+    spark = incoming.sparkSession
     _append(extraction.rejected_files(incoming), root, "rejected", batch, attempt)
     _append(extraction.measurement_rows(fresh), root, "lab_results", batch, attempt)
     _append(extraction.document_rows(fresh), root, "documents", batch, attempt)
-    loaded = mine("documents").withColumnRenamed("biomarker_count", "measurement_count")
+    documents = _of_attempt(spark, root, "documents", batch, attempt)
+    finished = documents.agg(F.count(F.lit(1)).alias("documents")).coalesce(1)
+    _append(finished, root, ATTEMPTS, batch, attempt)
+    loaded = documents.withColumnRenamed("biomarker_count", "measurement_count")
     return extraction.load_statistics(incoming, loaded)
 
 
@@ -142,7 +169,8 @@ def delete_sources(spark: SparkSession, root: str, sources: Sequence[str]) -> in
     """
     listed = F.col("source_file").isin(*sources)
     deleted = read_raw(spark, root, "lab_results").where(listed).count()
-    marks = _documents(spark, root).where(listed).select("source_file", ATTEMPT, BATCH)
+    marks = counted_rows(spark, root, "documents").where(listed)
+    marks = marks.select("source_file", F.lit(uuid.uuid4().hex).alias("deletion"), ATTEMPT, BATCH)
     marks.write.mode("append").partitionBy(BATCH).parquet(table_path(root, DELETED))
     return deleted
 

@@ -9,6 +9,8 @@ REDACTED = ("example.com", "@mail", "mail", "the", "und")
 DELETED = ("shared.pdf", "s7.pdf", "s14.pdf")
 RUN_1, RUN_2 = "2024-02-01 00:00:00", "2024-03-01 00:00:00"
 SOURCE = "doc_7"
+#: Events from this number on come with the second of two loads.
+SECOND_LOAD = 600
 
 
 def _staging(name: str, raw: str) -> str:
@@ -511,11 +513,80 @@ _EXPORTED = f"""with {files._KEPT} select
               || '.md' as narrative_name, source_file from chosen"""
 
 
+def _number(column: str) -> str:
+    return f"try_cast(regexp_extract({column}, '[0-9]+') as bigint)"
+
+
+# After a deletion and a second load: the same sources, later ones with another lower bound.
+_BOUND = f"""lab_results as (
+  select * replace (
+    case when {_number("source_file")} >= {SECOND_LOAD} and reference_range_low_raw is not null
+         then '20' else reference_range_low_raw end as reference_range_low_raw)
+  from ({files.MEASUREMENTS}))"""
+_LOADED_DOCS = f"docs as ({files.DOCUMENTS})"
+
+# The history by what the first run saw, and what stands after the second.
+_REFRESHED_HISTORY = f"""with {_BOUND}, {STG},
+first_stg as (
+  with lab_results as (
+    select * from lab_results
+    where {_number("source_file")} is null or {_number("source_file")} < {SECOND_LOAD}),
+  {STG} select * from stg),
+newest as (
+  select 1 as run, * from first_stg union all select 2, * from stg),
+ranges as (
+  select run, provider, biomarker_name, max_by(reference_range_low, report_date) as low,
+    max_by(reference_range_high, report_date) as high, max(report_date) as day
+  from newest where reference_range_low is not null or reference_range_high is not null
+  group by run, provider, biomarker_name),
+both_runs as (
+  select coalesce(a.provider, b.provider) as provider,
+    coalesce(a.biomarker_name, b.biomarker_name) as biomarker_name, a.run as had, b.run as has,
+    a.low as low_1, a.high as high_1, a.day as day_1, b.low as low_2, b.high as high_2,
+    b.day as day_2,
+    a.low is not distinct from b.low and a.high is not distinct from b.high as same
+  from (from ranges where run = 1) a full join (from ranges where run = 2) b
+    on a.provider = b.provider and a.biomarker_name = b.biomarker_name)
+select provider, biomarker_name, low_1 as reference_range_low, high_1 as reference_range_high,
+  day_1 as last_seen_date, timestamp '{RUN_1}' as valid_from,
+  case when has is not null and not same then timestamp '{RUN_2}' end as valid_to
+from both_runs where had is not null
+union all
+select provider, biomarker_name, low_2, high_2, day_2, timestamp '{RUN_2}', null
+from both_runs where has is not null and (had is null or not same)"""
+
+# Two environments: the trial lacks documents of one kind and has other values in those of another.
+_TRIAL = f"""lab_results as ({files.MEASUREMENTS}), {META}, {STG}, {FCT},
+trial as (
+  with lab_results as (
+    select * replace (
+      case when {_number("source_file")} % 20 = 15 then '9' || value_raw else value_raw end
+        as value_raw)
+    from lab_results where coalesce({_number("source_file")} % 20, 0) <> 14),
+  {STG}, {FCT} select * from fct),
+env as (select * from trial)"""
+
+_EXPORTED_FILES = f"""
+with names as (
+  select e.*, extracted, event_id from ({{0}}) e join (with {files._KEPT} select * from chosen) c
+    using (source_file)),
+named as (
+  select 'raw/' || json_name as name, source_file as content, extracted, source_file from names
+  union all
+  select 'findings/' || year || '/' || narrative_name, 'About s' || cast(event_id as varchar),
+    extracted, source_file from names)
+select name, content from named
+qualify row_number() over (partition by name order by extracted desc, source_file desc) = 1"""
+
+
 def texts() -> dict[str, str]:
     profile = (
         f"{_CONDITIONS}, {_view('variants', views.VARIANTS)}, {_view('patterns', views.PATTERNS)}"
     )
     found = f"r{len(REDACTED)}"
+    all_lines = [_snapshot_lines(), _timeline_lines(), _history_lines(), _index_lines()]
+    reports = f"{BOTH}, {_SNAPSHOT}, {_INDEX}, {profile}, all_lines as ("
+    reports += " union all ".join(all_lines) + ") select report, line from all_lines"
     return {
         "stage_measurements": f"with {RAW}, {STG} select * from stg",
         "censored_parse": f"""with {RAW} select id, value_raw,
@@ -656,17 +727,35 @@ def texts() -> dict[str, str]:
         "index_lines": f"{BOTH}, {_INDEX} {_index_lines()}",
         "history_lines": f"{BOTH}, {profile} {_history_lines()}",
         "findings_lines": f"{BOTH}, {_CANDIDATES} {_findings_lines()}",
-        "report_lines": f"{BOTH}, {_SNAPSHOT}, {_INDEX}, {profile} "
-        + " union all ".join(
-            [_snapshot_lines(), _timeline_lines(), _history_lines(), _index_lines()]
-        ),
-        "reports_written": f"{BOTH}, {_SNAPSHOT}, {_INDEX}, {profile}, all_lines as ("
-        + " union all ".join(
-            [_snapshot_lines(), _timeline_lines(), _history_lines(), _index_lines()]
-        )
-        + ") select report, line from all_lines",
+        "report_lines": f"{BOTH}, {_SNAPSHOT}, {_INDEX}, {profile} " + " union all ".join(all_lines),
+        "reports_written": reports,
         "workflow_facts": f"with lab_results as ({files.MEASUREMENTS}), {META}, {STG}, {FCT} "
         "select * from fct",
+        "workflow_run": f"with lab_results as ({files.MEASUREMENTS}), {META}, {STG}, {FCT} "
+        "select * from fct",
+        "refreshed_facts": f"with {_BOUND}, {META}, {STG}, {FCT} select * from fct",
+        "refreshed_documents": f"with {_BOUND}, {STG}, {_LOADED_DOCS}, {DIM} select * from dim",
+        "refreshed_history": _REFRESHED_HISTORY,
+        "environments_compared": f"""with {_TRIAL}, {_PAIRS}
+            select * exclude (prod_source, env_source) from pairs where status <> 'SAME'""",
+        "environments_in_sql": f"""with {_TRIAL},
+            counts as (select source_file, count(*) as n from fct group by 1),
+            trial_counts as (select source_file, count(*) as n from trial group by 1)
+            select d.source_file, coalesce(c.n, 0) as biomarker_count,
+              case when coalesce({_number("d.source_file")} % 20, 0) <> 14 then coalesce(t.n, 0) end
+                as trial_count,
+              f.value_si, g.value_si as trial_value, f.biomarker_key, l.value_raw,
+              case when l.id is not null then 'first' end as load_batch
+            from ({files.DOCUMENTS}) d left join counts c using (source_file)
+            left join trial_counts t using (source_file)
+            left join fct f using (source_file)
+            left join trial g on g.lab_result_id = f.lab_result_id
+            left join lab_results l on l.id = f.lab_result_id""",
+        "compare_by_digest": f"""{FACTS}, {_ENV}, {_PAIRS}
+            select * exclude (prod_source, env_source) from pairs where status <> 'SAME'""",
+        "exported_files": _EXPORTED_FILES.format(_EXPORTED),
+        "report_files": reports,
+        "stateful_ingest": files.MEASUREMENTS,
         "deleted_source_rewritten": f"select * from ({files.MEASUREMENTS}) "
         f"where source_file not in {DELETED}",
         "reloaded_source": f"select *, case when source_file in {DELETED} then 'second' "

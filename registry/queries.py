@@ -13,7 +13,7 @@ from assaylake.functions.values import (
     is_below_limit,
     plain_number,
 )
-from assaylake.operators import history, quality, redaction
+from assaylake.operators import digests, history, quality, redaction
 from assaylake.operators.compare import compare_facts, compare_summary
 from assaylake.operators.marts import (
     document_dimension,
@@ -23,11 +23,12 @@ from assaylake.operators.marts import (
 from assaylake.operators.staging import newest_extraction, newest_two, stage_measurements
 from assaylake.plans import questions, report_lines, reports, workflow
 from assaylake.sources import exports, extraction, raw_tables
+from assaylake.sources.named_files import write_named
 from assaylake.sources.reference_dim import read_reference_dimension
 from assaylake.sources.shared import shared_folder, stored
-from assaylake.streaming.incremental import start_load
+from assaylake.streaming.incremental import start_load, start_stateful_load
 from registry import extraction_files, views
-from registry.oracle_texts import DELETED, GENERATED, RUN_1, RUN_2, SOURCE, TO_REDACT
+from registry.oracle_texts import DELETED, GENERATED, RUN_1, RUN_2, SECOND_LOAD, SOURCE, TO_REDACT
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -301,6 +302,117 @@ def _workflow_facts(lab: Lab) -> DataFrame:
     return workflow.read_mart(lab.spark, root, workflow.FACTS)
 
 
+def _event(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"(\d+)", 1).cast("long")
+
+
+def _refreshed(lab: Lab) -> str:
+    """Two loads with a run after each; the second brings later files, with another lower bound, and
+    sources that were deleted in between. Only what this touches is written again."""
+    spark, root, files = lab.spark, shared_folder(lab.spark, "refreshed"), lab.view(extraction_files.FILES)
+    bound = F.replace("content", F.lit('range_low": "10"'), F.lit('range_low": "20"'))
+    later = F.when(_event() >= SECOND_LOAD, bound).otherwise(F.col("content"))
+    files = files.withColumn("content", later)
+    raw_tables.load_files(files.where(_event() < SECOND_LOAD), root, "first", _now())
+    workflow.refresh(spark, root, lab.meta, _run(RUN_1))
+    raw_tables.delete_sources(spark, root, DELETED)
+    raw_tables.load_files(files, root, "second", _now())
+    workflow.refresh(spark, root, lab.meta, _run(RUN_2))
+    return root
+
+
+def _refreshed_mart(lab: Lab, table: str) -> DataFrame:
+    return workflow.read_mart(lab.spark, _refreshed(lab), table)
+
+
+def _two_environments(lab: Lab) -> str:
+    """Production, and a trial without some sources and with other values in some."""
+    root, files = shared_folder(lab.spark, "environments"), lab.view(extraction_files.FILES)
+    kind = _event() % 20
+    changed = F.replace("content", F.lit('"value": "'), F.lit('"value": "9'))
+    trial = files.where(kind != 14).withColumn(
+        "content", F.when(kind == 15, changed).otherwise(F.col("content"))
+    )
+    for home, content in ((root, files), (raw_tables.environment_root(root, "trial"), trial)):
+        raw_tables.load_files(content, home, "first", _now())
+        workflow.refresh(lab.spark, home, lab.meta, _run(RUN_1))
+    return root
+
+
+def _environments_compared(lab: Lab) -> DataFrame:
+    return workflow.compare(lab.spark, _two_environments(lab), "trial")
+
+
+def _environments_in_sql(lab: Lab) -> DataFrame:
+    """Ad-hoc SQL over the registered tables of both environments."""
+    root, spark = _two_environments(lab), lab.spark
+    workflow.register_tables(spark, root)
+    workflow.register_tables(spark, root, "trial")
+    # read before other queries register tables of these names
+    found = spark.sql("""
+        select d.source_file, d.biomarker_count, t.biomarker_count as trial_count,
+               f.value_si, g.value_si as trial_value, f.biomarker_key, l.value_raw, l.load_batch
+        from main.dim_documents d
+        left join trial_main.dim_documents t on t.source_file = d.source_file
+        left join main.fct_biomarkers f on f.source_file = d.source_file
+        left join trial_main.fct_biomarkers g on g.lab_result_id = f.lab_result_id
+        left join raw.lab_results l on l.id = f.lab_result_id
+    """)
+    return stored(found, shared_folder(spark, "adhoc"), "found")
+
+
+def _workflow_run(lab: Lab) -> DataFrame:
+    """A directory of extraction files, from its loading to its reports."""
+    folder = shared_folder(lab.spark, "run")
+    files = lab.view(extraction_files.FILES)
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    write_named(named, f"{folder}/in", rows_per_name=1)
+    workflow.run(lab.spark, f"{folder}/in", f"{folder}/lake", "first", lab.meta, _run(RUN_1))
+    return workflow.read_mart(lab.spark, f"{folder}/lake", workflow.FACTS)
+
+
+def _exported_files(lab: Lab) -> DataFrame:
+    """Documents and narratives as files of their own, read back by name."""
+    folder = shared_folder(lab.spark, "files")
+    exports.export_files(_new_good(lab), folder)
+
+    def read(part: str, glob: str) -> DataFrame:
+        rows = lab.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+        rows = rows.text(f"{folder}/{part}", wholetext=True)
+        name = F.substring_index(F.col("_metadata.file_path"), f"/{part}/", -1)
+        return rows.select(F.concat(F.lit(f"{part}/"), name).alias("name"), "value")
+
+    source = F.get_json_object("value", "$.source_file")
+    documents = read("raw", "*.json").select("name", source.alias("content"))
+    return documents.unionByName(read("findings", "*.md").select("name", F.col("value").alias("content")))
+
+
+def _report_files(lab: Lab) -> DataFrame:
+    """The four reports as one Markdown file each, read back."""
+    folder = shared_folder(lab.spark, "report-files")
+    report_lines.write_report_files(_profile_lines(lab), folder)
+    report = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1)
+    lines = lab.spark.read.option("lineSep", "\n").text(folder)
+    return lines.select(report.alias("report"), F.col("value").alias("line"))
+
+
+def _stateful_ingest(lab: Lab) -> DataFrame:
+    """The event table as a stream of five files, in small batches with a restart between them."""
+    root = shared_folder(lab.spark, "stateful")
+    events = lab.table("events")
+    limits = events.select(F.percentile_approx("event_id", [0.2, 0.4, 0.6, 0.8])).first()[0]
+    for number, (low, high) in enumerate(zip([None, *limits], [*limits, None], strict=True)):
+        inside = F.lit(True) if low is None else F.col("event_id") > low
+        inside = inside if high is None else inside & (F.col("event_id") <= high)
+        events.where(inside).coalesce(1).write.parquet(f"{root}/in/{number}")
+        if number in (1, 4):  # start, and start again with what has come meanwhile
+            stream = lab.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+            stream = stream.option("recursiveFileLookup", True).parquet(f"{root}/in")
+            files = lab.spark.sql(extraction_files.FILES, events=stream)
+            start_stateful_load(files, root, f"{root}/checkpoint", _now()).awaitTermination()
+    return raw_tables.read_raw(lab.spark, root, "lab_results").drop(raw_tables.BATCH)
+
+
 def _deleted_source(lab: Lab) -> DataFrame:
     root = _loaded(lab)
     raw_tables.delete_sources(lab.spark, root, DELETED)
@@ -457,6 +569,16 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
     "report_lines": lambda lab: report_lines.in_order(_profile_lines(lab)),
     "reports_written": _reports_written,
     "workflow_facts": _workflow_facts,
+    "workflow_run": _workflow_run,
+    "refreshed_facts": lambda lab: _refreshed_mart(lab, workflow.FACTS),
+    "refreshed_documents": lambda lab: _refreshed_mart(lab, workflow.DOCUMENTS),
+    "refreshed_history": lambda lab: workflow.read_range_history(lab.spark, _refreshed(lab)),
+    "environments_compared": _environments_compared,
+    "environments_in_sql": _environments_in_sql,
+    "compare_by_digest": lambda lab: digests.compare_by_digest(lab.facts, lab.env_facts),
+    "exported_files": _exported_files,
+    "report_files": _report_files,
+    "stateful_ingest": _stateful_ingest,
     "deleted_source_rewritten": _deleted_source,
     "reloaded_source": _reloaded_source,
     "dimension_from_csv": _dimension_from_csv,

@@ -186,7 +186,7 @@ def test_a_batch_name_used_twice_keeps_both_loads(spark, in_dir, tmp_path):
     assert counts(spark, root) == (14, 4)
 
 
-@pytest.mark.parametrize("writes", range(1, 5))
+@pytest.mark.parametrize("writes", range(1, 6))
 def test_a_load_that_stops_between_two_writes(spark, in_dir, tmp_path, monkeypatch, writes):
     """Whatever it left, the next load, under any name, gives every row once."""
     root = str(tmp_path / "tables")

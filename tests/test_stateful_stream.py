@@ -1,0 +1,94 @@
+"""A stream whose state knows the sources that were loaded."""
+
+import json
+
+import pytest
+from builders import extraction, measurement
+from pyspark.errors import StreamingQueryException
+
+from assaylake.sources import raw_tables
+from assaylake.streaming.incremental import file_stream, start_stateful_load
+
+
+def run(spark, in_dir, root, checkpoint):
+    query = start_stateful_load(file_stream(spark, str(in_dir), files_per_trigger=1), root, str(checkpoint))
+    query.awaitTermination()
+    return sum(1 for p in query.recentProgress if p["numInputRows"])
+
+
+def loaded(spark, root):
+    rows = raw_tables.read_raw(spark, root, "lab_results").groupBy("source_file").count().collect()
+    documents = raw_tables.read_raw(spark, root, "documents").collect()
+    assert len({d.source_file for d in documents}) == len(documents)
+    return {r.source_file: r["count"] for r in rows}
+
+
+def put(in_dir, name, source, n=1):
+    rows = [measurement(f"{name} {i}", "1") for i in range(n)]
+    (in_dir / f"{name}.json").write_text(json.dumps(extraction(source, rows)))
+
+
+def test_small_batches_restart_and_replay(spark, in_dir, tmp_path, monkeypatch):
+    root, checkpoint = str(tmp_path / "lake"), tmp_path / "checkpoint"
+    put(in_dir, "3", "quest.pdf", 4)
+    (in_dir / "4.json").write_text("broken")
+
+    def no_look_at_what_is_loaded(*args):
+        raise AssertionError("the tables were read")
+
+    monkeypatch.setattr(raw_tables, "counted_rows", no_look_at_what_is_loaded)
+    assert run(spark, in_dir, root, checkpoint) == 5
+    put(in_dir, "5", "genes.pdf", 9)
+    put(in_dir, "6", "new.pdf", 2)
+    assert run(spark, in_dir, root, checkpoint) == 2
+    assert run(spark, in_dir, root, checkpoint) == 0
+    # the last micro-batch again, as after a stop between its last write and the checkpoint's
+    last = max((checkpoint / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.rename(tmp_path / "taken-away")
+    (last.parent / f".{last.name}.crc").rename(tmp_path / "taken-away.crc")
+    run(spark, in_dir, root, checkpoint)
+    monkeypatch.undo()
+    sizes = loaded(spark, root)
+    assert sizes.pop("new.pdf") == 2 and sizes.pop("labcorp.pdf") == 5
+    assert sizes.pop("quest.pdf") in (4, 6) and sizes.pop("genes.pdf") in (2, 9) and not sizes
+    assert raw_tables.read_raw(spark, root, "rejected").count() == 1
+
+
+@pytest.mark.parametrize("stop_at", ["arrivals", "lab_results", "documents", "attempts"])
+def test_a_micro_batch_that_stops(spark, in_dir, tmp_path, monkeypatch, stop_at):
+    root, checkpoint = str(tmp_path / "lake"), tmp_path / "checkpoint"
+    append = raw_tables._append
+
+    def stops(df, root, table, *more):
+        if table == stop_at:
+            raise RuntimeError("lost")
+        append(df, root, table, *more)
+
+    monkeypatch.setattr(raw_tables, "_append", stops)
+    with pytest.raises(StreamingQueryException):
+        run(spark, in_dir, root, checkpoint)
+    monkeypatch.setattr(raw_tables, "_append", append)
+    assert loaded(spark, root) == {}
+    run(spark, in_dir, root, checkpoint)
+    assert loaded(spark, root) == {"labcorp.pdf": 5, "quest.pdf": 6, "genes.pdf": 2}
+
+
+def test_first_by_path_within_a_batch(spark, in_dir, tmp_path):
+    put(in_dir, "00", "quest.pdf", 3)
+    root = str(tmp_path / "lake")
+    start_stateful_load(file_stream(spark, str(in_dir)), root, str(tmp_path / "c")).awaitTermination()
+    assert loaded(spark, root) == {"labcorp.pdf": 5, "quest.pdf": 3, "genes.pdf": 2}
+    again = start_stateful_load(file_stream(spark, str(in_dir)), root, str(tmp_path / "other"))
+    with pytest.raises(StreamingQueryException, match="cannot know"):
+        again.awaitTermination()
+    assert loaded(spark, root) == {"labcorp.pdf": 5, "quest.pdf": 3, "genes.pdf": 2}
+
+
+def test_the_plan_shuffles_sources_only(spark, in_dir, tmp_path):
+    root = str(tmp_path / "lake")
+    query = start_stateful_load(file_stream(spark, str(in_dir)), root, str(tmp_path / "c"))
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "StreamingDeduplicate" in plan and "documents" not in plan
+    exchange = plan[plan.index("Exchange hashpartitioning(source_file") :].splitlines()[1]
+    assert "Project [source_file" in exchange or "source_file" in exchange

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from assaylake.operators.staging import stage_measurements
 from assaylake.plans import workflow
 from assaylake.plans.questions import newest_out_of_range
-from assaylake.sources import raw_tables
+from assaylake.sources import raw_tables, versions
 from assaylake.sources.extraction import read_extraction_files
 from assaylake.streaming.incremental import file_stream, start_incremental_load, start_load
 
@@ -150,17 +150,17 @@ def test_a_merge_that_stops_between_two_writes(spark, tmp_path, raw_rows, monkey
         return sorted((r.reference_range_low, str(r.valid_to)[:10]) for r in rows)
 
     update("65", "2026-02-01")
-    write, done = workflow._write, []
+    write, done = versions.save, []
 
     def stops(*args):
         if len(done) == writes - 1:
             raise RuntimeError("lost")
         done.append(write(*args))
 
-    monkeypatch.setattr(workflow, "_write", stops)
+    monkeypatch.setattr(versions, "save", stops)
     with pytest.raises(RuntimeError):
         update("70", "2026-03-02")
-    monkeypatch.setattr(workflow, "_write", write)
+    monkeypatch.setattr(versions, "save", write)
     assert ranges() == [(65.0, "None")]
     update("70", "2026-03-03")
     assert ranges() == [(65.0, "2026-03-03"), (70.0, "None")]
