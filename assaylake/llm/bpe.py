@@ -21,9 +21,11 @@ columns are carried through whatever their names.
 
 import base64
 import hashlib
+import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,15 @@ from pyspark.sql import functions as F
 from assaylake.llm.common import ROW, boxed, text_of
 
 #: Runs, and pairs of neighbours, that are remembered before they are learnt anew.
-CACHED = 200_000
+CACHED = 400_000
 #: Prefixes whose last tokens are kept before they are learnt anew.
-PREFIXES = 200_000
+PREFIXES = 400_000
 #: Ids of all remembered runs together, before they are learnt anew.
 IDS_HELD = 1 << 21
 #: Bytes of texts that are gathered at once.
 SLICE_BYTES = 1 << 20
-#: Bytes at the end of a prefix that tell how long its last token can be.
-ENDING = 3
+#: Bytes at the end of a prefix that tell which tokens can be its last.
+ENDING = 4
 #: A rank beyond all.
 NEVER = 1 << 62
 #: Bytes above which a piece has a table of its own.
@@ -56,10 +58,12 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._longest_with: dict[bytes, int] = {}
+        lengths: dict[bytes, set[int]] = {}
         for token in ranks:
-            ending = token[-ENDING:]
-            self._longest_with[ending] = max(self._longest_with.get(ending, 0), len(token))
+            if len(token) > ENDING:
+                lengths.setdefault(token[-ENDING:], set()).add(len(token))
+        self._lengths = {ending: tuple(sorted(n, reverse=True)) for ending, n in lengths.items()}
+        self._ends: dict[bytes, tuple[tuple[int, ...], tuple[tuple[int, int], ...]]] = {}
         self._spines: dict[int, tuple[list, list]] = {}
         self._follows: dict[int, bool] = {}
 
@@ -131,26 +135,40 @@ class Vocabulary:
             else:
                 j += 1
 
-    def reach(self, ending: bytes) -> int:
-        """Bytes of the longest token that can end with some last bytes."""
-        return self._longest_with.get(ending, ENDING - 1)
+    def ends(self, ending: bytes) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
+        """What can end bytes that end so: lengths of the tokens that are longer than the ending, and the tokens within it with their
+        lengths, the longest first."""
+        known = self._ends.get(ending)
+        if known is None:
+            if len(self._ends) >= CACHED:
+                self._ends.clear()
+            inside = ((self.ranks.get(ending[i:]), len(ending) - i) for i in range(len(ending)))
+            shorter = tuple((token, n) for token, n in inside if token is not None)
+            known = self._ends[ending] = (self._lengths.get(ending, ()), shorter)
+        return known
 
     def last_token(self, prefix: bytes, last: dict[bytes, int]) -> int:
         """The token that ends a prefix, from those of shorter prefixes; the longest candidates
         first, as exactly one fits."""
-        token_of, follows = self.ranks.get, self._follows.get
+        token_of, follows, size = self.ranks.get, self._follows.get, len(prefix)
         token = token_of(prefix)
         if token is not None and self.stands_alone(token):
             return token
-        reach = self._longest_with.get(prefix[-ENDING:], ENDING - 1)
-        for begin in range(max(1, len(prefix) - reach), len(prefix)):
-            token = token_of(prefix[begin:])
-            if token is None:
-                continue
-            left = last[prefix[:begin]]
-            known = follows(left << 32 | token)
-            if known or (known is None and self.may_follow(left, token)):
-                return token
+        longer, shorter = self._ends.get(prefix[-ENDING:]) or self.ends(prefix[-ENDING:])
+        for length in longer:
+            if length < size:
+                token = token_of(prefix[-length:])
+                if token is not None:
+                    left = last[prefix[:-length]]
+                    known = follows(left << 32 | token)
+                    if known or (known is None and self.may_follow(left, token)):
+                        return token
+        for token, length in shorter:
+            if length < size:
+                left = last[prefix[:-length]]
+                known = follows(left << 32 | token)
+                if known or (known is None and self.may_follow(left, token)):
+                    return token
         raise ValueError(f"no token ends with the byte {prefix[-1]}")
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -175,18 +193,16 @@ class PrefixTable:
     def _last_token(self, text: bytes, end: int, last: Sequence[int]) -> int:
         """The longest candidates first; exactly one fits."""
         vocabulary = self.vocabulary
-        token_of, follows = vocabulary.ranks.get, vocabulary._follows
-        reach = vocabulary.reach(text[max(0, end - ENDING) : end])
-        for begin in range(max(0, end - reach), end):
-            token = token_of(text[begin:end])
+        longer, shorter = vocabulary.ends(text[max(0, end - ENDING) : end])
+        inside = ((vocabulary.ranks.get(text[end - n : end]), n) for n in longer if n <= end)
+        for token, length in chain(inside, shorter):
+            begin = end - length
             if token is None:
                 continue
             if begin == 0:
                 if vocabulary.stands_alone(token):
                     return token
-                continue
-            known = follows.get(last[begin] << 32 | token)
-            if known or (known is None and vocabulary.may_follow(last[begin], token)):
+            elif vocabulary.may_follow(last[begin], token):
                 return token
         raise ValueError(f"no token ends the byte {text[end - 1]}")
 
@@ -219,7 +235,7 @@ class PrefixTable:
 class Runs(dict):
     """Distinct runs by number, their ids and the digits of these side by side in flat arrays."""
 
-    def __init__(self, of: Callable[[str], Iterable[int]]):
+    def __init__(self, of: Callable[[str], list[int]]):
         self.of = of
         self.start()
 
@@ -229,10 +245,10 @@ class Runs(dict):
         self.digits, self.digit_edges = bytearray(), array("q", [0])
 
     def __missing__(self, text: str) -> int:
-        ids = list(self.of(text))
+        ids = self.of(text)
         self.ids.extend(ids)
         self.id_edges.append(len(self.ids))
-        self.digits += b"".join(b"%d," % i for i in ids)
+        self.digits += (",".join(map(str, ids)) + ",").encode() if ids else b""
         self.digit_edges.append(len(self.digits))
         self[text] = number = len(self.id_edges) - 2
         return number
@@ -290,8 +306,11 @@ class Encoder:
             prefix = text[:end]
             last[prefix] = self.vocabulary.last_token(prefix, last)
 
-    def _whole(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self._piece, self._pieces(text)))
+    def _whole(self, text: str) -> list[int]:
+        pieces = self._pieces(text)
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        return [i for piece in pieces for i in self._piece(piece)]
 
     def cut(self, text: str) -> list[str]:
         """Runs that are encoded one by one: a piece holds a space only as its first character, so one
@@ -355,9 +374,18 @@ def _shas(flat: np.ndarray, ends: np.ndarray, without: int) -> list[str]:
     return [hashlib.sha256(view[a : max(a, b - without)]).hexdigest() for a, b in pairs]
 
 
+def _kept(rank_bytes: bytes, pattern: str) -> Digests:
+    """What a Python worker has learnt of a vocabulary serves its later tasks as well; it keeps one."""
+    home = sys.modules.setdefault("_assaylake_bpe_kept", ModuleType("_assaylake_bpe_kept"))
+    key = (hashlib.sha256(rank_bytes).digest(), pattern)
+    if getattr(home, "key", None) != key:
+        home.digests, home.key = Digests(Encoder(Vocabulary.read(rank_bytes), pattern)), key
+    return home.digests
+
+
 def _digests(rank_bytes: Callable[[], bytes], pattern: str, with_ids: bool) -> Callable:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        digests = Digests(Encoder(Vocabulary.read(rank_bytes()), pattern))
+        digests = _kept(rank_bytes(), pattern)
         for batch in batches:
             out: list[list[pa.Array]] = []
             begin = size = 0

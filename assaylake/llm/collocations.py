@@ -46,8 +46,9 @@ WORDS_HELD = 1 << 20
 PHRASES_HELD = 1 << 22
 #: Cells of stripes that a task merges before it sends them on.
 CELLS_HELD = 1 << 21
-#: Bytes of texts that are taken apart at once.
-SLICE_BYTES = 1 << 22
+#: Bytes of texts, and numbers in lists, that are taken apart at once.
+SLICE_BYTES = 1 << 21
+SLICE_NUMBERS = 1 << 19
 #: Rows that are numbered in one task.
 NUMBERED = 1 << 16
 
@@ -184,6 +185,17 @@ def _summed(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cells[first], np.add.reduceat(counts, first)
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.ListArray]:
+    """Lists with some ``SLICE_NUMBERS`` numbers together."""
+    for batch in batches:
+        lists = batch.column("ids")
+        share = lists.offsets.to_numpy()[:-1] // SLICE_NUMBERS
+        edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(lists)]
+        for begin, end in zip(edges, edges[1:], strict=False):
+            if end > begin:
+                yield lists.slice(begin, end - begin)
+
+
 def _stripes(phrases, words: int, deals: int, deal: int) -> Callable:
     """Stripes of prefixes of ``words`` words. ``phrases`` has for 2 to ``words`` words the cells (prefix number, next
     word) in order and the number of each phrase."""
@@ -204,8 +216,7 @@ def _stripes(phrases, words: int, deals: int, deal: int) -> Callable:
         levels: list[tuple[np.ndarray, np.ndarray]] = pickle.loads(phrases.value)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
-        for batch in batches:
-            lists = batch.column("ids")
+        for lists in _shares(batches):
             lengths = np.diff(lists.offsets.to_numpy())
             # -1 between lists, and enough of them behind the last
             at = np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)

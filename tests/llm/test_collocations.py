@@ -69,6 +69,7 @@ def mined(spark, rows, **options):
 def small(monkeypatch):
     """Limits so low that every task sends stripes on several times."""
     monkeypatch.setattr(collocations, "SLICE_BYTES", 300)
+    monkeypatch.setattr(collocations, "SLICE_NUMBERS", 50)
     monkeypatch.setattr(collocations, "CELLS_HELD", 40)
     monkeypatch.setattr(collocations, "NUMBERED", 16)
 
