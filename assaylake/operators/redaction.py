@@ -1,10 +1,12 @@
 """Redaction and restoring of listed strings, candidate rows (TX1-TX3, TX6)."""
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake import fixed_values as fixed
 from assaylake.functions.text import placeholder, restore_text
 
 
@@ -21,15 +23,74 @@ def redact(
     Strings are replaced one after the other, each searched in the text as already redacted, by
     a fold over the list: the plan stays small for long lists.
     """
-    entry = "struct<key:string,value:string>"
     if not strings:
         return df.withColumn(map_col, F.create_map().cast("map<string,string>"))
-    listed = F.array(
+    return _folded(df, text_col, _listed(strings), map_col)
+
+
+def redact_many(
+    df: DataFrame, text_col: str, strings: Sequence[str], map_col: str = "redacted_strings"
+) -> DataFrame:
+    """The same result as ``redact`` for a list of thousands.
+
+    An automaton over the list finds the strings that stand in a text in one pass over it, whatever the
+    list's length. The fold then runs over those alone, and over the few that a placeholder put in before
+    could bring about. Only the texts travel to Python, and only numbers of strings come back.
+    """
+    if not strings:
+        return redact(df, text_col, strings, map_col)
+    listed = _listed(strings)
+    always = [i for i, s in enumerate(strings) if may_meet_placeholder(s)]
+    find = F.arrow_udf(_finder(list(strings), always), "array<int>")
+    numbered = df.withColumn("_numbers", find(F.coalesce(text_col, F.lit(""))))
+    some = F.transform("_numbers", lambda i: F.get(listed, i))
+    return _folded(numbered, text_col, some, map_col).drop("_numbers")
+
+
+def may_meet_placeholder(string: str) -> bool:
+    """Whether a string can stand in a redacted text without standing in the original: inside a placeholder
+    or over one of its ends."""
+    begin, end = fixed.PLACEHOLDER.split("{}")
+    if begin[0] in string or end[-1] in string:
+        return True
+    stem = string.rstrip("0123456789")
+    return stem in begin if stem == string else begin.endswith(stem)
+
+
+def _finder(strings: list[str], always: list[int]) -> Callable:
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        numbers: dict[str, list[int]] = {}
+        for i, string in enumerate(strings):
+            numbers.setdefault(string, []).append(i)
+        for string, own in numbers.items():
+            automaton.add_word(string, own)
+        automaton.make_automaton()
+        for texts in batches:
+            found = []
+            for text in texts:
+                here = set(always)
+                for _, own in automaton.iter(text.as_py()):
+                    here.update(own)
+                found.append(sorted(here))
+            yield pa.array(found, pa.list_(pa.int32()))
+
+    return find
+
+
+def _listed(strings: Sequence[str]) -> Column:
+    return F.array(
         *[
             F.struct(F.lit(placeholder(i)).alias("key"), F.lit(s).alias("value"))
             for i, s in enumerate(strings, start=1)
         ]
     )
+
+
+def _folded(df: DataFrame, text_col: str, listed: Column, map_col: str) -> DataFrame:
+    entry = "struct<key:string,value:string>"
     start = F.struct(
         F.col(text_col).alias("text"), F.array().cast(f"array<{entry}>").alias("found")
     )
@@ -41,9 +102,8 @@ def redact(
         )
         return F.when(F.contains(done["text"], item["value"]), redacted).otherwise(done)
 
-    folded = F.aggregate(listed, start, step)
     return (
-        df.withColumn("_redacted", folded)
+        df.withColumn("_redacted", F.aggregate(listed, start, step))
         .withColumn(text_col, F.col("_redacted.text"))
         .withColumn(map_col, F.map_from_entries("_redacted.found"))
         .drop("_redacted")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaylake.functions.sql import create_functions
 from assaylake.operators import digests, history, marts
 from assaylake.operators.compare import compare_facts
 from assaylake.operators.staging import newest_staged, stage_measurements
@@ -55,6 +56,7 @@ def _loads(spark: SparkSession, root: str) -> DataFrame:
     """``kind, id, load_batch``: finished attempts and deletions, a row for each."""
     attempts = raw_tables.stored_rows(spark, root, raw_tables.ATTEMPTS)
     deletions = raw_tables.stored_rows(spark, root, raw_tables.DELETED)
+    attempts = attempts.where(F.col("replaces").isNull())  # a purge brings nothing new
     loads = attempts.select(F.lit("load").alias("kind"), F.col(ATTEMPT).alias("id"), BATCH)
     gone = deletions.select(F.lit("deletion").alias("kind"), F.col("deletion").alias("id"), BATCH)
     return loads.unionByName(gone).where(F.col("id").isNotNull()).distinct()
@@ -243,6 +245,21 @@ def refresh(
     return {STAGED: dates, FACTS: dates, DOCUMENTS: homes, OPEN: places}
 
 
+def purge(spark: SparkSession, root: str) -> list[str]:
+    """Take deleted sources out of all files, those of earlier runs included; returns what was removed.
+
+    The tables must be up to date, as a refresh reads what a deletion took. Exports and reports written before
+    are the caller's. No reader may still hold an earlier version.
+    """
+    if versions.current(spark, root):
+        before = versions.current(spark, root)
+        included = _up_to(spark.read.parquet(_included_path(root)), before)
+        if not _loads(spark, root).join(included, ["kind", "id"], "left_anti").isEmpty():
+            raise ValueError(f"refresh before a purge: {root}")
+    removed = raw_tables.purge_deleted(spark, root)
+    return removed + (versions.drop_unlisted(spark, root) if versions.current(spark, root) else [])
+
+
 def _same_frame(
     spark: SparkSession, root: str, listed: list[versions.Entry], meta: DataFrame, buckets: int
 ) -> bool:
@@ -324,8 +341,8 @@ def register_tables(spark: SparkSession, root: str, env: str | None = None) -> N
     """Catalog entries for ad-hoc SQL: ``raw.*``, ``main.*`` and ``snapshots.*`` of production, and
     ``<env>_raw.*`` and so on of an environment beside it.
 
-    Raw tables and the range history are views that show the rows that count. Register again
-    after a load, a deletion or a merge.
+    All are views that show the rows that count; beside the marts stand the rules for values and labels
+    as SQL functions. Register again after a load, a deletion or a run.
     """
     home = raw_tables.environment_root(root, env)
     raw, main, snapshots = (
@@ -333,6 +350,7 @@ def register_tables(spark: SparkSession, root: str, env: str | None = None) -> N
     )
     for name in (raw, main, snapshots):
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+    create_functions(spark, database("main", env))
     listed = versions.entries(spark, home)
     for table in (STAGED, FACTS, DOCUMENTS, META):
         _view(spark, f"{main}.{_quoted(table)}", _selected(home, table, listed))
@@ -345,7 +363,9 @@ def register_tables(spark: SparkSession, root: str, env: str | None = None) -> N
             "append"
         ).parquet(f"{path}/{raw_tables.BATCH}=none")
         _external(spark, name, path, schema(table))
-    finished = f"select load_attempt from {files[raw_tables.ATTEMPTS]} union all select null"
+    attempts = files[raw_tables.ATTEMPTS]
+    finished = f"select load_attempt from {attempts} union all select null"
+    replaced = f"select load_batch, explode(replaces) as named from {attempts}"
     for table in ("documents", "lab_results"):
         columns = ", ".join(f"r.{f.name}" for f in raw_tables.TABLES[table].fields)
         _view(
@@ -353,6 +373,8 @@ def register_tables(spark: SparkSession, root: str, env: str | None = None) -> N
             f"{raw}.{_quoted(table)}",
             f"""SELECT {columns}, r.load_batch FROM {files[table]} r
             LEFT SEMI JOIN ({finished}) a ON r.load_attempt <=> a.load_attempt
+            LEFT ANTI JOIN ({replaced}) p ON r.load_batch = p.load_batch
+              AND coalesce(r.load_attempt, '') = p.named
             LEFT ANTI JOIN {files[raw_tables.DELETED]} x ON r.source_file = x.source_file
               AND r.load_batch = x.load_batch AND r.load_attempt <=> x.load_attempt""",
         )

@@ -28,7 +28,7 @@ TABLES = {
     "incoming": schemas.CHECKED_FILE,
     "arrivals": schemas.ARRIVALS,
     DELETED: T.StructType().add("source_file", "string").add("deletion", "string"),
-    ATTEMPTS: T.StructType().add("documents", "long"),
+    ATTEMPTS: T.StructType().add("documents", "long").add("replaces", schemas.TEXTS),
 }
 
 
@@ -69,16 +69,32 @@ def same_load(left: str, right: str) -> Column:
     )
 
 
+def _named() -> Column:
+    """An attempt's name; rows in older files have none."""
+    return F.coalesce(ATTEMPT, F.lit("")).alias("named")
+
+
+def _replaced(spark: SparkSession, root: str) -> DataFrame:
+    """``load_batch, named``: attempts whose rows a purge wrote again without the deleted ones."""
+    attempts = stored_rows(spark, root, ATTEMPTS)
+    return attempts.select(BATCH, F.explode("replaces").alias("named"))
+
+
 def counted_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The rows of finished attempts whose source is not marked as deleted. Rows in older files name no
-    attempt and count."""
+    """The rows of finished attempts that no purge replaced and whose source is not marked as deleted.
+    Rows in older files name no attempt and count. What they are joined with has a row per load or
+    deleted source."""
     rows = stored_rows(spark, root, table).alias("r")
-    marks = stored_rows(spark, root, DELETED).select("source_file", BATCH, ATTEMPT)
-    finished = stored_rows(spark, root, ATTEMPTS).select(ATTEMPT)
+    marks = stored_rows(spark, root, DELETED).select("source_file", BATCH, ATTEMPT).alias("x")
     unnamed = spark.range(1).select(F.lit(None).cast("string").alias(ATTEMPT))
-    finished = finished.unionByName(unnamed).alias("a")
+    finished = stored_rows(spark, root, ATTEMPTS).select(ATTEMPT).unionByName(unnamed).alias("a")
     rows = rows.join(finished, F.col(f"r.{ATTEMPT}").eqNullSafe(F.col(f"a.{ATTEMPT}")), "left_semi")
-    return rows.join(marks.alias("x"), same_load("r", "x"), "left_anti")
+    replaced = _replaced(spark, root).alias("p")
+    gone = (F.col(f"r.{BATCH}") == F.col(f"p.{BATCH}")) & (
+        F.coalesce(F.col(f"r.{ATTEMPT}"), F.lit("")) == F.col("p.named")
+    )
+    rows = rows.join(replaced, gone, "left_anti")
+    return rows.join(marks, same_load("r", "x"), "left_anti")
 
 
 def read_raw(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -150,12 +166,19 @@ def _load(incoming: DataFrame, fresh: DataFrame, root: str, batch: str, attempt:
     _append(extraction.measurement_rows(fresh), root, "lab_results", batch, attempt)
     _append(extraction.document_rows(fresh), root, "documents", batch, attempt)
     documents = _of_attempt(spark, root, "documents", batch, attempt)
-    finished = documents.agg(F.count(F.lit(1)).alias("documents")).coalesce(1)
-    _append(finished, root, ATTEMPTS, batch, attempt)
+    _finish(documents, root, batch, attempt)
     loaded = documents.withColumnRenamed("biomarker_count", "measurement_count")
     return extraction.load_statistics(incoming, loaded)
 
 
+def _finish(documents: DataFrame, root: str, batch: str, attempt: str, replaces: Sequence[str] = ()) -> None:
+    """The row that makes an attempt count, in one file."""
+    none = F.lit(None).cast("array<string>")
+    counted = documents.agg(F.count(F.lit(1)).alias("documents")).coalesce(1)
+    named = F.array(*map(F.lit, replaces)) if replaces else none
+    _append(counted.withColumn("replaces", named), root, ATTEMPTS, batch, attempt)
+
+
 def without_sources(table: DataFrame, sources: Sequence[str]) -> DataFrame:
     """Rows of other sources than the listed ones; the list reaches the scan as a filter."""
     return table.where(~F.col("source_file").isin(*sources))
@@ -175,6 +198,58 @@ def delete_sources(spark: SparkSession, root: str, sources: Sequence[str]) -> in
     return deleted
 
 
+def purge_deleted(spark: SparkSession, root: str) -> list[str]:
+    """Take the rows of deleted sources out of the files; returns the files removed.
+
+    Each batch with deleted rows is written again without them under an attempt of its own, whose
+    finishing row names the attempts that it replaces: from then on those no longer count. Their files
+    are removed after that, with the parsed files that the loads of these batches kept. Stopped
+    anywhere, every row still counts once, and the next call goes on. Run it while no load of these batches is
+    under way. Only the touched batches are read and written.
+    """
+    marks = stored_rows(spark, root, DELETED).select(BATCH, _named()).distinct()
+    left = marks.join(_replaced(spark, root), [BATCH, "named"], "left_anti")
+    for batch in sorted(r[0] for r in left.select(BATCH).distinct().collect()):
+        attempt = f"purge-{uuid.uuid4().hex}"
+        here = F.col(BATCH) == batch
+        counted = counted_rows(spark, root, "documents").where(here)
+        standing = stored_rows(spark, root, ATTEMPTS).where(here).select(_named())
+        standing = standing.join(_replaced(spark, root).where(here), "named", "left_anti").distinct()
+        replaces = sorted({r[0] for r in standing.collect()} | {""})
+        for table in ("lab_results", "documents"):
+            rows = counted_rows(spark, root, table).where(here).drop(BATCH, ATTEMPT)
+            _append(rows, root, table, batch, attempt)
+        _finish(counted, root, batch, attempt, replaces)
+    return _drop_replaced(spark, root)
+
+
+def _drop_replaced(spark: SparkSession, root: str) -> list[str]:
+    """Remove the files of replaced attempts, and what no finished attempt wrote in their batches."""
+    batches = [r[0] for r in _replaced(spark, root).select(BATCH).distinct().collect()]
+    if not batches:
+        return []
+    standing = stored_rows(spark, root, ATTEMPTS).select(BATCH, _named())
+    standing = standing.join(_replaced(spark, root), [BATCH, "named"], "left_anti")
+    fs, removed = None, []
+    for table in ("lab_results", "documents", "incoming", "arrivals"):
+        if not _on_disk(spark, table_path(root, table)):
+            continue
+        rows = stored_rows(spark, root, table).select(BATCH, _named(), F.col("_metadata.file_path").alias("file"))
+        dead = rows.where(F.col(BATCH).isin(*batches)).join(standing, [BATCH, "named"], "left_anti")
+        for file in sorted(r[0] for r in dead.select("file").distinct().collect()):
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+            fs = fs or path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(path, False)
+            removed.append(file)
+    return removed
+
+
+def _on_disk(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def reload_sources(
     spark: SparkSession, root: str, sources: Sequence[str], in_dir: str, batch: str
 ) -> tuple[int, DataFrame]:

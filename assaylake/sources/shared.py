@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset. On a
+    cluster a warehouse on the driver's own disk is refused, as executors do not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_between_jobs"
+    if root is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        own_disk = warehouse.startswith("file:") or "://" not in warehouse
+        if own_disk and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{warehouse}/_between_jobs"
     return f"{root.rstrip('/')}/assaylake-{purpose}-{uuid.uuid4().hex}"
 
 

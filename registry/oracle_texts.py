@@ -9,6 +9,8 @@ REDACTED = ("example.com", "@mail", "mail", "the", "und")
 DELETED = ("shared.pdf", "s7.pdf", "s14.pdf")
 RUN_1, RUN_2 = "2024-02-01 00:00:00", "2024-03-01 00:00:00"
 SOURCE = "doc_7"
+#: Length of the redaction list taken from the documents, and the words that it may hold.
+LISTED, PLAIN_WORD = 1000, "[a-z]{7,}"
 #: Events from this number on come with the second of two loads.
 SECOND_LOAD = 600
 
@@ -660,7 +662,7 @@ def texts() -> dict[str, str]:
         "compare_filtered": f"""{FACTS}, {_ENV}, {_PAIRS}
             select * exclude (prod_source, env_source) from pairs where status <> 'SAME'
               and (prod_source = '{SOURCE}' or env_source = '{SOURCE}')""",
-        "compare_at_scale": f"""{LARGE}, {_ENV_LARGE}, {_PAIRS}
+        "compare_at_scale": f"""{LARGE.replace("fct as (", "fct as materialized (")}, {_ENV_LARGE}, {_PAIRS}
             select * exclude (prod_source, env_source) from pairs where status <> 'SAME'""",
         "compare_summary": f"""{FACTS}, {_ENV}, {_PAIRS}
             select 'prod rows' as measure, count(*) as rows from fct
@@ -711,6 +713,17 @@ def texts() -> dict[str, str]:
             join meta using (biomarker_key)
             where conversion_factor <> 1 and unit_original is distinct from conventional_unit""",
         "redact_text": f"with {_redaction()} select doc_id, t as text, found from {found}",
+        "redact_many": f"""
+            with words as (
+              select distinct unnest(regexp_extract_all(text, '{PLAIN_WORD}')) as w from documents),
+            longest as (select w from words order by length(w) desc, w limit {LISTED}),
+            listed as (
+              select list(n || chr(31) || w order by n) as strings
+              from (select w, row_number() over (order by length(w) desc, w) as n from longest))
+            select doc_id, list_reduce(list_prepend(text, strings),
+              lambda t, s: replace(t, split_part(s, chr(31), 2),
+                '[REDACTED_' || split_part(s, chr(31), 1) || ']')) as text
+            from documents, listed""",
         "redact_restore": "select doc_id, text from documents",
         "fenced_block": _FENCED,
         "responses_to_documents": """select 'doc_' || doc_id as source_file, text as document_summary,
@@ -731,6 +744,20 @@ def texts() -> dict[str, str]:
         "reports_written": reports,
         "workflow_facts": f"with lab_results as ({files.MEASUREMENTS}), {META}, {STG}, {FCT} "
         "select * from fct",
+        "facts_in_sql": f"""{FACTS},
+            stepped as (select *, lag(value_si) over (
+              partition by biomarker_key order by report_date, lab_result_id) as before from fct)
+            select lab_result_id, value_si,
+              case when conversion_factor is null then value_si
+                   when conversion_factor <> 0 then value_si / conversion_factor end
+                as value_conventional,
+              case when is_below_detection_limit then 'BDL' when is_within_optimal_range then 'Optimal'
+                   when is_within_ref_range then 'Normal' when not is_within_ref_range then '**OUT**'
+                   else '-' end as status,
+              case when value_si is null or before is null then ''
+                   when before = 0 or abs((value_si - before) / before) * 100 < 3 then '-'
+                   when value_si > before then '^' else 'v' end as trend
+            from stepped left join meta using (biomarker_key)""",
         "workflow_run": f"with lab_results as ({files.MEASUREMENTS}), {META}, {STG}, {FCT} "
         "select * from fct",
         "refreshed_facts": f"with {_BOUND}, {META}, {STG}, {FCT} select * from fct",
@@ -758,6 +785,7 @@ def texts() -> dict[str, str]:
         "stateful_ingest": files.MEASUREMENTS,
         "deleted_source_rewritten": f"select * from ({files.MEASUREMENTS}) "
         f"where source_file not in {DELETED}",
+        "purged_files": f"select * from ({files.MEASUREMENTS}) where source_file not in {DELETED}",
         "reloaded_source": f"select *, case when source_file in {DELETED} then 'second' "
         f"else 'first' end as load_batch from ({files.MEASUREMENTS})",
         "dimension_from_csv": f"with {META} select * from meta",

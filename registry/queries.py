@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake import schemas
+from assaylake.functions.sql import create_functions
 from assaylake.functions.text import first_fenced_block
 from assaylake.functions.values import (
     censored_value,
@@ -28,7 +29,17 @@ from assaylake.sources.reference_dim import read_reference_dimension
 from assaylake.sources.shared import shared_folder, stored
 from assaylake.streaming.incremental import start_load, start_stateful_load
 from registry import extraction_files, views
-from registry.oracle_texts import DELETED, GENERATED, RUN_1, RUN_2, SECOND_LOAD, SOURCE, TO_REDACT
+from registry.oracle_texts import (
+    DELETED,
+    GENERATED,
+    LISTED,
+    PLAIN_WORD,
+    RUN_1,
+    RUN_2,
+    SECOND_LOAD,
+    SOURCE,
+    TO_REDACT,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -229,6 +240,15 @@ def _redact_text(lab: Lab) -> DataFrame:
     return _redacted(lab).select("doc_id", "text", F.array_join(found, "").alias("found"))
 
 
+def _redact_many(lab: Lab) -> DataFrame:
+    """Texts without the longest of their own plain words."""
+    texts = lab.table("documents").select("doc_id", "text")
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(PLAIN_WORD), F.lit(0))).alias("w"))
+    words = words.distinct().orderBy(F.desc(F.length("w")), "w").limit(LISTED)
+    strings = redaction.redaction_list(r.w for r in words.collect())
+    return redaction.redact_many(texts, "text", strings).select("doc_id", "text")
+
+
 def _responses(lab: Lab) -> DataFrame:
     """Redacted texts as they would come back in a fenced JSON answer."""
     measurement = F.struct(
@@ -361,6 +381,32 @@ def _environments_in_sql(lab: Lab) -> DataFrame:
     return stored(found, shared_folder(spark, "adhoc"), "found")
 
 
+def _facts_in_sql(lab: Lab) -> DataFrame:
+    """Facts with status and conventional value by SQL alone, the rules as SQL functions."""
+    spark = lab.spark
+    create_functions(spark, "rules")
+    return spark.sql(
+        """
+        with valued as (
+          select s.*, rules.censored_value(s.value_raw) as value, m.conversion_factor as factor,
+                 m.optimal_range_low_si as best_low, m.optimal_range_high_si as best_high
+          from {staged} s left join {meta} m on s.biomarker_name = m.biomarker_key),
+        flagged as (
+          select *, rules.to_si(value, factor) as value_si,
+                 rules.in_reference(value, reference_range_low, reference_range_high) as in_range,
+                 rules.in_optimal(value, factor, best_low, best_high) as optimal
+          from valued)
+        select lab_result_id, value_si, rules.from_si(value_si, factor) as value_conventional,
+               rules.status_label(rules.is_below_limit(value_raw), optimal, in_range) as status,
+               rules.trend_label(value_si, lag(value_si) over (
+                 partition by biomarker_name order by report_date, lab_result_id)) as trend
+        from flagged
+        """,
+        staged=lab.staged,
+        meta=lab.meta,
+    )
+
+
 def _workflow_run(lab: Lab) -> DataFrame:
     """A directory of extraction files, from its loading to its reports."""
     folder = shared_folder(lab.spark, "run")
@@ -419,6 +465,16 @@ def _deleted_source(lab: Lab) -> DataFrame:
     return raw_tables.read_raw(lab.spark, root, "lab_results").drop(raw_tables.BATCH)
 
 
+def _purged_files(lab: Lab) -> DataFrame:
+    """All measurements that stand in the files after a purge, whether they count or not."""
+    root = _loaded(lab)
+    raw_tables.delete_sources(lab.spark, root, DELETED)
+    workflow.purge(lab.spark, root)
+    return raw_tables.stored_rows(lab.spark, root, "lab_results").drop(
+        raw_tables.BATCH, raw_tables.ATTEMPT
+    )
+
+
 def _reloaded_source(lab: Lab) -> DataFrame:
     """Deleted sources come back with the next load; all others stay as they were."""
     root = _loaded(lab)
@@ -547,6 +603,7 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
     "dq_constraints": lambda lab: quality.constraint_checks(lab.raw, lab.docs),
     "dq_unit_mismatch": _unit_mismatch,
     "redact_text": _redact_text,
+    "redact_many": _redact_many,
     "redact_restore": lambda lab: redaction.restore(_redacted(lab), "text").select(
         "doc_id", "text"
     ),
@@ -569,6 +626,7 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
     "report_lines": lambda lab: report_lines.in_order(_profile_lines(lab)),
     "reports_written": _reports_written,
     "workflow_facts": _workflow_facts,
+    "facts_in_sql": _facts_in_sql,
     "workflow_run": _workflow_run,
     "refreshed_facts": lambda lab: _refreshed_mart(lab, workflow.FACTS),
     "refreshed_documents": lambda lab: _refreshed_mart(lab, workflow.DOCUMENTS),
@@ -580,6 +638,7 @@ _QUERIES: dict[str, Callable[[Lab], DataFrame]] = {
     "report_files": _report_files,
     "stateful_ingest": _stateful_ingest,
     "deleted_source_rewritten": _deleted_source,
+    "purged_files": _purged_files,
     "reloaded_source": _reloaded_source,
     "dimension_from_csv": _dimension_from_csv,
     "older_documents": _older_documents,

@@ -206,3 +206,47 @@ def test_digests_tell_rows_apart(spark):
     for other in (((1, 2), (None, 3)), ((1, 2),), ((1, 2), (1, 2), (3, None)), ()):
         assert not digests.equal(frame((1, 2), (3, None)), frame(*other))
     assert digests.differing({1: (2, "a", 3), 2: (1, "b", 1)}, {1: (2, "a", 3), 3: (1, "b", 1)}) == {2, 3}
+
+
+def texts_below(root):
+    import pyarrow.parquet as pq
+
+    for path in Path(root).rglob("*.parquet"):
+        if path.parent.parent.name != "deleted":  # marks name sources
+            yield from (str(row) for row in pq.read_table(path).to_pylist())
+
+
+@pytest.mark.parametrize("writes", [2, 3])
+def test_a_purge_takes_deleted_rows_from_all_files(lakes, monkeypatch, writes):
+    lake = lakes[0]
+    lake.load(STEPS[0])
+    lake.load(STEPS[1])
+    raw_tables.read_raw(lake.spark, lake.root, "documents").limit(0)
+    lake.run("2025-06-01 00:00:00")
+    raw_tables.delete_sources(lake.spark, lake.root, ["a.pdf", "c.pdf"])
+    with pytest.raises(ValueError, match="refresh before"):
+        workflow.purge(lake.spark, lake.root)
+    lake.run("2025-06-02 00:00:00")
+    before = lake.state(), raw_tables.read_raw(lake.spark, lake.root, "lab_results").count()
+    append, done = raw_tables._append, []
+
+    def stops(*args):
+        if len(done) == writes - 1:
+            raise RuntimeError("lost")
+        done.append(append(*args))
+
+    if writes:
+        monkeypatch.setattr(raw_tables, "_append", stops)
+        with pytest.raises(RuntimeError):
+            workflow.purge(lake.spark, lake.root)
+        monkeypatch.setattr(raw_tables, "_append", append)
+        assert raw_tables.read_raw(lake.spark, lake.root, "lab_results").count() == before[1]
+    assert workflow.purge(lake.spark, lake.root)
+    assert not [t for t in texts_below(lake.root) if "a.pdf" in t or "c.pdf" in t]
+    assert (lake.state(), raw_tables.read_raw(lake.spark, lake.root, "lab_results").count()) == before
+    assert lake.run("2025-06-03 00:00:00") == {t: set() for t in workflow.BUCKETED_BY}
+    assert workflow.purge(lake.spark, lake.root) == []
+    (lake.in_dir / "c.json").unlink()
+    lake.load([])
+    rows = raw_tables.read_raw(lake.spark, lake.root, "documents").select("source_file").collect()
+    assert sorted(r[0] for r in rows) == ["a.pdf", "b.pdf", "d.pdf", "x.pdf"]

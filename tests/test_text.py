@@ -93,3 +93,20 @@ def test_candidates(document_rows):
         ("a", 0, "one"),
         ("a", 1, "café"),
     ]
+
+
+def test_many_strings_give_what_the_fold_gives(spark):
+    strings = redaction.redaction_list(
+        ["x1", "REDACTED", "1", "ED_12", "]x", "y[", "D_", "river", "river bank", "bank", "ACTED", "0007", "é漢", "a", "aa", "a"]
+        + [f"name {i:04d}" for i in range(400)]
+    )
+    texts = [
+        None, "", "x1y x1 1", "at the river bank of name 0007 and name 0399", "aaa a", "é漢 e", "plain", "x]x y[",
+        "name 0012name 0013" * 20, "REDACTED_ [REDACTED_1] 12",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    slow, fast = (f(rows, "text", strings).orderBy("n").collect() for f in (redaction.redact, redaction.redact_many))
+    assert slow == fast
+    assert redaction.redact_many(rows, "text", []).columns == ["n", "text", "redacted_strings"]
+    # few strings are left for the fold whatever the list's length
+    assert sum(map(redaction.may_meet_placeholder, strings)) == 8
