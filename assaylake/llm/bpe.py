@@ -21,6 +21,7 @@ columns are carried through whatever their names.
 
 import base64
 import hashlib
+import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -235,8 +236,9 @@ class PrefixTable:
 class Runs(dict):
     """Distinct runs by number, their ids and the digits of these side by side in flat arrays."""
 
-    def __init__(self, of: Callable[[str], list[int]]):
+    def __init__(self, of: Callable[[str], list[int]], ids: Iterable[int]):
         self.of = of
+        self.digits_of = {i: b"%d," % i for i in ids}
         self.start()
 
     def start(self) -> None:
@@ -248,7 +250,7 @@ class Runs(dict):
         ids = self.of(text)
         self.ids.extend(ids)
         self.id_edges.append(len(self.ids))
-        self.digits += (",".join(map(str, ids)) + ",").encode() if ids else b""
+        self.digits += b"".join([self.digits_of[i] for i in ids])
         self.digit_edges.append(len(self.digits))
         self[text] = number = len(self.id_edges) - 2
         return number
@@ -273,12 +275,13 @@ class Encoder:
         self.vocabulary = vocabulary
         self._pieces = regex.compile(pattern).findall
         # whether a run between single spaces may stand for itself
-        self._irregular = regex.compile(r"^\s| \s|\s |\s$").search
-        self._single_spaces = regex.compile(r"(?<=\S) (?=\S)").split
+        # (white space of this module is at least that of the pattern's)
+        self._irregular = re.compile(r" \s|\s |^\s|\s$").search
+        self._single_spaces = re.compile(r"(?<=\S) (?=\S)").split
         self.splits = all(
             regex.fullmatch(pattern, piece) is None for piece in ("a b", "a ", ". .", "1 1", "! a", " a b")
         )
-        self.runs = Runs(self._whole)
+        self.runs = Runs(self._whole, vocabulary.bytes_of)
         self._last: dict[bytes, int] = {}
 
     def _piece(self, piece: str) -> list[int]:

@@ -92,14 +92,22 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         passage = np.cumsum(in_piece % PASSAGE == 0) - 1
         words = np.diff(np.append(at, len(begins))).astype(float)
         mean = lambda values: np.add.reduceat(values.astype(float), at) / words
-        text_bytes = np.maximum(np.diff(np.append(begins[at], len(raw))), 1)
-        shares = [np.add.reduceat(c[raw], begins[at]) / text_bytes for c in BYTE_CLASSES]
+        # from a text's first byte to its last one, whatever stands beside it
+        opens = in_piece[at] == 0
+        from_byte = np.where(opens, starts[piece[at]], begins[at])
+        ends = np.append(starts[1:], len(raw)) - 1
+        to_byte = np.where(np.append(opens[1:], True), ends[piece[at]], np.append(from_byte[1:], 0))
+        text_bytes = np.maximum(to_byte - from_byte, 1)
+        sums = [np.concatenate([[0], np.cumsum(c[raw])]) for c in BYTE_CLASSES]
+        shares = [(total[to_byte] - total[from_byte]) / text_bytes for total in sums]
         same = np.zeros(len(hashes), bool)
         same[1:] = (hashes[1:] == hashes[:-1]) & (piece[1:] == piece[:-1])
         windows = np.zeros(len(hashes), bool)
         if len(hashes) > 2:
             keys = hashes[:-2] * _MIX + hashes[1:-1] * (_MIX ^ np.uint64(1 << 40)) + hashes[2:]
-            windows[:-2] = _repeats(keys + piece[:-2].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+            own = piece[:-2] == piece[2:]
+            keys = keys + piece[:-2].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+            windows[np.flatnonzero(own)] = _repeats(keys[own])
         is_stop = stop[np.minimum(np.searchsorted(stop, hashes), len(stop) - 1)] == hashes
         in_passage = hashes + passage.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
         total = np.bincount(piece, minlength=len(starts))[piece[at]]

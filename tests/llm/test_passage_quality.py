@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from assaylake.llm import passage_quality, toxicity
@@ -94,3 +95,35 @@ def test_odd_rows(spark, odd_documents, documents):
     one = labels.where("quality = 1")
     assert {r.score for r in passage_quality.score(odd_documents, one, out).collect()} == {1.0}
     assert passage_quality.score(odd_documents.limit(0), labels, out).collect() == []
+
+
+def test_measures_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [
+        "one two three four one two", "\n" * 500 + "after many lines", "three x y", "   ", "", "é" * 40 + " !",
+        "  leading and trailing \n\n", " ".join(f"word{i % 9} {i}" for i in range(300)), "a", "one two three one two three",
+    ]
+    alone = [passage_quality.passages([t])[0] for t in texts]
+    for order in (range(len(texts)), reversed(range(len(texts))), [7, 1, 0, 2, 9, 9, 4, 3]):
+        order = list(order)
+        values, of = passage_quality.passages([texts[i] for i in order])
+        for place, i in enumerate(order):
+            assert np.array_equal(values[of == place], alone[i]), texts[i][:30]
+
+
+def test_measures_against_a_plain_loop():
+    text = "  The cat, the CAT! the cat sat\n\non a mat. " + "x " * 70
+    values, _ = passage_quality.passages([text])
+    words = text.split()
+    raw = text.encode()
+    assert len(values) == 2 and len(raw) == len(text)
+    assert values[0][0] == 1 and values[1][0] == (len(words) - 64) / 64
+    pairs = [a == b for a, b in zip(words, words[1:])]
+    assert values[0][3] == pytest.approx(sum(pairs[:63]) / 64)
+    seen, repeated = set(), []
+    for window in zip(words, words[1:], words[2:]):
+        repeated.append(window in seen)
+        seen.add(window)
+    assert values[0][5] == pytest.approx(sum(repeated[:64]) / 64)
+    lines = values[:, 8 + len(passage_quality.BYTE_CLASSES) - 1]
+    first = len(text) - 2 * (len(words) - 64)
+    assert lines[0] == pytest.approx(text[:first].count("\n") / first) and lines[1] == 0
