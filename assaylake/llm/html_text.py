@@ -10,8 +10,12 @@ blocks and most of them are long and dense in stop words. Stop words are English
 Spanish: where no long block of a page is dense in them, as in other languages or in code, long blocks
 are text by their length and share of links alone; beside running text, a long block with hardly any
 stop words is boilerplate. Where a page names its article, blocks of the article look for neighbours in it, and the rest is boilerplate.
+An article inside an aside, a nav, a footer or a container named as boilerplate does not count, unless hardly any
+running text is elsewhere; and articles do not count where several running blocks outside hold more than they do.
+A block of links in an article is text if it stands between text.
 
-One pass over the tags of a page, in Arrow batches without a shuffle; whole pages, nothing capped.
+One pass over the tags of a page, two where an article stands in boilerplate, in Arrow batches without a shuffle;
+whole pages, nothing capped. The time of a pass grows with the page's length, of broken markup as well.
 
 Defined results: a null page is empty and gives an empty text; a page without tags is one block;
 tags that are never closed end with their surroundings; of elements that are left out whole, only
@@ -22,6 +26,7 @@ part.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -40,6 +45,8 @@ MAX_LINKED = 0.5
 DENSE, SPARSE = 0.25, 0.08
 #: Blocks that a container needs to overrule its name: an advert or a notice may be a long sentence.
 OVERRULES = 3
+#: Articles in boilerplate count if they raise a page's running text more than so many times.
+RAISES = 4
 
 # Names of HTML elements.
 BLOCKS = frozenset(
@@ -52,6 +59,9 @@ CONTAINERS = frozenset(
     "menu nav ol section table ul span p h1 h2 h3 h4 h5 h6 td th tr a".split()
 )
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+#: Of these, those that hold no main text even if an article stands in them; and such roles.
+SEALED_TAGS = frozenset("nav footer aside".split())
+SEALED_ROLES = frozenset("navigation contentinfo complementary".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_NAMES = frozenset(
@@ -85,7 +95,7 @@ RUNS_ON = frozenset(("script", "style"))
 
 # a quoted value may hold any character; a quote that nothing fits ends with the tag
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--.*?(?P<end>-->|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)"
     r"(?P<attributes>(?:[^>\"'=]|=(?!\s*[\"'])|=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>]))*+|[^>]*)>"
     r"|<[!?/][^>]*>",
@@ -111,8 +121,14 @@ _PARTS = re.compile(r"[-_]+")
 _NUMBER = re.compile(r"\d+(?:x\d+)?")
 _STOP = frozenset(STOP_WORDS)
 _WORD = re.compile(r"\w+")
+# decimal references of any length; those of eight digits are no character either
+_ZEROS, _DIGITS = re.compile(r"&#0+(?=[0-9])"), re.compile(r"(&#[0-9]{8})[0-9]+")
 
-TEXT, BOILERPLATE, COMMENT = "text", "boilerplate", "comment"
+TEXT, BOILERPLATE, SEALED, COMMENT = "text", "boilerplate", "sealed", "comment"
+#: Contexts from the weakest to the strongest.
+_CONTEXTS = (TEXT, BOILERPLATE, SEALED, COMMENT)
+#: Provisional label of a block of links.
+LINKS = "links"
 
 
 @dataclass
@@ -138,7 +154,7 @@ def _context(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
     """What a tag says about what is in it, and whether its class or id names boilerplate."""
     found, named = TEXT, False
     if name in BOILERPLATE_TAGS or (name == "header" and not in_article):
-        found = BOILERPLATE
+        found = SEALED if name in SEALED_TAGS else BOILERPLATE
     if not attributes:
         return found, named
     for key, *values in _ATTRIBUTE.findall(attributes):
@@ -151,17 +167,27 @@ def _context(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
             if name != "h1" and not (in_article and name == "header"):
                 named = named or _named(value, BOILERPLATE_NAMES)
         elif key == "role" and value.lower() in BOILERPLATE_ROLES:
-            found = BOILERPLATE
+            found = SEALED if value.lower() in SEALED_ROLES else _stronger(found, BOILERPLATE)
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            found = BOILERPLATE
+            found = _stronger(found, BOILERPLATE)
         elif key == "style" and _HIDDEN.search(value):
-            found = BOILERPLATE
+            found = _stronger(found, BOILERPLATE)
     return found, named
 
 
-def _skip(html: str, name: str, at: int) -> int:
-    """Where an element that is left out whole ends, if its tag ends at ``at``."""
-    end = _ENDS[name].search(html, at)
+def _stronger(one: str, other: str) -> str:
+    return max(one, other, key=_CONTEXTS.index)
+
+
+def _plain(html: str) -> str:
+    """Text with its character references decoded and white space turned into single spaces."""
+    return " ".join(unescape(_DIGITS.sub(r"\1", _ZEROS.sub("&#", html))).split())
+
+
+def _skip(html: str, name: str, at: int, last: int) -> int:
+    """Where an element that is left out whole ends, if its tag ends at ``at`` and the page's last
+    tag at ``last``."""
+    end = _ENDS[name].search(html, at, last)
     if end and end[0].startswith("</"):
         return end.end()
     if name in RUNS_ON:
@@ -170,13 +196,16 @@ def _skip(html: str, name: str, at: int) -> int:
     return _LEFT_OPEN[name].match(html, at).end() if name in _LEFT_OPEN else at
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page in page order, without empty ones."""
+def blocks_of(html: str, anywhere: bool = False) -> tuple[list[Block], bool]:
+    """The blocks of a page in page order, without empty ones, and whether it has articles in
+    boilerplate; these count as articles only with ``anywhere``."""
     blocks: list[Block] = []
+    in_boilerplate = False
     parts: list[str] = []
     linked: list[str] = []
     # open containers: name, context, whether an article holds them and the innermost named one
     opened: list[tuple[str, str, bool, int]] = []
+    names: Counter[str] = Counter()
     # of the containers named as boilerplate the one around, and of blocks the innermost named one
     around: list[int] = []
     inside: list[int] = []
@@ -186,10 +215,10 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal breaks
         breaks = 0
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = _plain("".join(parts))
             if text:
                 _, context, in_article, named = opened[-1] if opened else ("", TEXT, False, -1)
-                share = " ".join(unescape("".join(linked)).split())
+                share = _plain("".join(linked))
                 blocks.append(Block(text, len(share), in_article, context))
                 inside.append(named)
             parts.clear()
@@ -206,22 +235,25 @@ def blocks_of(html: str) -> list[Block]:
             linked.append(text)
 
     def close(name: str) -> None:
-        for place in range(len(opened) - 1, -1, -1):
-            if opened[place][0] == name:
-                del opened[place:]
-                return
-
-    at = 0
-    while token := _TOKEN.search(html, at):
+        closed = "" if names[name] else name
+        while closed != name:
+            closed = opened.pop()[0]
+            names[closed] -= 1
+
+    # no tag ends behind the last bracket, so nothing is searched for there
+    at, last = 0, html.rfind(">") + 1
+    while token := _TOKEN.search(html, at, last):
         add(html[at : token.start()])
         at = token.end()
         name = token["name"]
         if name is None:
+            if token["end"] == "":
+                at = len(html)
             continue
         name = name.lower()
         if name in SKIPPED:
             if not token["close"] and not token["attributes"].endswith("/"):
-                at = _skip(html, name, at)
+                at = _skip(html, name, at, last)
             continue
         if name in BREAKS:
             parts.append(" ")
@@ -238,21 +270,25 @@ def blocks_of(html: str) -> list[Block]:
             close(name)
             continue
         if name in BLOCKS and opened and opened[-1][0] in CLOSED_BY_BLOCK:
-            opened.pop()
+            names[opened.pop()[0]] -= 1
         _, outer, in_article, innermost = opened[-1] if opened else ("", TEXT, False, -1)
         own, named = _context(name, token["attributes"], in_article)
         if name in ARTICLE_TAGS and own == TEXT and outer != COMMENT:
-            outer, in_article, innermost = TEXT, True, -1
+            inner = outer == SEALED or innermost >= 0
+            in_boilerplate = in_boilerplate or inner
+            if anywhere or not inner:
+                outer, in_article, innermost = TEXT, True, -1
         if not token["attributes"].endswith("/"):
-            context = outer if outer != TEXT and own != COMMENT else own
+            context = _stronger(outer, own)
             if named:
                 around.append(innermost)
                 innermost = len(around) - 1
             opened.append((name, context, in_article and context != COMMENT, innermost))
-    add(html[at:])
+            names[name] += 1
+    add(html[at:].partition("<!--")[0])
     end_block()
     _overrule(blocks, inside, around)
-    return blocks
+    return blocks, in_boilerplate
 
 
 def _overrule(blocks: list[Block], inside: list[int], around: list[int]) -> None:
@@ -294,7 +330,7 @@ def _decide(block: Block, stops: bool) -> str | None:
         return BOILERPLATE
     length = len(block.text)
     if block.linked > MAX_LINKED * length:
-        return BOILERPLATE
+        return LINKS if block.in_article else BOILERPLATE
     if block.in_article:
         return TEXT if length >= LONG else None
     if length >= LONG:
@@ -303,9 +339,32 @@ def _decide(block: Block, stops: bool) -> str | None:
     return None
 
 
+def _is_text(block: Block) -> bool:
+    return block.context == TEXT and block.linked <= MAX_LINKED * len(block.text)
+
+
+def _running(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks if len(b.text) >= LONG and _is_text(b))
+
+
+def _with_articles(html: str) -> list[Block]:
+    """The blocks of a page, those told to be of an article that are of its main text."""
+    blocks, in_boilerplate = blocks_of(html)
+    if in_boilerplate:
+        others, _ = blocks_of(html, anywhere=True)
+        if _running(others) > RAISES * _running(blocks):
+            blocks = others
+    within = sum(len(b.text) for b in blocks if b.in_article and _is_text(b))
+    outside = [len(b.text) for b in blocks if not b.in_article and b.context == TEXT and _runs(b)]
+    if len(outside) >= OVERRULES and sum(outside) > within:
+        for block in blocks:
+            block.in_article = False
+    return blocks
+
+
 def classify(html: str) -> list[Block]:
     """The blocks of a page with their labels."""
-    blocks = blocks_of(html)
+    blocks = _with_articles(html)
     named = any(b.in_article and b.context == TEXT for b in blocks)
     stops = not named and any(b.context == TEXT and _runs(b) for b in blocks)
     for block in blocks:
@@ -317,14 +376,17 @@ def classify(html: str) -> list[Block]:
 
 
 def _inherit(blocks: list[Block], otherwise: str) -> None:
-    """The second pass: ambiguous blocks take the label of the nearest decided one."""
-    labels = [b.label for b in blocks]
+    """The second pass: ambiguous blocks take the label of the nearest decided one; links are text
+    if they stand between text."""
+    labels = [None if b.label == LINKS else b.label for b in blocks]
     before = _nearest(labels)
     after = _nearest(labels[::-1])[::-1]
     for block, label, (left, far_left), (right, far_right) in zip(
         blocks, labels, before, after, strict=True
     ):
-        if label is None:
+        if block.label == LINKS:
+            block.label = TEXT if left == right == TEXT else BOILERPLATE
+        elif label is None:
             if left is None and right is None:
                 block.label = TEXT
             elif left == right or far_left == far_right:

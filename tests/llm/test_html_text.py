@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from assaylake.llm import html_text
@@ -104,6 +106,65 @@ def test_pages_without_known_stop_words_go_by_length_and_links(html, text):
     assert html_text.main_text(html) == text
 
 
+FOUR = f"<p>{LONG}</p><p>{MORE}</p>" * 2
+FOUR_TEXT = "\n\n".join([LONG, MORE] * 2)
+LINKED = "See <a href=x>this long link text that is most of it</a> now."
+LINKED_TEXT = "See this long link text that is most of it now."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<div id=content>{FOUR}</div><aside><article><p>Teaser</p></article></aside>", FOUR_TEXT),
+        (f"<div id=content>{FOUR}</div><footer><article><p>{LONG}</p></article></footer>", FOUR_TEXT),
+        (f"<div>{FOUR}</div><div class=related><article><p>{MORE}</p></article></div>", FOUR_TEXT),
+        (f"<div>{FOUR}</div><div><article><p>Teaser.</p></article></div>", f"{FOUR_TEXT}\n\nTeaser."),
+        (f"<article>{FOUR}</article><aside><article><p>{MORE}</p></article></aside>", FOUR_TEXT),
+        (f"<article>{FOUR}<div class=related><article><p>{MORE}</p></article></div></article>", FOUR_TEXT),
+        (f"<nav><a href=x>never closed</a><article>{FOUR}</article>", FOUR_TEXT),
+        (f"<div class=page-widget><article><p>{LONG}</p></article></div>", LONG),
+        (f"<form><article><p>{LONG}</p></article></form>", LONG),
+        (f"<div role=complementary><article>Teaser</article></div>{FOUR}", FOUR_TEXT),
+    ],
+)
+def test_the_article_with_the_running_text_counts(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><p>{LONG}</p><p>{LINKED}</p><p>{MORE}</p></article>", f"{LONG}\n\n{LINKED_TEXT}\n\n{MORE}"),
+        (f"<article><p>{LONG}</p><ul><li><a>One</a></li><li><a>Two</a></li></ul><p>{MORE}</p></article>", f"{LONG}\n\nOne\n\nTwo\n\n{MORE}"),
+        (f"<article><p>{LONG}</p><ul><li><a>One</a></li><li><a>Two</a></li></ul></article>", LONG),
+        (f"<article><a>One</a><p>{LONG}</p></article>", LONG),
+    ],
+)
+def test_links_between_text_of_an_article_stay(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>a<!-- b</p>c", "a"),
+        ("<p>a<!-- b", "a"),
+        ("<p>a</p><b", "a\n\n<b"),
+        (f"<article>&#{'1' * 5000};&#{'0' * 5000}65;</article>", "\ufffdA"),
+    ],
+)
+def test_unclosed_ends_and_long_references(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("part", ["<svg ", "<svg>", "<a ", "<a x='", '<p x="', "<div>", "<select>", "</", "<!--", "&#1"])
+@pytest.mark.parametrize("end", ["", ">", "</p>" * 100_000])
+def test_a_megabyte_of_broken_markup_takes_no_two_seconds(part, end):
+    begin = time.process_time()
+    html_text.main_text(part * (1_000_000 // len(part)) + end)
+    assert time.process_time() - begin < 2
+
+
 @pytest.mark.parametrize("html", ["<", "<p", "<p class='x", "</", "<!--", "<script>", "&#;", "a<b>c", "<a" * 50])
 def test_broken_markup_does_not_fail(html):
     html_text.main_text(html)
