@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from assaylake.llm import sharding
 
@@ -52,6 +53,68 @@ def test_a_group_of_a_third_of_all_rows_is_split(documents):
     assert max(filled.values()) < 1.3 * min(filled.values())
 
 
+def spread(got):
+    filled = Counter()
+    for r in got:
+        filled[r.shard] += r["size"]
+    return max(filled.values()), min(filled[s] for s in range(40))
+
+
+def test_groups_that_fit_whole_are_not_cut(documents):
+    rows = [(i, f"text {i % 80:02d} of half a shard") for i in range(400)]
+    got = check(documents(*rows), rows)
+    shard_of = defaultdict(set)
+    for r in got:
+        shard_of[r.doc_id % 80].add(r.shard)
+    assert all(len(s) == 1 for s in shard_of.values())
+    assert len(set(spread(got))) == 1
+
+
+def test_groups_are_cut_where_no_placement_balances(documents):
+    rows = [(i, f"text {i % 41:02d} of nearly a shard") for i in range(41 * 40)]
+    got = check(documents(*rows), rows)
+    most, least = spread(got)
+    assert most <= 1.06 * least
+    shard_of = defaultdict(set)
+    for r in got:
+        shard_of[r.doc_id % 41].add(r.shard)
+    assert sum(len(s) == 1 for s in shard_of.values()) >= 39
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_a_group_with_one_id_is_dealt_out_evenly(documents, doc_id, monkeypatch):
+    rows = [(doc_id, "the same in all of these")] * 2000
+    counts = Counter(r.shard for r in check(documents(*rows), rows))
+    assert set(counts.values()) == {50}
+    others = rows + [(i, f"other text number {i:04d}") for i in range(2000)]
+    whole = check(documents(*others), others)
+    assert spread(whole)[0] < 1.02 * spread(whole)[1]
+    monkeypatch.setattr(sharding, "CELL_ROWS", 8)
+    cells = check(documents(*others).repartition(7), others)
+    assert Counter(r.shard for r in cells) == Counter(r.shard for r in whole)
+
+
+def test_ten_groups_are_packed_as_well_as_by_trying_all():
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        sizes = rng.integers(20, 100, 10).astype(float)
+        loads = np.stack([sizes * 20, sizes * 3, sizes], axis=1)
+        pieces, placed = sharding.split_and_pack(loads, np.zeros(10, bool), 2)
+        assert pieces.tolist() == [1] * 10
+        filled = np.bincount(np.concatenate(placed), loads[:, 0], 2).max()
+        sides = (np.arange(1024)[:, None] >> np.arange(10)) & 1
+        one = sides @ loads[:, 0]
+        assert filled <= 1.06 * np.maximum(one, loads[:, 0].sum() - one).min()
+
+
+def test_a_document_above_a_shard_does_not_tear_others(documents):
+    rows = [(0, "long " * 20_000), *[(i, f"text {i // 2} " + "x" * 30) for i in range(2, 2002)]]
+    shard_of = defaultdict(set)
+    for r in check(documents(*rows), rows):
+        shard_of[r.doc_id // 2].add(r.shard)
+    assert all(len(s) == 1 for s in shard_of.values())
+
+
 def test_odd_rows(odd_documents, with_clashing_names, tmp_path):
     rows = [(r.doc_id, r.text) for r in odd_documents.collect()]
     check(odd_documents, rows)
