@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from assaylake.llm import chat
 
 TURNS = "conv_id long, turn long, role string, text string, extra int"
@@ -76,6 +78,43 @@ def test_odd_rows(spark):
     assert found(turns(spark, *rows).limit(0)) == []
 
 
+def test_conversations_over_many_ranges(spark):
+    """Long ones that share all but their last turn, and roles and texts beyond the range's keys."""
+    rows = [(c, t, "user", f"turn {t}" if t < 399 else f"end {c % 3}") for c in range(6) for t in range(400)]
+    rows += [(9, t, "user", f"turn {t}") for t in range(250)]
+    role = "r" * 300
+    rows += [(10, 0, role + "a", "z"), (10, 0, role + "b", "a"), (10, 0, role + "b", "b")]
+    rows += [(11, None, "user", "x" * 300 + str(i)) for i in range(20)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert chat.ordered(turns(spark, *rows)).select("part").distinct().count() > 3
+        assert found(turns(spark, *rows)) == by_definition(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_conversation_of_200_000_turns(spark):
+    logged = spark.range(400_000).selectExpr(
+        "id div 200000 as conv_id",
+        "id % 200000 as turn",
+        "'user' as role",
+        "if(id = 399999, 'other', 'turn ' || id % 200000) as text",
+    )
+    snapshot = logged.where("conv_id = 0 and turn < 150000").withColumn("conv_id", F.lit(5).cast("long"))
+    got = chat.maximal(logged.union(snapshot)).selectExpr("conv_id", "n_turns", "n_logged", "right(text, 30) as end")
+    assert sorted(map(tuple, got.collect())) == [
+        (0, 200_000, 1, "art|>user\nturn 199999<|im_end|>\n"[-30:]),
+        (1, 200_000, 1, "m_start|>user\nother<|im_end|>\n"[-30:]),
+    ]
+
+
+def test_clashing_columns_play_no_part(spark):
+    rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "user", "ho")]
+    names = ["number", "part", "place", "hash", "_id", "alone", "h0", "n"]
+    plain = turns(spark, *rows)
+    assert found(plain.withColumns({name: F.lit("x") for name in names})) == by_definition(rows)
+
+
 def test_no_python_on_the_main_path(spark):
     plan = chat.maximal(turns(spark, (1, 0, "user", "x")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
