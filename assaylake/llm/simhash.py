@@ -4,11 +4,12 @@ A vantage point and a radius split fingerprints into those inside and those outs
 ``LINK_BITS`` can only straddle the boundary if its inner member lies less than that far from it, so
 inner fingerprints of this shell are copied to the outer side; every linked pair then meets in a
 leaf (triangle inequality), and no other branch has to be looked at. The top of the tree is fitted
-on a bounded sample and spreads the fingerprints over shards; a shard goes on splitting on its own.
-A leaf gives the links of a spanning forest and not all pairs.
+on a bounded sample and spreads the fingerprints over shards. Shards with more than ``MAX_IN_TASK`` get a
+further part of the tree each, fitted by tasks on samples of their own, until none is left; a smaller
+shard goes on splitting in its task. A leaf gives the links of a spanning forest and not all pairs.
 
-A shard that stays large, as fingerprints that are all alike cannot be told apart by distance, is
-not searched by one task: its fingerprints are linked through the 65 words within one bit of them.
+Fingerprints that distance cannot tell apart, since a split would leave nearly all on one side, are
+linked through the 65 words within one bit of them instead, however many they are.
 Two fingerprints within two bits share such a word, and all that share one are within two bits, so
 the words' groups are exact and hold at most 65 members.
 
@@ -21,16 +22,19 @@ rows stay repeated; an empty table gives an empty result; other columns are carr
 their names.
 """
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import ID_KEY, ROW, boxed, id_key, text_of
+from assaylake.llm.common import ID_KEY, ROW, boxed, by_value, id_key, text_of
 from assaylake.sources.shared import shared_folder, stored
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -38,9 +42,14 @@ LINK_BITS = 2
 #: Distinct fingerprints that fit the top of the tree; at most this many reach the driver.
 SAMPLE = 1 << 16
 #: Fingerprints meant for a shard, and the most shards that the top of the tree makes.
-SHARD, MAX_SHARDS = 8192, 4096
-#: A shard with more fingerprints than this, and so many times the mean, is not one task's work.
-MAX_IN_TASK, MAX_TIMES_MEAN = 64 * 1024, 4
+SHARD, TOP_SHARDS = 8192, 4096
+#: A shard with more fingerprints than this is not one task's work.
+MAX_IN_TASK = 64 * 1024
+#: Fingerprints that fit the further part of a large shard's tree, the shards that it makes at most, and
+#: large shards whose parts are broadcast at a time.
+PART_SAMPLE, PART_SHARDS, PARTS_HELD = 4096, 64, 4096
+#: A shard that keeps more than this share of what it was cut from is not cut again.
+LEFT = 0.95
 #: Fingerprints that a task compares pair by pair.
 LEAF = 256
 #: Shingles whose bits are counted at a time.
@@ -145,23 +154,31 @@ def fit_top(sample: np.ndarray, shards: int) -> Node | int:
     return build(sample, shards)
 
 
-def _routed(top: Node | int) -> Callable:
-    """Fingerprints with each leaf of the top that they belong or are copied to."""
+def _place(node: Node | int, fps: np.ndarray, out: list, base: int) -> None:
+    """Fingerprints with each leaf below the node that they belong or are copied to."""
+    if not len(fps):
+        return
+    if isinstance(node, int):
+        out.append((np.full(len(fps), base + node, np.int64), fps))
+        return
+    inside, outside = _sides(np.bitwise_count(fps ^ node.vantage), node.radius)
+    _place(node.inside, fps[inside], out, base)
+    _place(node.outside, fps[outside], out, base)
 
-    def place(node: Node | int, fps: np.ndarray, out: list) -> None:
-        if not len(fps):
-            return
-        if isinstance(node, int):
-            out.append((np.full(len(fps), node, np.int32), fps))
-            return
-        inside, outside = _sides(np.bitwise_count(fps ^ node.vantage), node.radius)
-        place(node.inside, fps[inside], out)
-        place(node.outside, fps[outside], out)
+
+def _routed(parts: Broadcast) -> Callable:
+    """Rows of ``shard, fp`` with the shards that parts of the tree, by shard, make of them."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = pickle.loads(parts.value)
         for batch in batches:
             out: list = []
-            place(top, batch.column("fp").to_numpy().view(np.uint64), out)
+            shards = batch.column("shard").to_numpy()
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            order = np.argsort(shards, kind="stable")
+            found, begins = np.unique(shards[order], return_index=True)
+            for shard, mine in zip(found.tolist(), np.split(fps[order], begins[1:]), strict=True):
+                _place(trees[shard][0], mine, out, trees[shard][1])
             for shard, fps in out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard), pa.array(fps.view(np.int64))], names=["shard", "fp"]
@@ -170,6 +187,18 @@ def _routed(top: Node | int) -> Callable:
     return route
 
 
+def _fitted(shard: pa.Table) -> pa.Table:
+    """The further part of a large shard's tree, by its sample; none if distance cannot split it."""
+    fps = np.random.default_rng(SEED).permutation(np.unique(shard["fp"].to_numpy().view(np.uint64)))
+    tree = fit_top(fps, shard["wanted"][0].as_py())
+    tree = None if isinstance(tree, int) else cloudpickle.dumps(tree)
+    return pa.table({"shard": shard["shard"][:1], "tree": pa.array([tree], pa.binary())})
+
+
+def _leaves(node: Node | int) -> int:
+    return 1 if isinstance(node, int) else _leaves(node.inside) + _leaves(node.outside)
+
+
 class Forest:
     """Union-find over positions; joins that succeed are the links of a spanning forest."""
 
@@ -259,17 +288,64 @@ def near_links(
     shuffled = np.random.default_rng(SEED).permutation(
         np.sort(picked["fp"].to_numpy().view(np.uint64))
     )
-    top = fit_top(shuffled, min(MAX_SHARDS, -(-total // shard)))
-    routed = stored(fps.mapInArrow(_routed(top), "shard int, fp long"), folder, "routed")
-    held = {r["shard"]: r["count"] for r in routed.groupBy("shard").count().collect()}
-    most = max(max_in_task, MAX_TIMES_MEAN * sum(held.values()) // max(len(held), 1))
-    large = [s for s, n in held.items() if n > most]
-    in_task = routed.where(~F.col("shard").isin(large)) if large else routed
-    links = in_task.groupBy("shard").applyInArrow(_shard_links, "a long, b long")
-    if large:
-        alike = routed.where(F.col("shard").isin(large)).select("fp").distinct()
-        links = links.unionByName(_word_links(alike))
-    return stored(links, folder, "links")
+    top = fit_top(shuffled, min(TOP_SHARDS, -(-total // shard)))
+    rows = fps.select(F.lit(0).cast("long").alias("shard"), "fp")
+    routed = _stored_route(rows, {0: (top, 0)}, folder, "routed-0")
+    links, alike, todo, turn = [], [], [(routed, {})], 0
+    while todo:
+        routed, cut_from = todo.pop()
+        # few: each holds more than max_in_task rows
+        counts = routed.groupBy("shard").count().where(F.col("count") > max_in_task)
+        large = {r["shard"]: r["count"] for r in counts.collect()}
+        in_task = _without(routed, list(large)).groupBy("shard")
+        links.append(in_task.applyInArrow(_shard_links, "a long, b long"))
+        whole = [s for s, n in large.items() if n > LEFT * cut_from.get(s, np.inf)]
+        cut = sorted(set(large) - set(whole))
+        for at in range(0, len(cut), PARTS_HELD):
+            held = {s: large[s] for s in cut[at : at + PARTS_HELD]}
+            trees = _parts(routed, held, shard)
+            whole += [s for s in held if s not in trees]
+            if trees:
+                turn += 1
+                bases = np.cumsum([0, *(_leaves(tree) for tree in trees.values())]).tolist()
+                parts = {s: (tree, b) for (s, tree), b in zip(trees.items(), bases)}
+                again = _stored_route(_only(routed, list(parts)), parts, folder, f"routed-{turn}")
+                sizes = {
+                    leaf: held[s] for s, (tree, b) in parts.items() for leaf in range(b, b + _leaves(tree))
+                }
+                todo.append((again, sizes))
+        if whole:
+            alike.append(_only(routed, whole).select("fp"))
+    if alike:
+        links.append(_word_links(reduce(DataFrame.unionByName, alike).distinct()))
+    return stored(reduce(DataFrame.unionByName, links), folder, "links")
+
+
+def _stored_route(rows: DataFrame, parts: dict, folder: str, name: str) -> DataFrame:
+    return stored(rows.mapInArrow(_routed(by_value(rows, parts)), "shard long, fp long"), folder, name)
+
+
+def _shards(routed: DataFrame, shards: list[int]) -> DataFrame:
+    return routed.sparkSession.createDataFrame(pa.table({"shard": pa.array(shards, pa.int64())}))
+
+
+def _only(routed: DataFrame, shards: list[int]) -> DataFrame:
+    return routed.join(_shards(routed, shards), "shard", "left_semi")
+
+
+def _without(routed: DataFrame, shards: list[int]) -> DataFrame:
+    return routed.join(_shards(routed, shards), "shard", "left_anti") if shards else routed
+
+
+def _parts(routed: DataFrame, sizes: dict[int, int], shard: int) -> dict[int, Node]:
+    """The further parts of the tree for large shards, of those that can be split."""
+    wanted = [min(PART_SHARDS, -(-n // shard)) for n in sizes.values()]
+    about = pa.table({"shard": list(sizes), "size": list(sizes.values()), "wanted": wanted})
+    rows = routed.join(routed.sparkSession.createDataFrame(about), "shard")
+    picked = rows.where(F.pmod(F.xxhash64("fp", F.lit(SEED + 1)), "size") < PART_SAMPLE)
+    fitted = picked.select("shard", "fp", "wanted").groupBy("shard")
+    trees = fitted.applyInArrow(_fitted, "shard long, tree binary").where("tree is not null").collect()
+    return {r["shard"]: pickle.loads(r["tree"]) for r in sorted(trees, key=lambda r: r["shard"])}
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:

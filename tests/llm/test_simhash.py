@@ -66,9 +66,7 @@ def test_spanning_links_connect_what_is_connected(leaf):
 @pytest.mark.parametrize(
     "options", [{}, {"shard": 60}, {"shard": 60, "max_in_task": 30}, {"shard": 60, "sample": 100}]
 )
-def test_links_and_components_over_shards(spark, monkeypatch, options):
-    if "max_in_task" in options:
-        monkeypatch.setattr(simhash, "MAX_TIMES_MEAN", 0)
+def test_links_and_components_over_shards(spark, options):
     fps = clustered(200, np.random.default_rng(4))
     signed = fps.view(np.int64).tolist()
     folder = shared_folder(spark, "test")
@@ -82,6 +80,30 @@ def test_links_and_components_over_shards(spark, monkeypatch, options):
         assert {roots.get(fp, fp) for fp in members} == {min(members)}
 
 
+def test_large_shards_are_split_again_by_spark(spark, monkeypatch):
+    """All sizes a hundredth, so that several rounds are needed, and a crowd of alike ones."""
+    for name, value in (("TOP_SHARDS", 4), ("PART_SHARDS", 4), ("PART_SAMPLE", 200), ("PARTS_HELD", 3)):
+        monkeypatch.setattr(simhash, name, value)
+    rounds, route = [], simhash._stored_route
+    monkeypatch.setattr(simhash, "_stored_route", lambda *a: rounds.append(a[1]) or route(*a))
+    rng = np.random.default_rng(8)
+    crowd = np.full(1500, rng.integers(0, 2**63, dtype=np.uint64))
+    for _ in range(2):
+        crowd ^= np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)
+    fps = np.unique(np.concatenate([clustered(1500, rng), crowd]))
+    signed = fps.view(np.int64).tolist()
+    folder = shared_folder(spark, "test")
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    links = simhash.near_links(df, folder, sample=655, shard=82, max_in_task=655)
+    assert len(rounds) > 2
+    roots = {r.fp: r.root for r in simhash.components(links, folder).collect()}
+    want = {}
+    for fp, root in zip(signed, brute_components(fps), strict=True):
+        want.setdefault(root, []).append(fp)
+    for members in want.values():
+        assert {roots.get(fp, fp) for fp in members} == {min(members)}
+
+
 def test_long_chains_are_one_component(spark):
     pairs = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 300)]
     folder = shared_folder(spark, "test")
