@@ -37,6 +37,8 @@ SINGLE = 1 / 64
 PIECE = 1 / 4
 #: Rows that one task numbers together, if their texts or doc_ids differ.
 CELL_ROWS = 1 << 20
+#: Bytes of a table of sets that is broadcast; 40 shards have at most some 24,000 sets, below 2 MB.
+BROADCAST_BYTES = 16 << 20
 #: How far a shard's bytes may be from the mean before a whole group is cut, and how many cuts are tried.
 TOLERANCE, CUTS = 0.02, 32
 #: Swaps tried after packing, and how much bytes, tokens and rows count in them.
@@ -177,8 +179,10 @@ def _with_sets(counted: DataFrame, shards: int) -> DataFrame:
 
 
 def _local(spark: SparkSession, rows: pa.Table) -> DataFrame:
-    """A bounded table of the driver, whose size Spark knows when it picks a join."""
-    return spark.createDataFrame(rows)
+    """A table of the driver, broadcast if it is small enough: a join by set alone would bring a large
+    set into one task before it is dealt out over its cells."""
+    table = spark.createDataFrame(rows)
+    return F.broadcast(table) if rows.nbytes <= BROADCAST_BYTES else table
 
 
 def _plan(sets: pa.Table, shards: int) -> pa.Table:
