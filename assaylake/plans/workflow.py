@@ -18,6 +18,7 @@ from assaylake.operators.staging import newest_staged, stage_measurements
 from assaylake.plans import report_lines
 from assaylake.sources import extraction, raw_tables, versions
 from assaylake.sources.raw_tables import ATTEMPT, BATCH
+from assaylake.sources.shared import small_files
 
 STAGED, FACTS, DOCUMENTS = "stg_lab_results", "fct_biomarkers", "dim_documents"
 META, RANGES = "biomarker_meta", "snap_reference_ranges"
@@ -298,8 +299,9 @@ def run(
     **profile: DataFrame,
 ) -> DataFrame:
     """Load a directory, refresh the tables, report; returns the load statistics."""
-    files = extraction.read_extraction_files(spark, in_dir)
-    statistics = raw_tables.load_files(files, root, batch)
+    with small_files(spark):
+        files = extraction.read_extraction_files(spark, in_dir)
+        statistics = raw_tables.load_files(files, root, batch)
     refresh(spark, root, meta, run_ts)
     render(spark, root, **profile)
     return statistics

@@ -3,7 +3,7 @@
 ``df.write.format("named_files").mode("append").save(path)`` takes rows of ``name`` and ``content``. Rows of one name that follow
 each other in a task become one file, so a task holds one row at a time whatever a file's size. A task
 writes below a staging folder; the driver's commit moves the files of the tasks that count to
-their names, a task's folder at a time, and an aborted job leaves no file under a name. Tasks that still run when
+their names, several tasks' folders at a time, and an aborted job leaves no file under a name. Tasks that still run when
 their job is aborted may leave some in its staging folder, which readers skip for its underscore and the
 next overwrite removes. The writer reaches the file systems that pyarrow knows by the path's scheme.
 """
@@ -11,6 +11,7 @@ next overwrite removes. The writer reaches the file systems that pyarrow knows b
 import sys
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FORMAT = "named_files"
+#: Folders of tasks whose files the commit moves at a time.
+MOVERS = 16
 
 
 @dataclass
@@ -57,7 +60,7 @@ class NamedFilesWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         context, (files, root) = TaskContext.get(), opened(self.path)
         folder = f"{self.staging}/{context.partitionId()}-{context.taskAttemptId()}"
-        current, out = None, None
+        current, out, made = None, None, set()
         try:
             for batch in iterator:
                 names, contents = batch.column("name"), batch.column("content")
@@ -66,7 +69,7 @@ class NamedFilesWriter(DataSourceArrowWriter):
                     if name != current:
                         if out is not None:
                             out.close()
-                        current, out = name, _create(files, f"{root}/{folder}", name)
+                        current, out = name, _create(files, f"{root}/{folder}", name, made)
                     if content.is_valid:
                         out.write(content.as_buffer())
         except BaseException:
@@ -85,20 +88,10 @@ class NamedFilesWriter(DataSourceArrowWriter):
             for old in files.get_file_info(fs.FileSelector(root)):
                 if old.base_name != self.staging:
                     files.delete_dir(old.path) if old.type == fs.FileType.Directory else files.delete_file(old.path)
-        made: set[str] = set()
-        for message in messages:
-            if message is None:
-                continue
-            home = f"{root}/{message.folder}"
-            for file in files.get_file_info(fs.FileSelector(home, allow_not_found=True, recursive=True)):
-                if file.type != fs.FileType.File:
-                    continue
-                target = root + file.path[len(home) :]
-                parent = target.rpartition("/")[0]
-                if parent not in made:
-                    files.create_dir(parent, recursive=True)
-                    made.add(parent)
-                files.move(file.path, target)
+        folders = [f"{root}/{message.folder}" for message in messages if message is not None]
+        with ThreadPoolExecutor(MOVERS) as movers:
+            for _ in movers.map(lambda home: _move_all(files, home, root), folders):
+                pass
         self._clear(files, root)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -109,14 +102,32 @@ class NamedFilesWriter(DataSourceArrowWriter):
             files.delete_dir(f"{root}/{self.staging}")
 
 
-def _create(files: fs.FileSystem, folder: str, name: str | None) -> pa.NativeFile:
+def _move_all(files: fs.FileSystem, home: str, root: str) -> None:
+    """Move the files of a task's folder to their names, one of its folders at a time."""
+    todo = [home]
+    while todo:
+        folder = todo.pop()
+        parent = root + folder[len(home) :]
+        found = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        todo += [file.path for file in found if file.type == fs.FileType.Directory]
+        moved = [file for file in found if file.type == fs.FileType.File]
+        if moved:
+            files.create_dir(parent, recursive=True)
+        for file in moved:
+            files.move(file.path, f"{parent}/{file.base_name}")
+
+
+def _create(files: fs.FileSystem, folder: str, name: str | None, made: set[str]) -> pa.NativeFile:
     parts = (name or "").split("/")
     if not all(parts) or any(p in (".", "..") for p in parts):
         raise ValueError(f"not a file's name: {name!r}")
     path = "/".join([folder, *parts])
     if files.get_file_info(path).type != fs.FileType.NotFound:
         raise ValueError(f"the rows of {name!r} do not follow each other")
-    files.create_dir(path.rpartition("/")[0], recursive=True)
+    parent = path.rpartition("/")[0]
+    if parent not in made:
+        files.create_dir(parent, recursive=True)
+        made.add(parent)
     return files.open_output_stream(path, compression=None)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from assaylake import schemas
 from assaylake.sources import extraction, versions
+from assaylake.sources.shared import small_files
 
 BATCH, ATTEMPT = "load_batch", "load_attempt"
 DELETED, ATTEMPTS = "deleted", "attempts"
@@ -138,11 +139,14 @@ def load_checked(checked: DataFrame, root: str, batch: str) -> DataFrame:
     return _load(incoming, fresh, root, batch, attempt)
 
 
-def load_arrivals(arrivals: DataFrame, root: str, batch: str) -> None:
+def load_arrivals(
+    arrivals: DataFrame, root: str, batch: str, spark: SparkSession | None = None
+) -> None:
     """Load a micro-batch of ``schemas.ARRIVALS``: of its good files the first by path for each source that
     its rows with ``is_new`` name. What is loaded already is not looked at. A batch that was
-    finished before is left as it is."""
-    spark, attempt = arrivals.sparkSession, uuid.uuid4().hex
+    finished before is left as it is. The stream's own session plans without adaptive execution; what
+    follows the write of the arrivals runs in ``spark``."""
+    spark, attempt = spark or arrivals.sparkSession, uuid.uuid4().hex
     finished = stored_rows(spark, root, ATTEMPTS).where(F.col(BATCH) == batch)
     if not finished.isEmpty():
         arrivals.write.format("noop").mode("overwrite").save()  # the stream's state moves on all the same
@@ -256,4 +260,6 @@ def reload_sources(
 ) -> tuple[int, DataFrame]:
     """Delete sources, then load whatever the directory holds that is not loaded."""
     deleted = delete_sources(spark, root, sources)
-    return deleted, load_files(extraction.read_extraction_files(spark, in_dir), root, batch)
+    with small_files(spark):
+        files = extraction.read_extraction_files(spark, in_dir)
+        return deleted, load_files(files, root, batch)

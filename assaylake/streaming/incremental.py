@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from assaylake.sources import extraction, raw_tables
 from assaylake.sources.raw_tables import load_files
+from assaylake.sources.shared import small_files
 
 
 def file_stream(
@@ -50,7 +51,8 @@ def start_load(
 def start_incremental_load(
     spark: SparkSession, in_dir: str, root: str, checkpoint: str
 ) -> StreamingQuery:
-    return start_load(file_stream(spark, in_dir), root, checkpoint)
+    with small_files(spark):
+        return start_load(file_stream(spark, in_dir), root, checkpoint)
 
 
 def arrivals(files: DataFrame, now: Column | None = None) -> DataFrame:
@@ -85,7 +87,7 @@ def start_stateful_load(
             others = raw_tables.stored_rows(spark, root, raw_tables.ATTEMPTS)
             if not others.where(F.col(raw_tables.BATCH) != label).isEmpty():
                 raise ValueError(f"a new checkpoint cannot know what was loaded before: {root}")
-        raw_tables.load_arrivals(batch, root, label)
+        raw_tables.load_arrivals(batch, root, label, spark)
 
     return (
         arrivals(files, now)

@@ -26,7 +26,7 @@ from assaylake.plans import questions, report_lines, reports, workflow
 from assaylake.sources import exports, extraction, raw_tables
 from assaylake.sources.named_files import write_named
 from assaylake.sources.reference_dim import read_reference_dimension
-from assaylake.sources.shared import shared_folder, stored
+from assaylake.sources.shared import shared_folder, small_files, stored
 from assaylake.streaming.incremental import start_load, start_stateful_load
 from registry import extraction_files, views
 from registry.oracle_texts import (
@@ -43,6 +43,9 @@ from registry.oracle_texts import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Files of a part of the event stream, and the rows of the table from which parts have as many.
+PART_FILES, PARTED_ROWS = 48, 20_000
+
 
 class Lab:
     """The lab-shaped views of one directory and what is derived from them, all lazy."""
@@ -412,7 +415,7 @@ def _workflow_run(lab: Lab) -> DataFrame:
     folder = shared_folder(lab.spark, "run")
     files = lab.view(extraction_files.FILES)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    write_named(named, f"{folder}/in", rows_per_name=1)
+    write_named(named, f"{folder}/in")  # dealt out by name, however few files the table has
     workflow.run(lab.spark, f"{folder}/in", f"{folder}/lake", "first", lab.meta, _run(RUN_1))
     return workflow.read_mart(lab.spark, f"{folder}/lake", workflow.FACTS)
 
@@ -423,14 +426,17 @@ def _exported_files(lab: Lab) -> DataFrame:
     exports.export_files(_new_good(lab), folder)
 
     def read(part: str, glob: str) -> DataFrame:
-        rows = lab.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        rows = rows.text(f"{folder}/{part}", wholetext=True)
+        rows = extraction.whole_files(
+            lab.spark, f"{folder}/{part}", recursiveFileLookup=True, pathGlobFilter=glob
+        )
         name = F.substring_index(F.col("_metadata.file_path"), f"/{part}/", -1)
         return rows.select(F.concat(F.lit(f"{part}/"), name).alias("name"), "value")
 
     source = F.get_json_object("value", "$.source_file")
     documents = read("raw", "*.json").select("name", source.alias("content"))
-    return documents.unionByName(read("findings", "*.md").select("name", F.col("value").alias("content")))
+    narratives = read("findings", "*.md").select("name", F.col("value").alias("content"))
+    with small_files(lab.spark):
+        return stored(documents.unionByName(narratives), folder, "found")
 
 
 def _report_files(lab: Lab) -> DataFrame:
@@ -442,17 +448,29 @@ def _report_files(lab: Lab) -> DataFrame:
     return lines.select(report.alias("report"), F.col("value").alias("line"))
 
 
+def _write_files(df: DataFrame, path: str, number: int) -> None:
+    """Exactly so many files, as Spark leaves out empty ones but for the first."""
+    (df.coalesce(1) if number == 1 else df.repartition(number)).write.parquet(path)
+    written = len(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles())
+    if written != number:
+        raise ValueError(f"{written} files instead of {number}: {path}")
+
+
 def _stateful_ingest(lab: Lab) -> DataFrame:
-    """The event table as a stream of five files, in small batches with a restart between them."""
+    """The event table as a stream of five parts, in small batches with a restart between them. A part is one
+    micro-batch, so all have the same number of files; several where there are rows enough to fill all of them."""
     root = shared_folder(lab.spark, "stateful")
     events = lab.table("events")
-    limits = events.select(F.percentile_approx("event_id", [0.2, 0.4, 0.6, 0.8])).first()[0]
+    limits, rows = events.select(
+        F.percentile_approx("event_id", [0.2, 0.4, 0.6, 0.8]), F.count("event_id")
+    ).first()
+    files_each = PART_FILES if rows >= PARTED_ROWS else 1
     for number, (low, high) in enumerate(zip([None, *limits], [*limits, None], strict=True)):
         inside = F.lit(True) if low is None else F.col("event_id") > low
         inside = inside if high is None else inside & (F.col("event_id") <= high)
-        events.where(inside).coalesce(1).write.parquet(f"{root}/in/{number}")
+        _write_files(events.where(inside), f"{root}/in/{number}", files_each)
         if number in (1, 4):  # start, and start again with what has come meanwhile
-            stream = lab.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+            stream = lab.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_each)
             stream = stream.option("recursiveFileLookup", True).parquet(f"{root}/in")
             files = lab.spark.sql(extraction_files.FILES, events=stream)
             start_stateful_load(files, root, f"{root}/checkpoint", _now()).awaitTermination()
