@@ -415,7 +415,8 @@ def _workflow_run(lab: Lab) -> DataFrame:
     folder = shared_folder(lab.spark, "run")
     files = lab.view(extraction_files.FILES)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    write_named(named, f"{folder}/in")  # dealt out by name, however few files the table has
+    # dealt out by name, however few files the table has; a name that comes twice is refused
+    write_named(named.repartition("name"), f"{folder}/in", rows_per_name=1)
     workflow.run(lab.spark, f"{folder}/in", f"{folder}/lake", "first", lab.meta, _run(RUN_1))
     return workflow.read_mart(lab.spark, f"{folder}/lake", workflow.FACTS)
 
