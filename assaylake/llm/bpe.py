@@ -10,8 +10,8 @@ encoding is the one whose neighbours all may follow each other.
 
 The rank file is a parameter and is broadcast; what a task remembers of earlier texts is bounded. Only the
 texts travel to Python, the rest of a row stays where it is, and nothing is shuffled. Texts are taken apart whole
-at single spaces; every distinct run between them is encoded once, and a text's ids, their digits and
-the decoded bytes are gathered by index from those of its runs.
+at single spaces; every distinct run between them is encoded once, new pieces in sorted order, and a text's ids are
+gathered by index from those of its runs, their digits and the decoded bytes from the vocabulary.
 
 Defined results: a null text is empty, and an empty text has no ids; texts are encoded without
 special tokens, so the names of such tokens are ordinary text; repeated rows give equal rows; an
@@ -38,7 +38,7 @@ from assaylake.llm.common import ROW, boxed, text_of
 
 #: Runs, and pairs of neighbours, that are remembered before they are learnt anew.
 CACHED = 400_000
-#: Prefixes whose last tokens are kept before they are learnt anew.
+#: Steps from one state of a prefix to the next that are kept before they are learnt anew.
 PREFIXES = 400_000
 #: Ids of all remembered runs together, before they are learnt anew.
 IDS_HELD = 1 << 21
@@ -65,6 +65,7 @@ class Vocabulary:
                 lengths.setdefault(token[-ENDING:], set()).add(len(token))
         self._lengths = {ending: tuple(sorted(n, reverse=True)) for ending, n in lengths.items()}
         self._ends: dict[bytes, tuple[tuple[int, ...], tuple[tuple[int, int], ...]]] = {}
+        self._begins = {token[:n] for token in ranks for n in range(len(token) + 1)} | {b""}
         self._spines: dict[int, tuple[list, list]] = {}
         self._follows: dict[int, bool] = {}
 
@@ -148,29 +149,16 @@ class Vocabulary:
             known = self._ends[ending] = (self._lengths.get(ending, ()), shorter)
         return known
 
-    def last_token(self, prefix: bytes, last: dict[bytes, int]) -> int:
-        """The token that ends a prefix, from those of shorter prefixes; the longest candidates
-        first, as exactly one fits."""
-        token_of, follows, size = self.ranks.get, self._follows.get, len(prefix)
-        token = token_of(prefix)
-        if token is not None and self.stands_alone(token):
-            return token
-        longer, shorter = self._ends.get(prefix[-ENDING:]) or self.ends(prefix[-ENDING:])
-        for length in longer:
-            if length < size:
-                token = token_of(prefix[-length:])
-                if token is not None:
-                    left = last[prefix[:-length]]
-                    known = follows(left << 32 | token)
-                    if known or (known is None and self.may_follow(left, token)):
-                        return token
-        for token, length in shorter:
-            if length < size:
-                left = last[prefix[:-length]]
-                known = follows(left << 32 | token)
-                if known or (known is None and self.may_follow(left, token)):
-                    return token
-        raise ValueError(f"no token ends with the byte {prefix[-1]}")
+    def longest_begin(self, text: bytes) -> bytes:
+        """The longest end of some bytes with which a token begins; every token that ends them ends this."""
+        while text not in self._begins:
+            text = text[1:]
+        return text
+
+    def tokens_at_end(self, text: bytes) -> tuple[tuple[int, int], ...]:
+        """All tokens that end some bytes, with their lengths, the longest first."""
+        found = ((self.ranks.get(text[i:]), len(text) - i) for i in range(len(text)))
+        return tuple((token, n) for token, n in found if token is not None)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -233,39 +221,114 @@ class PrefixTable:
         return out[::-1]
 
 
+class LastTokens:
+    """The last tokens of all prefixes of many byte strings. In sorted order each shares a prefix with the one
+    before it, whose entries stay. A state is the longest end of a prefix with which a token begins."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.start()
+
+    def start(self) -> None:
+        self.state_of: dict[bytes, int] = {b"": 0}
+        self.texts: list[bytes] = [b""]
+        self.ending: list[tuple[tuple[int, int], ...]] = [()]
+        self.next_state: dict[int, int] = {}
+
+    def encoded(self, pieces: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Different pieces in order, each with its ids."""
+        if len(self.next_state) >= PREFIXES:
+            self.start()
+        vocabulary, ending, next_state = self.vocabulary, self.ending, self.next_state.get
+        follows, may_follow, alone = vocabulary._follows.get, vocabulary.may_follow, vocabulary.stands_alone
+        token_of = vocabulary.ranks.get
+        tokens, lefts, states, before = [-1], [0], [0], b""
+        for piece in sorted(pieces):
+            text = piece.encode()
+            whole = token_of(text)
+            if whole is not None and alone(whole):
+                yield piece, [whole]
+                continue
+            if len(text) > LONG:
+                yield piece, PrefixTable(vocabulary, text).ids()
+                continue
+            shared = 0
+            for mine, other in zip(text, before):
+                if mine != other:
+                    break
+                shared += 1
+            del tokens[shared + 1 :], lefts[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
+            for end in range(shared + 1, len(text) + 1):
+                byte = text[end - 1]
+                known = next_state(state << 8 | byte)
+                state = self._step(state, byte) if known is None else known
+                for token, length in ending[state]:  # the longest first; exactly one fits
+                    left = end - length
+                    if left:
+                        fits = follows(tokens[left] << 32 | token)
+                        if fits is None:
+                            fits = may_follow(tokens[left], token)
+                    else:
+                        fits = alone(token)
+                    if fits:
+                        break
+                else:
+                    raise ValueError(f"no token ends with the byte {byte}")
+                tokens.append(token)
+                lefts.append(left)
+                states.append(state)
+            before, at, ids = text, len(text), []
+            while at:
+                ids.append(tokens[at])
+                at = lefts[at]
+            ids.reverse()
+            yield piece, ids
+
+    def _step(self, state: int, byte: int) -> int:
+        text = self.vocabulary.longest_begin(self.texts[state] + bytes([byte]))
+        known = self.state_of.get(text)
+        if known is None:
+            known = self.state_of[text] = len(self.texts)
+            self.texts.append(text)
+            self.ending.append(self.vocabulary.tokens_at_end(text))
+        self.next_state[state << 8 | byte] = known
+        return known
+
+
 class Runs(dict):
-    """Distinct runs by number, their ids and the digits of these side by side in flat arrays."""
+    """Distinct runs by number, their ids side by side in a flat array."""
 
-    def __init__(self, of: Callable[[str], list[int]], ids: Iterable[int]):
-        self.of = of
-        self.digits_of = {i: b"%d," % i for i in ids}
+    def __init__(self):
         self.start()
 
     def start(self) -> None:
         self.clear()
-        self.ids, self.id_edges = array("i"), array("q", [0])
-        self.digits, self.digit_edges = bytearray(), array("q", [0])
+        self.ids, self.edges = array("i"), array("q", [0])
 
-    def __missing__(self, text: str) -> int:
-        ids = self.of(text)
+    def add(self, text: str, ids: Iterable[int]) -> None:
         self.ids.extend(ids)
-        self.id_edges.append(len(self.ids))
-        self.digits += b"".join([self.digits_of[i] for i in ids])
-        self.digit_edges.append(len(self.digits))
-        self[text] = number = len(self.id_edges) - 2
-        return number
+        self[text] = len(self.edges) - 1
+        self.edges.append(len(self.ids))
 
     def full(self) -> bool:
         return len(self) >= CACHED or len(self.ids) >= IDS_HELD
 
 
-def gathered(flat: np.ndarray, edges: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def flat(strings: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings one after the other, and where each begins and ends."""
+    held = list(strings)
+    edges = np.cumsum([0, *map(len, held)], dtype=np.int64)
+    return np.frombuffer(b"".join(held), np.uint8), edges
+
+
+def gathered(entries: np.ndarray, edges: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries of a flat array that belong to some numbers, one after the other, and where each ends."""
     begins, lengths = edges[numbers], edges[numbers + 1] - edges[numbers]
     ends = np.cumsum(lengths)
     at = np.repeat(begins - (ends - lengths), lengths)
     at += np.arange(len(at))
-    return flat[at], ends
+    return entries[at], ends
 
 
 class Encoder:
@@ -281,39 +344,15 @@ class Encoder:
         self.splits = all(
             regex.fullmatch(pattern, piece) is None for piece in ("a b", "a ", ". .", "1 1", "! a", " a b")
         )
-        self.runs = Runs(self._whole, vocabulary.bytes_of)
-        self._last: dict[bytes, int] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        """The ids of a piece, through the last tokens of prefixes that pieces share."""
-        text, last, bytes_of = piece.encode(), self._last, self.vocabulary.bytes_of
-        if len(text) > LONG:
-            return PrefixTable(self.vocabulary, text).ids()
-        if text not in last:
-            self._learn(text)
-        ids = []
-        while text:
-            token = last[text]
-            ids.append(token)
-            text = text[: -len(bytes_of[token])]
-        ids.reverse()
-        return ids
-
-    def _learn(self, text: bytes) -> None:
-        last, end = self._last, len(text) - 1
-        if len(last) >= PREFIXES:
-            last.clear()
-        while end and text[:end] not in last:
-            end -= 1
-        for end in range(end + 1, len(text) + 1):
-            prefix = text[:end]
-            last[prefix] = self.vocabulary.last_token(prefix, last)
-
-    def _whole(self, text: str) -> list[int]:
-        pieces = self._pieces(text)
-        if len(pieces) == 1:
-            return self._piece(pieces[0])
-        return [i for piece in pieces for i in self._piece(piece)]
+        self.runs = Runs()
+        self._last_tokens = LastTokens(vocabulary)
+
+    def _learn(self, runs: Iterable[str]) -> None:
+        """Numbers new runs; each of their pieces is encoded once."""
+        pieces = {run: self._pieces(run) for run in runs}
+        ids = dict(self._last_tokens.encoded(set(chain.from_iterable(pieces.values()))))
+        for run, its in pieces.items():
+            self.runs.add(run, ids[its[0]] if len(its) == 1 else [i for piece in its for i in ids[piece]])
 
     def cut(self, text: str) -> list[str]:
         """Runs that are encoded one by one: a piece holds a space only as its first character, so one
@@ -331,13 +370,14 @@ class Encoder:
             self.runs.start()
         cuts = [self.cut(text) for text in texts]
         ends = np.cumsum([len(c) for c in cuts], dtype=np.int64)
+        self._learn(set(chain.from_iterable(cuts)).difference(self.runs))
         found = map(self.runs.__getitem__, chain.from_iterable(cuts))
         return np.fromiter(found, np.int64, int(ends[-1]) if len(ends) else 0), ends
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
         numbers, _ = self.numbers([text])
-        return gathered(np.array(self.runs.ids), np.array(self.runs.id_edges), numbers)[0].tolist()
+        return gathered(np.array(self.runs.ids), np.array(self.runs.edges), numbers)[0].tolist()
 
 
 class Digests:
@@ -347,9 +387,8 @@ class Digests:
         self.encoder = encoder
         bytes_of = encoder.vocabulary.bytes_of
         size = max(bytes_of, default=-1) + 1
-        lengths = np.fromiter((len(bytes_of.get(i, b"")) for i in range(size)), np.int64, size)
-        self.edges = np.concatenate([[0], np.cumsum(lengths)])
-        self.bytes = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in range(size)), np.uint8)
+        self.bytes, self.edges = flat(bytes_of.get(i, b"") for i in range(size))
+        self.digits, self.digit_edges = flat(b"%d," % i for i in range(size))
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
         """All ids, where each text's end, and both digests of each text."""
@@ -359,12 +398,10 @@ class Digests:
         def of_texts(ends: np.ndarray) -> np.ndarray:
             return np.concatenate([[0], ends])[run_ends]
 
-        ids, ends = gathered(np.frombuffer(runs.ids, np.int32), np.frombuffer(runs.id_edges, np.int64), numbers)
+        ids, ends = gathered(np.frombuffer(runs.ids, np.int32), np.frombuffer(runs.edges, np.int64), numbers)
         ends = of_texts(ends)
-        digits, digit_ends = gathered(
-            np.frombuffer(runs.digits, np.uint8), np.frombuffer(runs.digit_edges, np.int64), numbers
-        )
-        digit_ends = of_texts(digit_ends)
+        digits, digit_ends = gathered(self.digits, self.digit_edges, ids)
+        digit_ends = np.concatenate([[0], digit_ends])[ends]
         decoded, token_ends = gathered(self.bytes, self.edges, ids)
         decoded_ends = np.concatenate([[0], token_ends])[ends]
         return ids, ends, _shas(digits, digit_ends, 1), _shas(decoded, decoded_ends, 0)

@@ -72,6 +72,26 @@ def test_small_caches_change_nothing(monkeypatch):
     assert fresh.encode(text) == LIBRARY.encode_ordinary(text)
 
 
+def test_pieces_of_many_runs_are_encoded_once_and_share_prefixes(monkeypatch):
+    given = []
+
+    def encoded(self, pieces, of=bpe.LastTokens.encoded):
+        given.append(list(pieces))
+        return of(self, given[-1])
+
+    monkeypatch.setattr(bpe.LastTokens, "encoded", encoded)
+    words = ["qwortung", "qwortungen", "qwort", "qwortunk", "éqwort", "q" * 80, "qwortung"]
+    texts = [f"x {word}{end} y" for word in words for end in ("", ",", ".", "!?", ",\n")]
+    fresh = bpe.Encoder(bpe.Vocabulary(VOCABULARY.ranks), public_tokenizers.PATTERN)
+    digests = bpe.Digests(fresh).of(texts)
+    want = [LIBRARY.encode_ordinary(text) for text in texts]
+    assert digests[0].tolist() == [i for ids in want for i in ids]
+    assert digests[2] == [hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for ids in want]
+    assert [given[0].count(f" {word}") for word in words] == [1] * len(words)
+    bpe.Digests(fresh).of(texts)
+    assert given[1:] == [[]]
+
+
 def test_digests_of_odd_rows(odd_documents):
     def sha(data):
         return hashlib.sha256(data).hexdigest()
