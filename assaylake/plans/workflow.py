@@ -365,6 +365,7 @@ def register_tables(spark: SparkSession, root: str, env: str | None = None) -> N
             "append"
         ).parquet(f"{path}/{raw_tables.BATCH}=none")
         _external(spark, name, path, schema(table))
+    # Attempts, a row per load, are broadcast: a table has few, and a shuffle by them would put a load in one task.
     attempts = files[raw_tables.ATTEMPTS]
     finished = f"select load_attempt from {attempts} union all select null"
     replaced = f"select load_batch, explode(replaces) as named from {attempts}"
@@ -373,7 +374,7 @@ def register_tables(spark: SparkSession, root: str, env: str | None = None) -> N
         _view(
             spark,
             f"{raw}.{_quoted(table)}",
-            f"""SELECT {columns}, r.load_batch FROM {files[table]} r
+            f"""SELECT /*+ BROADCAST(a, p) */ {columns}, r.load_batch FROM {files[table]} r
             LEFT SEMI JOIN ({finished}) a ON r.load_attempt <=> a.load_attempt
             LEFT ANTI JOIN ({replaced}) p ON r.load_batch = p.load_batch
               AND coalesce(r.load_attempt, '') = p.named

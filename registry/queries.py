@@ -1,7 +1,9 @@
 """Registered queries: every operator over whole tables of a directory."""
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Files of a part of the event stream, and the rows of the table from which parts have as many.
 PART_FILES, PARTED_ROWS = 48, 20_000
 
+#: Events whose documents one task makes and parses.
+DEALT_ROWS = 50_000
+
 
 class Lab:
     """The lab-shaped views of one directory and what is derived from them, all lazy."""
@@ -102,6 +107,15 @@ class Lab:
             {"biomarker_key": renamed, "value_si": F.when(number % 5 != 0, changed)}
         )
 
+    @property
+    def files_dealt(self) -> DataFrame:
+        """The extraction files from evenly dealt events: a table of few row groups would leave most cores
+        idle while the texts are made and parsed. Ranges keep what is near in the table together."""
+        events = self.table("events")
+        parts = events.count() // DEALT_ROWS + 1
+        events = events.repartitionByRange(parts, "event_id")
+        return self.spark.sql(extraction_files.FILES, events=events)
+
     @property
     def checked_files(self) -> DataFrame:
         files = self.view(extraction_files.FILES)
@@ -315,7 +329,7 @@ def _reports_written(lab: Lab) -> DataFrame:
 def _loaded(lab: Lab) -> str:
     """Raw tables loaded from the event documents; their folder."""
     root = shared_folder(lab.spark, "raw")
-    raw_tables.load_files(lab.view(extraction_files.FILES), root, "first", _now())
+    raw_tables.load_files(lab.files_dealt, root, "first", _now())
     return root
 
 
@@ -332,7 +346,7 @@ def _event(path: str = "path") -> Column:
 def _refreshed(lab: Lab) -> str:
     """Two loads with a run after each; the second brings later files, with another lower bound, and
     sources that were deleted in between. Only what this touches is written again."""
-    spark, root, files = lab.spark, shared_folder(lab.spark, "refreshed"), lab.view(extraction_files.FILES)
+    spark, root, files = lab.spark, shared_folder(lab.spark, "refreshed"), lab.files_dealt
     bound = F.replace("content", F.lit('range_low": "10"'), F.lit('range_low": "20"'))
     later = F.when(_event() >= SECOND_LOAD, bound).otherwise(F.col("content"))
     files = files.withColumn("content", later)
@@ -349,16 +363,25 @@ def _refreshed_mart(lab: Lab, table: str) -> DataFrame:
 
 
 def _two_environments(lab: Lab) -> str:
-    """Production, and a trial without some sources and with other values in some."""
-    root, files = shared_folder(lab.spark, "environments"), lab.view(extraction_files.FILES)
+    """Production, and a trial without some sources and with other values in some. Neither reads what the
+    other writes, so they are built side by side."""
+    root, files = shared_folder(lab.spark, "environments"), lab.files_dealt
     kind = _event() % 20
     changed = F.replace("content", F.lit('"value": "'), F.lit('"value": "9'))
     trial = files.where(kind != 14).withColumn(
         "content", F.when(kind == 15, changed).otherwise(F.col("content"))
     )
-    for home, content in ((root, files), (raw_tables.environment_root(root, "trial"), trial)):
+
+    @inheritable_thread_target(lab.spark)
+    def build(home: str, content: DataFrame) -> None:
         raw_tables.load_files(content, home, "first", _now())
         workflow.refresh(lab.spark, home, lab.meta, _run(RUN_1))
+
+    with ThreadPoolExecutor(2) as pool:
+        built = [pool.submit(build, root, files)]
+        built.append(pool.submit(build, raw_tables.environment_root(root, "trial"), trial))
+    for one in built:
+        one.result()
     return root
 
 
@@ -498,7 +521,7 @@ def _reloaded_source(lab: Lab) -> DataFrame:
     """Deleted sources come back with the next load; all others stay as they were."""
     root = _loaded(lab)
     raw_tables.delete_sources(lab.spark, root, DELETED)
-    raw_tables.load_files(lab.view(extraction_files.FILES), root, "second", _now())
+    raw_tables.load_files(lab.files_dealt, root, "second", _now())
     return raw_tables.read_raw(lab.spark, root, "lab_results")
 
 
