@@ -10,7 +10,7 @@ encoding is the one whose neighbours all may follow each other.
 
 The rank file is a parameter and is broadcast; what a task remembers of earlier texts is bounded. Only the
 texts travel to Python, the rest of a row stays where it is, and nothing is shuffled. Texts are taken apart whole
-at single spaces; every distinct run between them is encoded once, new pieces in sorted order, and a text's ids are
+at single spaces; every distinct run between them is encoded once, new pieces side by side in sorted order, and a text's ids are
 gathered by index from those of its runs, their digits and the decoded bytes from the vocabulary.
 
 Defined results: a null text is empty, and an empty text has no ids; texts are encoded without
@@ -38,14 +38,22 @@ from assaylake.llm.common import ROW, boxed, text_of
 
 #: Runs, and pairs of neighbours, that are remembered before they are learnt anew.
 CACHED = 400_000
-#: Steps from one state of a prefix to the next that are kept before they are learnt anew.
+#: States of prefixes that are kept before they are learnt anew.
 PREFIXES = 400_000
+#: Bits of a place in a table of answers.
+PLACE_BITS = 20
+#: What spreads questions over such a table, by the upper bits of the product.
+SCATTER = np.uint64(0x9E3779B97F4A7C15)
+#: Pieces whose prefixes are taken through the vocabulary together.
+AT_ONCE = 1 << 14
 #: Ids of all remembered runs together, before they are learnt anew.
 IDS_HELD = 1 << 21
 #: Bytes of texts that are gathered at once.
 SLICE_BYTES = 1 << 20
 #: Bytes at the end of a prefix that tell which tokens can be its last.
 ENDING = 4
+#: In the place of a token before the first.
+BEGIN = (1 << 31) - 1
 #: A rank beyond all.
 NEVER = 1 << 62
 #: Bytes above which a piece has a table of its own.
@@ -155,10 +163,14 @@ class Vocabulary:
             text = text[1:]
         return text
 
-    def tokens_at_end(self, text: bytes) -> tuple[tuple[int, int], ...]:
-        """All tokens that end some bytes, with their lengths, the longest first."""
-        found = ((self.ranks.get(text[i:]), len(text) - i) for i in range(len(text)))
-        return tuple((token, n) for token, n in found if token is not None)
+    def longest_end(self, text: bytes, begin: int = 0) -> int:
+        """The longest token that ends some bytes and begins there or later, or -1."""
+        return next((self.ranks[text[i:]] for i in range(begin, len(text)) if text[i:] in self.ranks), -1)
+
+    @property
+    def states(self) -> int:
+        """How many beginnings tokens have, the empty one included."""
+        return len(self._begins)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -221,95 +233,161 @@ class PrefixTable:
         return out[::-1]
 
 
+class Known:
+    """Answers to questions that are whole numbers, in a table of fixed size: a new question takes the place of
+    an old one of the same hash."""
+
+    def __init__(self, answer: Callable[[int], int]):
+        self._answer = answer
+        self._asked = np.full(1 << PLACE_BITS, -1, np.int64)
+        self._answers = np.zeros(1 << PLACE_BITS, np.int32)
+        self._shift = np.uint64(64 - PLACE_BITS)
+
+    def of(self, questions: np.ndarray) -> np.ndarray:
+        places = (questions.view(np.uint64) * SCATTER >> self._shift).view(np.int64)
+        found = self._answers[places]
+        new = np.flatnonzero(self._asked[places] != questions)
+        if len(new):
+            asked, back = np.unique(questions[new], return_inverse=True)
+            found[new] = np.array([self._answer(one) for one in asked.tolist()], np.int32)[back]
+            at, first = np.unique(places[new], return_index=True)
+            self._asked[at], self._answers[at] = questions[new][first], found[new][first]
+        return found
+
+
 class LastTokens:
-    """The last tokens of all prefixes of many byte strings. In sorted order each shares a prefix with the one
-    before it, whose entries stay. A state is the longest end of a prefix with which a token begins."""
+    """The last tokens of all prefixes of many byte strings, a byte of all of them at a time. In sorted order each
+    shares a prefix with the one before it, whose entries it takes. A state is the longest end of a prefix with
+    which a token begins."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        size = max(vocabulary.bytes_of, default=-1) + 1
+        self._length = np.zeros(size, np.int64)
+        self._shorter = np.full(size, -1, np.int64)  # the longest token that ends another
+        for token, text in vocabulary.bytes_of.items():
+            self._length[token] = len(text)
+            self._shorter[token] = vocabulary.longest_end(text, 1)
+        self._fits = Known(lambda pair: self._may_stand(pair >> 32, pair & (1 << 32) - 1))
         self.start()
 
     def start(self) -> None:
-        self.state_of: dict[bytes, int] = {b"": 0}
-        self.texts: list[bytes] = [b""]
-        self.ending: list[tuple[tuple[int, int], ...]] = [()]
-        self.next_state: dict[int, int] = {}
-
-    def encoded(self, pieces: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """Different pieces in order, each with its ids."""
-        if len(self.next_state) >= PREFIXES:
-            self.start()
-        vocabulary, ending, next_state = self.vocabulary, self.ending, self.next_state.get
-        follows, may_follow, alone = vocabulary._follows.get, vocabulary.may_follow, vocabulary.stands_alone
-        token_of = vocabulary.ranks.get
-        tokens, lefts, states, before = [-1], [0], [0], b""
-        for piece in sorted(pieces):
-            text = piece.encode()
-            whole = token_of(text)
-            if whole is not None and alone(whole):
-                yield piece, [whole]
-                continue
-            if len(text) > LONG:
-                yield piece, PrefixTable(vocabulary, text).ids()
-                continue
-            shared = 0
-            for mine, other in zip(text, before):
-                if mine != other:
-                    break
-                shared += 1
-            del tokens[shared + 1 :], lefts[shared + 1 :], states[shared + 1 :]
-            state = states[shared]
-            for end in range(shared + 1, len(text) + 1):
-                byte = text[end - 1]
-                known = next_state(state << 8 | byte)
-                state = self._step(state, byte) if known is None else known
-                for token, length in ending[state]:  # the longest first; exactly one fits
-                    left = end - length
-                    if left:
-                        fits = follows(tokens[left] << 32 | token)
-                        if fits is None:
-                            fits = may_follow(tokens[left], token)
-                    else:
-                        fits = alone(token)
-                    if fits:
-                        break
-                else:
-                    raise ValueError(f"no token ends with the byte {byte}")
-                tokens.append(token)
-                lefts.append(left)
-                states.append(state)
-            before, at, ids = text, len(text), []
-            while at:
-                ids.append(tokens[at])
-                at = lefts[at]
-            ids.reverse()
-            yield piece, ids
+        self._state_of: dict[bytes, int] = {b"": 0}
+        self._texts: list[bytes] = [b""]
+        self._ending = np.full(self.vocabulary.states, -1, np.int64)  # the longest token that ends a state
+        self._next_state = Known(lambda step: self._step(step >> 8, step & 255))
+
+    def _may_stand(self, left: int, token: int) -> bool:
+        vocabulary = self.vocabulary
+        return vocabulary.stands_alone(token) if left == BEGIN else vocabulary._stay_apart(left, token)
 
     def _step(self, state: int, byte: int) -> int:
-        text = self.vocabulary.longest_begin(self.texts[state] + bytes([byte]))
-        known = self.state_of.get(text)
+        text = self.vocabulary.longest_begin(self._texts[state] + bytes([byte]))
+        known = self._state_of.get(text)
         if known is None:
-            known = self.state_of[text] = len(self.texts)
-            self.texts.append(text)
-            self.ending.append(self.vocabulary.tokens_at_end(text))
-        self.next_state[state << 8 | byte] = known
+            known = self._state_of[text] = len(self._texts)
+            self._texts.append(text)
+            self._ending[known] = self.vocabulary.longest_end(text)
         return known
 
+    def encoded(self, pieces: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces side by side, and where each begins and ends."""
+        if len(self._texts) >= PREFIXES:
+            self.start()
+        texts = [piece.encode() for piece in pieces]
+        order = sorted(range(len(texts)), key=texts.__getitem__)
+        short = [i for i in order if len(texts[i]) <= LONG]
+        long = [i for i in order if len(texts[i]) > LONG]
+        found, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for begin in range(0, len(short), AT_ONCE):
+            ids, n = self._of_sorted([texts[i] for i in short[begin : begin + AT_ONCE]])
+            found.append(ids)
+            counts.append(n)
+        for i in long:
+            ids = np.array(PrefixTable(self.vocabulary, texts[i]).ids(), np.int32)
+            found.append(ids)
+            counts.append(np.array([len(ids)]))
+        edges = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        place = np.empty(len(texts), np.int64)
+        place[np.array(short + long, np.int64)] = np.arange(len(texts))
+        ids, ends = gathered(np.concatenate(found), edges, place)
+        return ids, np.concatenate([[0], ends])
+
+    def _of_sorted(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of sorted byte strings side by side, and how many each has."""
+        lengths = np.array([len(text) for text in texts])
+        width = int(lengths.max())
+        rows = np.frombuffer(b"".join([text.ljust(width, b"\0") for text in texts]), np.uint8)
+        rows = rows.reshape(len(texts), width)
+        shared = np.zeros(len(texts), np.int64)
+        differ = rows[1:] != rows[:-1]
+        if width:
+            alike = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+            shared[1:] = np.minimum(alike, np.minimum(lengths[1:], lengths[:-1]))
+        at = np.ascontiguousarray(rows.T)
+        tokens = np.empty((width + 1, len(texts)), np.int64)
+        lefts = np.zeros((width + 1, len(texts)), np.int64)
+        tokens[0] = BEGIN
+        states = np.zeros(len(texts), np.int64)
+        for end in range(1, width + 1):
+            here = np.flatnonzero(lengths >= end)
+            new = shared[here] < end
+            own, owner = here[new], np.cumsum(new) - 1
+            state = self._next_state.of(states[own] << 8 | at[end - 1][own]).astype(np.int64)
+            token, left = self._last(tokens, own, end, self._ending[state])
+            states[here], tokens[end, here], lefts[end, here] = state[owner], token[owner], left[owner]
+        steps, ends = [], lengths.copy()
+        live, counts = np.flatnonzero(ends), np.zeros(len(texts), np.int64)
+        while len(live):
+            steps.append((live, tokens[ends[live], live]))
+            ends[live] = lefts[ends[live], live]
+            counts[live] += 1
+            live = live[ends[live] > 0]
+        last = np.cumsum(counts) - 1
+        ids = np.empty(int(counts.sum()), np.int32)
+        for back, (live, token) in enumerate(steps):
+            ids[last[live] - back] = token
+        return ids, counts
+
+    def _last(
+        self, tokens: np.ndarray, own: np.ndarray, end: int, token: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The last tokens of prefixes and where these begin; the longest candidates first, exactly one fits."""
+        left, open_ = np.zeros(len(own), np.int64), np.arange(len(own))
+        while len(open_):
+            its = token[open_]
+            if its.min() < 0:
+                raise ValueError(f"no token ends the byte {end - 1} of a piece")
+            begin = end - self._length[its]
+            left[open_] = begin
+            fits = self._fits.of(tokens[begin, own[open_]] << 32 | its)
+            open_ = open_[fits == 0]
+            token[open_] = self._shorter[token[open_]]
+        return token, left
+
 
 class Runs(dict):
-    """Distinct runs by number, their ids side by side in a flat array."""
+    """Distinct runs by number, their ids side by side in a flat array. A run that is asked for gets a number and
+    is new until its ids are added."""
 
     def __init__(self):
         self.start()
 
     def start(self) -> None:
         self.clear()
+        self.new: list[str] = []
         self.ids, self.edges = array("i"), array("q", [0])
 
-    def add(self, text: str, ids: Iterable[int]) -> None:
-        self.ids.extend(ids)
-        self[text] = len(self.edges) - 1
-        self.edges.append(len(self.ids))
+    def __missing__(self, run: str) -> int:
+        number = self[run] = len(self)
+        self.new.append(run)
+        return number
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """The ids of all new runs, and where each run's end."""
+        self.edges.frombytes((ends + len(self.ids)).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+        self.new = []
 
     def full(self) -> bool:
         return len(self) >= CACHED or len(self.ids) >= IDS_HELD
@@ -339,7 +417,7 @@ class Encoder:
         self._pieces = regex.compile(pattern).findall
         # whether a run between single spaces may stand for itself
         # (white space of this module is at least that of the pattern's)
-        self._irregular = re.compile(r" \s|\s |^\s|\s$").search
+        self._by_space = re.compile(r"[^\S ](?:(?= )|(?<= .))", re.DOTALL).search
         self._single_spaces = re.compile(r"(?<=\S) (?=\S)").split
         self.splits = all(
             regex.fullmatch(pattern, piece) is None for piece in ("a b", "a ", ". .", "1 1", "! a", " a b")
@@ -347,32 +425,41 @@ class Encoder:
         self.runs = Runs()
         self._last_tokens = LastTokens(vocabulary)
 
-    def _learn(self, runs: Iterable[str]) -> None:
-        """Numbers new runs; each of their pieces is encoded once."""
-        pieces = {run: self._pieces(run) for run in runs}
-        ids = dict(self._last_tokens.encoded(set(chain.from_iterable(pieces.values()))))
-        for run, its in pieces.items():
-            self.runs.add(run, ids[its[0]] if len(its) == 1 else [i for piece in its for i in ids[piece]])
+    def _learn(self) -> None:
+        """Ids of new runs; each of their pieces is encoded once."""
+        pieces = [self._pieces(run[1:] if run.startswith(" ") else " " + run) for run in self.runs.new]
+        number = {piece: i for i, piece in enumerate(dict.fromkeys(chain.from_iterable(pieces)))}
+        ids, edges = self._last_tokens.encoded(number)
+        counts = np.array([len(its) for its in pieces], np.int64)
+        numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        ids, ends = gathered(ids, edges, numbers)
+        self.runs.add(ids, np.concatenate([[0], ends])[np.cumsum(counts)])
+
+    def _irregular(self, text: str) -> bool:
+        return "  " in text or text[:1].isspace() or text[-1:].isspace() or self._by_space(text) is not None
 
     def cut(self, text: str) -> list[str]:
         """Runs that are encoded one by one: a piece holds a space only as its first character, so one
         begins at each space that stands alone between two other characters, whatever the
-        pattern finds elsewhere. A pattern of another kind takes texts as they are."""
+        pattern finds elsewhere. A pattern of another kind takes texts as they are. Runs after the first are
+        given without their space; the first has one put before it, which tells it from all others."""
         if not self.splits:
-            return [text]
-        first, *runs = self._single_spaces(text) if self._irregular(text) else text.split(" ")
-        return [first, *[" " + run for run in runs]]
+            return [" " + text]
+        runs = self._single_spaces(text) if self._irregular(text) else text.split(" ")
+        runs[0] = " " + runs[0]
+        return runs
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The runs of some texts by number, and where each text's runs end. What is remembered is
         bounded between texts of one call only by their own size."""
-        if self.runs.full():
+        if self.runs.full() or self.runs.new:  # new ones are left over where learning them failed
             self.runs.start()
         cuts = [self.cut(text) for text in texts]
         ends = np.cumsum([len(c) for c in cuts], dtype=np.int64)
-        self._learn(set(chain.from_iterable(cuts)).difference(self.runs))
         found = map(self.runs.__getitem__, chain.from_iterable(cuts))
-        return np.fromiter(found, np.int64, int(ends[-1]) if len(ends) else 0), ends
+        numbers = np.fromiter(found, np.int64, int(ends[-1]) if len(ends) else 0)
+        self._learn()
+        return numbers, ends
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""

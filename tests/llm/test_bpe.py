@@ -92,6 +92,46 @@ def test_pieces_of_many_runs_are_encoded_once_and_share_prefixes(monkeypatch):
     assert given[1:] == [[]]
 
 
+def test_work_per_byte_is_shared_by_all_new_pieces(monkeypatch):
+    asked = []
+
+    def of(self, questions, of=bpe.Known.of):
+        asked.append(len(questions))
+        return of(self, questions)
+
+    monkeypatch.setattr(bpe.Known, "of", of)
+    for n in (40, 4000):
+        texts = [" ".join(f"q{chr(97 + i % 26)}xz{i:07d}ab" for i in range(n)), " ".join("qxzb" * (i % 9 + 1) for i in range(n))]
+        fresh = bpe.Encoder(bpe.Vocabulary(VOCABULARY.ranks), public_tokenizers.PATTERN)
+        asked.clear()
+        got = bpe.Digests(fresh).of(texts)[0].tolist()
+        assert got == [i for text in texts for i in LIBRARY.encode_ordinary(text)]
+        assert len(asked) < 37 * VOCABULARY.longest
+
+
+@pytest.mark.parametrize(("bits", "pieces"), [(2, 3), (4, 1 << 14), (20, 1)])
+def test_small_tables_of_answers_change_nothing(monkeypatch, bits, pieces):
+    monkeypatch.setattr(bpe, "PLACE_BITS", bits)
+    monkeypatch.setattr(bpe, "AT_ONCE", pieces)
+    fresh = bpe.Encoder(bpe.Vocabulary(VOCABULARY.ranks), public_tokenizers.PATTERN)
+    texts = ["", "\0", "\0\0 \0", "a\0 a\0\0 a", " a", "a ", "foo\n bar", "a foo\n", "b foo\n c", "x  y", "é" * 40 + " é"]
+    texts += [" ".join(f"word{i % 50}ing" * (i % 7) for i in range(90)), "\x1c a\x1c b \x85c"]
+    for _ in range(2):
+        ids, ends, _, decoded = bpe.Digests(fresh).of(texts)
+        want = [LIBRARY.encode_ordinary(text) for text in texts]
+        assert [its.tolist() for its in bpe.np.split(ids, ends)[:-1]] == want
+        assert decoded == [hashlib.sha256(text.encode()).hexdigest() for text in texts]
+
+
+def test_runs_that_could_not_be_learnt_are_not_remembered():
+    fresh = bpe.Encoder(bpe.Vocabulary({b"a": 0, b" ": 1, b"b": 2, b"ab": 3}), public_tokenizers.PATTERN)
+    assert fresh.encode("ab b") == [3, 1, 2]
+    for _ in range(2):
+        with pytest.raises(ValueError, match="no token ends"):
+            fresh.encode("ab c")
+    assert fresh.encode("b ab") == [2, 1, 3]
+
+
 def test_digests_of_odd_rows(odd_documents):
     def sha(data):
         return hashlib.sha256(data).hexdigest()
