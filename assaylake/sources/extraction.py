@@ -30,6 +30,10 @@ _AS_TEXT = """struct<
     tags: array<string>, baseline_candidates: array<string>>,
   source_file: string, extracted_at: string, extraction_method: string>"""
 
+# The document with every leaf as it stands in the JSON, to look at the types of odd ones. What is not there is
+# NULL; what has another shape is taken as if nothing were in it.
+_AS_FOUND = _AS_TEXT.replace("array<string>", "variant").replace(": string", ": variant")
+
 # Types of a document without surprises, as ``schema_of_variant`` writes them: names in
 # alphabetical order, list elements merged.
 _LIST_TYPE = "ARRAY<(STRING|VOID)>"
@@ -83,17 +87,13 @@ def _whole_document(framed: Column) -> Column:
     return F.when(ends_here, F.try_variant_get(framed, "$[0]", "variant"))
 
 
-def _field(node: Column, name: str) -> Column:
-    return F.try_variant_get(node, f"$.{name}", "variant")
-
-
-def _text(node: Column, name: str) -> Column:
-    return F.try_variant_get(node, f"$.{name}", "string")
+def _kind(field: Column) -> Column:
+    """JSON type of a field: ``VOID`` for null, ``missing`` if absent."""
+    return F.coalesce(F.schema_of_variant(field), F.lit("missing"))
 
 
-def _kind(node: Column, name: str) -> Column:
-    """JSON type of a field: ``VOID`` for null, ``missing`` if absent."""
-    return F.coalesce(F.schema_of_variant(_field(node, name)), F.lit("missing"))
+def _text(field: Column) -> Column:
+    return F.try_variant_get(field, "$", "string")
 
 
 def _date(text: Column) -> Column:
@@ -107,20 +107,12 @@ def _instant(text: Column) -> Column:
     return F.when(text.rlike(_TIME), F.when(text.rlike(_OFFSET), moved).otherwise(local))
 
 
-def _text_list(node: Column, name: str) -> Column:
-    return F.try_variant_get(node, f"$.{name}", "array<variant>")
-
-
 def _measurement_errors(e: Column) -> dict[str, Column]:
-    errors = {
-        name: _kind(e, name) != "STRING" for name in ("provider", "biomarker_name")
-    }
-    errors["report_date"] = (_kind(e, "report_date") != "STRING") | _date(
-        _text(e, "report_date")
-    ).isNull()
-    errors["value"] = ~_kind(e, "value").isin("STRING", "VOID")
+    errors = {name: _kind(e[name]) != "STRING" for name in ("provider", "biomarker_name")}
+    errors["report_date"] = (_kind(e["report_date"]) != "STRING") | _date(_text(e["report_date"])).isNull()
+    errors["value"] = ~_kind(e["value"]).isin("STRING", "VOID")
     for name in ("unit", *_OPTIONAL_TEXTS):
-        errors[name] = ~_kind(e, name).isin("STRING", "VOID", "missing")
+        errors[name] = ~_kind(e[name]).isin("STRING", "VOID", "missing")
     return errors
 
 
@@ -130,33 +122,29 @@ def _incomplete(e: Column) -> Column:
     return reduce(Column.__or__, [e[name].isNull() for name in required], e.isNull())
 
 
-def _list_is_bad(node: Column, name: str) -> Column:
-    items = _text_list(node, name)
+def _list_is_bad(field: Column) -> Column:
+    items = F.try_variant_get(field, "$", "array<variant>")
     all_text = F.forall(items, lambda i: F.schema_of_variant(i) == "STRING")
-    return (_kind(node, name) != "missing") & ~F.coalesce(all_text, F.lit(False))
+    return (_kind(field) != "missing") & ~F.coalesce(all_text, F.lit(False))
 
 
-def _document_errors(doc: Column, meta: Column, rows: Column, given: bool) -> Column:
-    source, method = _kind(doc, "source_file"), _kind(doc, "extraction_method")
+def _document_errors(doc: Column, given: bool) -> Column:
+    """The fields at fault of a document taken apart as ``_AS_FOUND``."""
+    meta, rows = doc["metadata"], doc["biomarkers"]
+    source, method, time = _kind(doc["source_file"]), _kind(doc["extraction_method"]), doc["extracted_at"]
+    day = meta["report_date"]
     bad = {
         "biomarkers": rows.isNull(),
-        "document_summary": _kind(doc, "document_summary") != "STRING",
+        "document_summary": _kind(doc["document_summary"]) != "STRING",
         "source_file": source != ("missing" if given else "STRING"),
         "extraction_method": ~method.isin(*(["missing"] if given else ["STRING", "missing"])),
-        "extracted_at": (_kind(doc, "extracted_at") != "missing")
-        & (
-            (_kind(doc, "extracted_at") != "STRING")
-            | _instant(_text(doc, "extracted_at")).isNull()
-        ),
-        "metadata.report_type": _kind(meta, "report_type") != "STRING",
-        "metadata.provider": ~_kind(meta, "provider").isin("STRING", "VOID", "missing"),
-        "metadata.report_date": ~_kind(meta, "report_date").isin("VOID", "missing")
-        & (
-            (_kind(meta, "report_date") != "STRING")
-            | _date(_text(meta, "report_date")).isNull()
-        ),
-        "metadata.tags": _list_is_bad(meta, "tags"),
-        "metadata.baseline_candidates": _list_is_bad(meta, "baseline_candidates"),
+        "extracted_at": (_kind(time) != "missing") & ((_kind(time) != "STRING") | _instant(_text(time)).isNull()),
+        "metadata.report_type": _kind(meta["report_type"]) != "STRING",
+        "metadata.provider": ~_kind(meta["provider"]).isin("STRING", "VOID", "missing"),
+        "metadata.report_date": ~_kind(day).isin("VOID", "missing")
+        & ((_kind(day) != "STRING") | _date(_text(day)).isNull()),
+        "metadata.tags": _list_is_bad(meta["tags"]),
+        "metadata.baseline_candidates": _list_is_bad(meta["baseline_candidates"]),
     }
     messages = [F.when(cond, F.lit(name)) for name, cond in bad.items()]
 
@@ -168,9 +156,7 @@ def _document_errors(doc: Column, meta: Column, rows: Column, given: bool) -> Co
 
     in_rows = F.array_distinct(F.flatten(F.transform(rows, row_errors)))
     none = F.array().cast("array<string>")
-    return F.when(doc.isNull(), F.array(F.lit("not a JSON document"))).otherwise(
-        F.concat(F.array_compact(F.array(*messages)), F.coalesce(in_rows, none))
-    )
+    return F.concat(F.array_compact(F.array(*messages)), F.coalesce(in_rows, none))
 
 
 def check_extractions(files: DataFrame, now: Column | None = None) -> DataFrame:
@@ -220,13 +206,12 @@ def check_extractions(files: DataFrame, now: Column | None = None) -> DataFrame:
     )
     if given:
         plain = plain & typed["source_file"].isNull() & typed["extraction_method"].isNull()
-    errors = F.when(plain, F.array().cast("array<string>")).otherwise(
-        _document_errors(
-            doc,
-            _field(doc, "metadata"),
-            F.try_variant_get(doc, "$.biomarkers", "array<variant>"),
-            given,
-        )
+    # A lambda's argument holds what is found once, for all checks that look at it.
+    found = F.array(F.try_variant_get(doc, "$", _AS_FOUND))
+    errors = (
+        F.when(plain, F.array().cast("array<string>"))
+        .when(doc.isNull(), F.array(F.lit("not a JSON document")))
+        .otherwise(F.flatten(F.transform(found, lambda d: _document_errors(d, given))))
     )
     method = F.coalesce(typed["extraction_method"], F.lit(fixed.DEFAULT_METHOD))
     first = F.try_element_at(rows, F.lit(1))

@@ -97,6 +97,27 @@ def test_rejected_whole(spark):
         assert sorted(row.errors) == sorted(errors), document
 
 
+def test_odd_documents_are_taken_apart_once(spark):
+    """However many fields are looked at, the document itself is read for its texts and for its types."""
+    files = spark.range(1).select(F.lit("a").alias("path"), F.col("id").cast("string").alias("content"))
+    plan = check_extractions(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("try_variant_get(_doc") <= 2
+
+
+def test_odd_rows_and_metadata_of_another_shape(spark):
+    rows = ["biomarkers.provider", "biomarkers.biomarker_name", "biomarkers.report_date", "biomarkers.value"]
+    cases = [
+        ({**GOOD, "biomarkers": [measurement("Glucose", "5"), 5]}, rows),
+        ({**GOOD, "biomarkers": [None]}, rows),
+        ({**GOOD, "biomarkers": None}, ["biomarkers"]),
+        ({**GOOD, "metadata": [{"report_type": "other"}]}, ["metadata.report_type"]),
+        (with_meta(tags={"a": "b"}, report_date=5), ["metadata.tags", "metadata.report_date"]),
+        (with_row(unit=None, notes=7, loinc_code={}), ["biomarkers.notes", "biomarkers.loinc_code"]),
+    ]
+    for row, (document, errors) in zip(checked(spark, *[d for d, _ in cases]), cases, strict=True):
+        assert sorted(row.errors) == sorted(errors), document
+
+
 ACCEPTED = [
     {**GOOD, "biomarkers": []},
     {**GOOD, "comment": {"unknown": [1, "field"]}},
