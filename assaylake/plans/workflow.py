@@ -300,7 +300,7 @@ def run(
 ) -> DataFrame:
     """Load a directory, refresh the tables, report; returns the load statistics."""
     with small_files(spark):
-        files = extraction.read_extraction_files(spark, in_dir)
+        files = extraction.extraction_files_by_tasks(spark, in_dir)
         statistics = raw_tables.load_files(files, root, batch)
     refresh(spark, root, meta, run_ts)
     render(spark, root, **profile)

@@ -13,6 +13,7 @@ from assaylake import fixed_values as fixed
 from assaylake.functions.display import findings_path
 from assaylake.functions.text import first_fenced_block
 from assaylake.operators.redaction import restore
+from assaylake.sources.named_files import read_files
 
 _END = "end of extraction file"
 _DATE = r"^\d{4}-\d{2}-\d{2}([T ]00:00(:00(\.0+)?)?Z?)?$"
@@ -63,6 +64,15 @@ def read_extraction_files(spark: SparkSession, directory: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def extraction_files_by_tasks(spark: SparkSession, directory: str) -> DataFrame:
+    """What ``read_extraction_files`` gives, for directories of millions of files: tasks list and read them, where
+    Spark's sources list them in the driver."""
+    files = read_files(spark, directory, "*.json")
+    if files is None:
+        return read_extraction_files(spark, directory)
+    return files.select("path", F.col("content").cast("string").alias("content"))
+
+
 def read_text_reports(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     """Plain-text reports as ``(path, content)`` and, apart, the paths of all other files.
 

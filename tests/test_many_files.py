@@ -81,3 +81,29 @@ def test_folders_of_tasks_are_moved_side_by_side(tmp_path, monkeypatch):
     files = {str(p.relative_to(tmp_path / "out")) for p in Path(tmp_path / "out").rglob("*") if p.is_file()}
     assert files == {f"d/{t}.txt" for t in range(6)} | {f"top{t}.txt" for t in range(6)}
     assert not (tmp_path / "out" / writer.staging).exists()
+
+
+def test_files_read_by_tasks_are_those_of_the_binary_source(spark, tmp_path):
+    names = ["a b.json", "é%20.json", "c,;=+(1).json", "d.JSON", "other.txt", "_hidden.json", ".dot.json"]
+    for number, name in enumerate(names):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"\xff{}\n" * (number + 1))
+    (tmp_path / "in/empty.json").touch()
+    (tmp_path / "in/sub").mkdir()
+    (tmp_path / "in/sub/e.json").write_text("{}")
+    raw = F.hex(F.col("content").cast("binary"))
+    for directory in (str(tmp_path / "in"), f"file://{tmp_path}/in/", str(tmp_path / "in/*.json")):
+        want = extraction.read_extraction_files(spark, directory).select("path", raw).collect()
+        found = extraction.extraction_files_by_tasks(spark, directory)
+        assert len(want) == 3 and sorted(found.select("path", raw).collect()) == sorted(want)
+        listed_by_spark = "binaryFile" in found._jdf.queryExecution().toString()
+        assert listed_by_spark == ("*" in directory)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        extraction.extraction_files_by_tasks(spark, str(tmp_path / "none"))
+
+
+def test_a_name_that_comes_twice_is_refused(spark, tmp_path):
+    rows = [("a", "1"), ("b", "2"), ("a", "3")]
+    df = spark.createDataFrame(rows, "name string, content string").coalesce(1)
+    with pytest.raises(Exception, match="do not follow each other"):
+        write_named(df, str(tmp_path / "out"), rows_per_name=1)
