@@ -26,9 +26,9 @@ from assaylake.operators.marts import (
 from assaylake.operators.staging import newest_extraction, newest_two, stage_measurements
 from assaylake.plans import questions, report_lines, reports, workflow
 from assaylake.sources import exports, extraction, raw_tables
-from assaylake.sources.named_files import write_named
+from assaylake.sources.named_files import read_files, write_named
 from assaylake.sources.reference_dim import read_reference_dimension
-from assaylake.sources.shared import shared_folder, small_files, stored
+from assaylake.sources.shared import shared_folder, stored
 from assaylake.streaming.incremental import start_load, start_stateful_load
 from registry import extraction_files, views
 from registry.oracle_texts import (
@@ -450,17 +450,14 @@ def _exported_files(lab: Lab) -> DataFrame:
     exports.export_files(_new_good(lab), folder)
 
     def read(part: str, glob: str) -> DataFrame:
-        rows = extraction.whole_files(
-            lab.spark, f"{folder}/{part}", recursiveFileLookup=True, pathGlobFilter=glob
-        )
-        name = F.substring_index(F.col("_metadata.file_path"), f"/{part}/", -1)
-        return rows.select(F.concat(F.lit(f"{part}/"), name).alias("name"), "value")
+        rows = read_files(lab.spark, f"{folder}/{part}", glob, recursive=True)
+        name = F.substring_index("path", f"/{part}/", -1)
+        return rows.select(F.concat(F.lit(f"{part}/"), name).alias("name"), F.col("content").cast("string").alias("value"))
 
     source = F.get_json_object("value", "$.source_file")
     documents = read("raw", "*.json").select("name", source.alias("content"))
     narratives = read("findings", "*.md").select("name", F.col("value").alias("content"))
-    with small_files(lab.spark):
-        return stored(documents.unionByName(narratives), folder, "found")
+    return stored(documents.unionByName(narratives), folder, "found")
 
 
 def _report_files(lab: Lab) -> DataFrame:

@@ -102,6 +102,36 @@ def test_files_read_by_tasks_are_those_of_the_binary_source(spark, tmp_path):
         extraction.extraction_files_by_tasks(spark, str(tmp_path / "none"))
 
 
+def test_a_run_and_an_export_leave_the_listing_of_their_files_to_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    def listed(*_args, **_options):
+        raise AssertionError("the driver lists a file for each document")
+
+    want = [sorted(map(tuple, contract.queries()[n](spark, sf_dir).collect())) for n in ("workflow_run", "exported_files")]
+    assert all(want)
+    monkeypatch.setattr(extraction, "whole_files", listed)
+    got = [sorted(map(tuple, contract.queries()[n](spark, sf_dir).collect())) for n in ("workflow_run", "exported_files")]
+    assert got == want
+
+
+def test_a_task_hands_its_files_over_in_parts(spark, tmp_path, monkeypatch):
+    seen = tmp_path / "seen"
+    monkeypatch.setattr(named_files, "_move_all", _counting(str(seen), named_files._move_all))
+    names = spark.range(3000).coalesce(1).select(F.concat(F.lit("d/"), "id").alias("name"), F.lit("x").alias("content"))
+    write_named(names, str(tmp_path / "out"), rows_per_name=1)
+    sizes = [int(n) for n in seen.read_text().split()]
+    assert sum(sizes) == 3000 and max(sizes) < 100
+    assert len(list((tmp_path / "out/d").iterdir())) == 3000
+
+
+def _counting(seen, move):
+    def counted(files, home, root):
+        with open(seen, "a") as out:
+            out.write(f"{sum(p.is_file() for p in Path(home).rglob('*'))}\n")
+        move(files, home, root)
+
+    return counted
+
+
 def test_a_name_that_comes_twice_is_refused(spark, tmp_path):
     rows = [("a", "1"), ("b", "2"), ("a", "3")]
     df = spark.createDataFrame(rows, "name string, content string").coalesce(1)
