@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -200,3 +201,71 @@ def test_a_pair_of_many_texts_of_a_task_is_sent_once(spark, documents, tmp_path)
     columns = "key long, near long, docs0 long, docs1 long, place int"
     rows = sample.mapInArrow(toxicity._pairs(none), columns).where("docs0 + docs1 > 1").collect()
     assert [(r.docs0, r.docs1, r.near, r.place) for r in rows] == [(500, 500, None, None)]
+
+
+def plain_difference(text, texts, labels, corpus):
+    """Interpolated Kneser-Ney by class in plain loops: the mean over the words of ``text``."""
+    split = {t: toxicity.HASHER.words(word_hash.raw_bytes(t))[2].tolist() for t in {text, *texts, *corpus}}
+    words = Counter(w for t in corpus for w in split[t])
+    pairs = [Counter(), Counter()]
+    for t, y in zip(texts, labels):
+        pairs[y].update(zip(split[t][:-1], split[t][1:]))
+    seen = {w for p in pairs for _, w in p}
+    cut = toxicity.DISCOUNT
+
+    def word(w, y):
+        after = Counter(b for _, b in pairs[y])
+        shared = (words[w] + 0.5) / (words.total() + 0.5 * len(seen) + 1)
+        return (max(after[w] - cut, 0) + cut * len(after) * shared) / after.total()
+
+    def pair(u, w, y):
+        follow = {b: n for (a, b), n in pairs[y].items() if a == u}
+        total = sum(follow.values())
+        if not total:
+            return word(w, y)
+        left = sum(min(n, cut) for n in follow.values())
+        return (max(follow.get(w, 0) - cut, 0) + left * word(w, y)) / total
+
+    found = split[text]
+    p = [[word(w, y) if i == 0 else pair(found[i - 1], w, y) for i, w in enumerate(found)] for y in (0, 1)]
+    return sum(np.log(b) - np.log(a) for a, b in zip(*p)) / max(len(found), 1)
+
+
+@pytest.mark.parametrize("frequent", [0, 40, 1 << 18])
+def test_whole_models_smooth_every_word_and_pair_by_class(spark, documents, tmp_path, monkeypatch, frequent):
+    rows = corpus(30, seed=5)
+    sample = spark.createDataFrame([(t, y, None, toxicity.PARTS) for _, t, y in rows], "text string, label int, near long, parts long")
+    new = ["the w5 oaf", "of", "", "unheard the of unheard words", rows[0][1], rows[7][1] + " lout", rows[7][1] + " lout"]
+    docs = documents(*[(i, t) for i, t, _ in rows], *[(100 + i, t) for i, t in enumerate(new)], (None, "the of"))
+    texts = [r.text for r in docs.collect()]
+    total = sum(len(toxicity.HASHER.words(word_hash.raw_bytes(t))[2]) for t in texts)
+    monkeypatch.setattr(toxicity, "HELD", 500)
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    whole = toxicity.whole_models(docs, sample, total, str(tmp_path / "whole"))
+    telling = toxicity.fit_model(docs, sample.select("text", "label"), str(tmp_path / "telling"))
+    got = toxicity.both_differences(docs.select("doc_id", "text"), telling, whole, ["doc_id"]).collect()
+    assert len(got) == len(texts)
+    of = {r.doc_id: r for r in got}
+    for r in docs.collect():
+        if r.doc_id is not None and r.doc_id in (3, 6, *range(100, 107)):
+            want = plain_difference(r.text, [t for _, t, _ in rows], [y for *_, y in rows], texts)
+            seen = [w for _, t, _ in rows for w in toxicity.HASHER.words(word_hash.raw_bytes(t))[2][1:].tolist()]
+            if set(toxicity.HASHER.words(word_hash.raw_bytes(r.text))[2].tolist()) <= set(seen):
+                assert np.isclose(of[r.doc_id].whole, want, atol=1e-5)
+            assert np.isclose(of[r.doc_id].difference, toxicity.text_means(telling, [r.text])[0])
+    assert of[102].whole == 0 and of[105].whole == of[106].whole
+
+
+def test_expressions_that_tell_little_count_together(spark, documents):
+    """No word is in enough documents to tell by itself, but toxic texts are made of other ones."""
+    rng, rows = random.Random(2), []
+    for i in range(500):
+        toxic = i % 5 == 0
+        words = [f"{'x' if toxic and rng.random() < 0.3 else 'y'}{rng.randrange(400)}" for _ in range(60)]
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = documents(*[(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS)
+    got = {r.doc_id: r for r in toxicity.score(docs, labels, out).collect()}
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert sum(p == y for p, y in held) > 0.9 * len(held)
+    assert sum(p for p, y in held if y) > 0.8 * sum(y for _, y in held)
